@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from groundline.dictionaries import DEFAULT_DICTIONARY, Dictionary
-from groundline.functions.text import strip
+from groundline.functions.text import let, strip, table
 
 MAX_INDICATORS = 3
 MAX_VARIANTS = 5
@@ -40,31 +40,33 @@ def matched_indicators(text: Column, dictionary: Dictionary = DEFAULT_DICTIONARY
 
 
 def _distinct_ignoring_case(variants: Column) -> Column:
-    lowered = F.transform(variants, F.lower)
-    return F.filter(variants, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
+    return let(F.transform(variants, F.lower), lambda lowered: F.filter(
+        variants, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1))
+
+
+def _wordings(q: Column, dictionary: Dictionary) -> Column:
+    synonyms = table({canon: aliases[:SYNONYMS_PER_INDICATOR] for canon, aliases in dictionary.indicators},
+                     "map<string,array<string>>")
+    pairs = "array<struct<term:string,text:string>>"
+    rows = lambda data: table([{"term": term, "text": text} for term, text in data], pairs)
+    low = F.lower(q)
+
+    def named(data) -> Column:
+        return F.transform(F.filter(rows(data), lambda r: F.contains(low, r["term"])), lambda r: r["text"])
+
+    by_indicator = F.flatten(F.transform(matched_indicators(q, dictionary), lambda canon: F.transform(
+        synonyms[canon], lambda s: F.concat(q, F.lit(" ("), s, F.lit(")")))))
+    bilingual = let(named(dictionary.cross_lingual), lambda terms: F.when(
+        F.size(terms) > 0, F.array(F.concat(q, F.lit(" "), F.array_join(terms, " ")))
+    ).otherwise(F.array().cast("array<string>")))
+    aspects = F.transform(named(dictionary.aspects), lambda d: F.concat(q, F.lit(": detalle de "), d))
+    return F.concat(F.array(q), by_indicator, bilingual, aspects)
 
 
 def expand_question(question: Column, dictionary: Dictionary = DEFAULT_DICTIONARY) -> Column:
     """Variants of a question: itself, synonyms, one bilingual form, broad aspects; at most five."""
-    q = strip(question)
-    low = F.lower(q)
-    def with_synonyms(canon: Column) -> Column:
-        picked = F.lit(None).cast("array<string>")
-        for name, aliases in dictionary.indicators:
-            forms = F.array(*[F.lit(a) for a in aliases[:SYNONYMS_PER_INDICATOR]])
-            picked = F.when(canon == name, forms).otherwise(picked)
-        return F.transform(picked, lambda s: F.concat(q, F.lit(" ("), s, F.lit(")")))
-
-    by_indicator = F.flatten(F.transform(matched_indicators(q, dictionary), with_synonyms))
-    english = F.array_compact(
-        F.array(*[F.when(low.contains(es), F.lit(en)) for es, en in dictionary.cross_lingual])
-    )
-    bilingual = F.when(
-        F.size(english) > 0, F.array(F.concat(q, F.lit(" "), F.array_join(english, " ")))
-    ).otherwise(F.array().cast("array<string>"))
-    aspects = F.array_compact(F.array(*[
-        F.when(low.contains(name), F.concat(q, F.lit(f": detalle de {detail}")))
-        for name, detail in dictionary.aspects
-    ]))
-    variants = _distinct_ignoring_case(F.concat(F.array(q), by_indicator, bilingual, aspects))
-    return F.when(q == "", F.array().cast("array<string>")).otherwise(F.slice(variants, 1, MAX_VARIANTS))
+    def expand(q: Column) -> Column:
+        variants = let(_wordings(q, dictionary), _distinct_ignoring_case)
+        return F.when(q == "", F.array().cast("array<string>")).otherwise(F.slice(variants, 1, MAX_VARIANTS))
+
+    return let(strip(question), expand)

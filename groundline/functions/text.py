@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ _FOLD_FROM = "áÁéÉíÍóÓúÚüÜ" + _UPPER
 _FOLD_TO = "aaeeiioouuuu" + _UPPER.lower()
 
 # After folding only lower-case letters are left, plus the upper-case forms that have no fold.
-WORD_PATTERN = r"[a-záéíóúüñÑ0-9.%/ſK]+"
+_LONG_CHARS = "áéíóúüñÑſK"
+_WORD_CHARS = f"a-z0-9.%/{_LONG_CHARS}"
 # Letters and digits only, as a full-text analyser cuts them.
 ANALYSED_PATTERN = r"[\p{IsAlphabetic}\p{N}]+"
 ANALYSED_MAX_BYTES = 40
@@ -27,6 +30,11 @@ _LONE_HEADER = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``, which may use it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(c: Column) -> Column:
     """Search form: Spanish accents folded, ASCII lower-cased; ñ and Ñ are kept as they are."""
     return F.translate(c, _FOLD_FROM, _FOLD_TO)
@@ -37,11 +45,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def word_pattern(stopwords) -> str:
+    """Whole runs of word characters that are no stopword and at least two bytes long."""
+    run = f"[{_WORD_CHARS}]"
+    stop = "|".join(sorted(stopwords))
+    return f"(?<!{run})(?!(?:{stop})(?!{run}))(?:{run}{{2,}}|[{_LONG_CHARS}])"
+
+
 def words(c: Column, dictionary: Dictionary = DEFAULT_DICTIONARY) -> Column:
     """Search tokens of a text: at least two bytes long and no stopword, repeats kept."""
-    found = F.regexp_extract_all(normalize(c), F.lit(WORD_PATTERN), F.lit(0))
-    stop = list(dictionary.stopwords)
-    return F.filter(found, lambda t: (F.octet_length(t) >= 2) & ~t.isin(stop))
+    return F.regexp_extract_all(normalize(c), F.lit(word_pattern(dictionary.stopwords)), F.lit(0))
 
 
 def analysed_terms(c: Column) -> Column:
@@ -50,6 +63,11 @@ def analysed_terms(c: Column) -> Column:
     return F.filter(found, lambda t: F.octet_length(t) < ANALYSED_MAX_BYTES)
 
 
+def table(rows, schema: str) -> Column:
+    """A small lookup table as one literal, for use inside a row expression."""
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), schema)
+
+
 def lines(c: Column) -> Column:
     return F.split(c, r"\r?\n")
 
@@ -71,14 +89,17 @@ def sanitize_tables(c: Column) -> Column:
 
 def is_contents_page(c: Column, dictionary: Dictionary = DEFAULT_DICTIONARY) -> Column:
     """True for a table of contents: an explicit marker, or mostly table lines without figures."""
-    full = F.filter(F.transform(lines(c), strip), lambda s: s != "")
-    marked = F.filter(full, lambda s: s.startswith("|") | s.startswith("#"))
     pattern = "|".join(rf"\Q{marker}\E" for marker in dictionary.contents_markers)
-    named = F.exists(marked, lambda s: normalize(s).rlike(pattern))
-    dense = F.size(marked) / F.size(full) >= 0.6
-    short = F.length(c) < 800
-    few_digits = F.length(F.regexp_replace(c, "[^0-9]", "")) < 10
-    return (F.size(full) >= 3) & (named | (dense & short & few_digits))
+
+    def judge(full: Column) -> Column:
+        marked = F.filter(full, lambda s: s.startswith("|") | s.startswith("#"))
+        named = F.exists(marked, lambda s: normalize(s).rlike(pattern))
+        dense = F.size(marked) / F.size(full) >= 0.6
+        short = F.length(c) < 800
+        few_digits = F.length(F.regexp_replace(c, "[^0-9]", "")) < 10
+        return (F.size(full) >= 3) & (named | (dense & short & few_digits))
+
+    return let(F.filter(F.transform(lines(c), strip), lambda s: s != ""), judge)
 
 
 def figure_overlap(question_words: Column, content: Column,
@@ -103,8 +124,8 @@ def segments(c: Column) -> Column:
 def is_preamble(clause: Column, issuer: Column, dictionary: Dictionary = DEFAULT_DICTIONARY) -> Column:
     """True when a clause names little more than the issuer and the kind of document."""
     rest = F.replace(normalize(clause), normalize(issuer), F.lit(""))
-    doc_words = list(dictionary.document_words)
-    return F.size(F.filter(words(rest, dictionary), lambda t: ~t.isin(doc_words))) <= 1
+    doc_words = F.split(F.lit(" ".join(dictionary.document_words)), " ")
+    return F.size(F.filter(words(rest, dictionary), lambda t: ~F.array_contains(doc_words, t))) <= 1
 
 
 def proper_names(clause: Column, issuer: Column) -> Column:

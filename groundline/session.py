@@ -24,6 +24,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.log.level", "ERROR")
         .getOrCreate()
     )
@@ -50,15 +51,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when a count proves the side small; otherwise Spark shuffles it.
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """True when a count proves the table small. The count stops at ``max_rows`` + 1 rows.
 
-    The count stops at ``max_rows`` + 1 rows. Call it on a table that is cheap to count
-    (a checkpoint, or an unmodified source).
+    Call it on a table that is cheap to count (a checkpoint, or an unmodified source).
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only behind :func:`fits_broadcast`; otherwise Spark shuffles the side."""
+    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
 def text_bytes(df: DataFrame, column: str) -> int:
