@@ -155,10 +155,12 @@ class _BestVectors:
             self.best[i] = found.sort_values(["score", "child_id"], ascending=[False, True]).head(self.k)
 
     def result(self) -> pd.DataFrame:
-        frames = [f.assign(query_id=q) for q, f in zip(self.ids, self.best) if f is not None and len(f)]
-        if not frames:
-            return pd.DataFrame({"query_id": [], "child_id": [], "score": []})
-        return pd.concat(frames)[["query_id", "child_id", "score"]]
+        rows = [
+            (q, child, score)
+            for q, found in zip(self.ids, self.best) if found is not None
+            for child, score in zip(found["child_id"], found["score"])
+        ]
+        return pd.DataFrame(rows, columns=["query_id", "child_id", "score"])
 
 
 def vector_rank(queries: DataFrame, vectors: DataFrame, k: int = LIST_SIZE,
@@ -209,7 +211,7 @@ def _rank_in_blocks(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame
 
     def meet(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or rows.empty:
-            return pd.DataFrame({"query_id": [], "child_id": [], "score": []})
+            return pd.DataFrame(columns=["query_id", "child_id", "score"])
         best = _BestVectors(asked, k)
         best.add(rows)
         return best.result()

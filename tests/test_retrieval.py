@@ -140,7 +140,7 @@ def test_fusion_and_cosine(spark):
 
 
 def test_text_rankers_against_brute_force(spark):
-    texts = ["uno dos dos tres", "dos cuatro", "tres tres cinco uno", "seis", "dos seis siete"]
+    texts = ["ocho dos dos tres", "dos cuatro", "tres tres cinco ocho", "seis", "dos seis siete"]
     rows = [(f"d{i}", f"X{i % 2}", t, "d", "t") for i, t in enumerate(texts)]
     children = spark.createDataFrame(
         rows, "child_id string, issuer string, content string, document string, title string")
