@@ -24,7 +24,7 @@ from groundline.operators import pages as P
 from groundline.operators import ranking as R
 from groundline.operators.number_index import first_locations, number_index
 from groundline.plans.retrieval import retrieve
-from groundline.session import cut_lineage, text_bytes
+from groundline.session import cut_lineage, one, text_bytes
 from groundline.sources import files as S
 
 DIGITS = 6
@@ -128,7 +128,7 @@ def bm25_lists(asked: DataFrame, chunks: DataFrame, k: int = R.LIST_SIZE) -> Dat
 
 
 def ranked(lists: DataFrame) -> DataFrame:
-    return lists.select("query_id", "rank", "child_id", out("score").alias("score"))
+    return lists.select("query_id", F.col("rank").cast("long").alias("rank"), "child_id", out("score").alias("score"))
 
 
 # ------------------------------------------------------------------------------ text queries
@@ -463,7 +463,8 @@ def toc_flag(spark, sf):
 def asked_documents(spark, sf):
     """Every document with one question."""
     bench = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"))
-    docs = read(spark, sf, "documents").withColumn("item_id", F.pmod("doc_id", F.lit(40)))
+    n = one(bench.select(F.count(F.lit(1)).alias("n")))
+    docs = read(spark, sf, "documents").withColumn("item_id", F.pmod(F.col("doc_id"), n))
     return docs.join(bench, "item_id")
 
 
@@ -536,7 +537,7 @@ def neighbor_band_join(spark, sf):
 
 def tiered_parents(spark, sf):
     return P.expand_pages(P.wanted_pages(page_hits(spark, sf)), parents(spark, sf)).select(
-        "query_id", "parent_id", "tier", out("score").alias("score"))
+        "query_id", "parent_id", F.col("tier").cast("long").alias("tier"), out("score").alias("score"))
 
 
 def blocks(rows: DataFrame) -> DataFrame:
