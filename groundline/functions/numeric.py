@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from groundline.functions.text import let, table
+
 # ---- Fixed values: number grammar ----
 INDEX_NUMBER = (
     r"(?Ui)\b(?:\d{1,3}(?:[.,'\s’]\d{3})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?)(?:%|[xXmMkK]|MM|mm)?\b"
@@ -70,14 +72,14 @@ def located_numbers(c: Column, window: int = SNIPPET_CHARS) -> Column:
     before = rf"(?<=(\A[\s\S]{{0,{window - 1}}}|[\s\S]{{{window}}}))"
     number = INDEX_NUMBER.removeprefix("(?Ui)")
     pattern = rf"(?Ui)\b(?=\d){before}({number})(?=([\s\S]{{0,{window}}}))"
-    left, token, right = (_find(c, pattern, g) for g in (1, 2, 3))
+    parts = F.arrays_zip(*[_find(c, pattern, g).alias(n) for g, n in ((1, "left"), (2, "token"), (3, "right"))])
 
-    def describe(left_part: Column, i: Column) -> Column:
-        t = F.get(token, i)
-        text = F.translate(F.concat(left_part, t, F.get(right, i)), "\n", " ")
-        return F.struct(t.alias("token"), F.regexp_replace(text, r"(?U)^\s+|\s+$", "").alias("snippet"))
+    def describe(p: Column) -> Column:
+        text = F.translate(F.concat(p["left"], p["token"], p["right"]), "\n", " ")
+        return F.struct(
+            p["token"].alias("token"), F.regexp_replace(text, r"(?U)^\s+|\s+$", "").alias("snippet"))
 
-    return F.transform(left, describe)
+    return F.transform(parts, describe)
 
 
 def raw_numbers(c: Column) -> Column:
@@ -95,19 +97,13 @@ def is_year(c: Column) -> Column:
 
 
 def currency_key(c: Column) -> Column:
-    tight = F.regexp_replace(F.lower(c), r"(?U)\s", "")
-    key = tight
-    for written, canon in CURRENCY_KEYS.items():
-        key = F.when(tight == written, F.lit(canon)).otherwise(key)
-    return key
+    keys = table(CURRENCY_KEYS, "map<string,string>")
+    return let(F.regexp_replace(F.lower(c), r"(?U)\s", ""), lambda tight: F.coalesce(keys[tight], tight))
 
 
 def _zeros(word: Column) -> Column:
-    low = F.lower(word)
-    zeros = F.lit("")
-    for name, count in MULTIPLIER_ZEROS.items():
-        zeros = F.when(low == name, F.lit("0" * count)).otherwise(zeros)
-    return zeros
+    zeros = table({name: "0" * count for name, count in MULTIPLIER_ZEROS.items()}, "map<string,string>")
+    return F.coalesce(zeros[F.lower(word)], F.lit(""))
 
 
 def _fits(digits: Column) -> Column:
@@ -117,33 +113,35 @@ def _fits(digits: Column) -> Column:
 
 def amount(digits: Column, multiplier: Column) -> Column:
     """Digits times a multiplier word by appending zeros; NULL when the digits alone overflow."""
-    base = F.regexp_replace(digits, "^0+(?=[0-9])", "")
-    scaled = F.when(base == "0", base).otherwise(F.concat(base, _zeros(multiplier)))
-    return F.when(_fits(base), F.when(_fits(scaled), scaled).otherwise(F.lit(MAX_AMOUNT)))
+    def scale(base: Column) -> Column:
+        scaled = F.when(base == "0", base).otherwise(F.concat(base, _zeros(multiplier)))
+        capped = let(scaled, lambda v: F.when(_fits(v), v).otherwise(F.lit(MAX_AMOUNT)))
+        return F.when(_fits(base), capped)
+
+    return let(F.regexp_replace(digits, "^0+(?=[0-9])", ""), scale)
 
 
 def money_phrases(c: Column) -> Column:
     """Amounts with a currency sign, in text order: currency, base_digits, value, raw_text."""
-    def parse(raw: Column) -> Column:
-        digits = digits_only(F.regexp_extract(raw, MONEY, 2))
-        return F.struct(
-            currency_key(F.regexp_extract(raw, MONEY, 1)).alias("currency"),
+    parts = F.arrays_zip(*[_find(c, MONEY, g).alias(n) for g, n in enumerate(("raw", "sign", "number", "word"))])
+
+    def parse(p: Column) -> Column:
+        return let(digits_only(p["number"]), lambda digits: F.struct(
+            currency_key(p["sign"]).alias("currency"),
             digits.alias("base_digits"),
-            amount(digits, F.regexp_extract(raw, MONEY, 3)).alias("value"),
-            raw.alias("raw_text"),
-        )
+            amount(digits, p["word"]).alias("value"),
+            p["raw"].alias("raw_text"),
+        ))
 
-    parsed = F.transform(_find(c, MONEY), parse)
+    parsed = F.transform(parts, parse)
     return F.filter(parsed, lambda m: (m["base_digits"] != "") & m["value"].isNotNull()).cast(MONEY_TYPE)
 
 
 def percent_phrases(c: Column) -> Column:
     """Percentages, written as a sign or in words: canon, base_digits, raw_text."""
     def parse(raw: Column) -> Column:
-        digits = digits_only(raw)
-        return F.struct(
-            F.concat(F.lit("%|"), digits).alias("canon"), digits.alias("base_digits"), raw.alias("raw_text")
-        )
+        return let(digits_only(raw), lambda digits: F.struct(
+            F.concat(F.lit("%|"), digits).alias("canon"), digits.alias("base_digits"), raw.alias("raw_text")))
 
     return F.filter(F.transform(_find(c, PERCENT), parse), lambda p: p["base_digits"] != "").cast(PERCENT_TYPE)
 

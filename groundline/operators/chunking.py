@@ -59,26 +59,29 @@ def table_rows(c: Column, title: Column) -> Column:
 
     Rows before the first ``---`` row are the header, repeated in front of every data row.
     """
-    rows = T.pipe_rows(c)
-    rule_at = F.coalesce(
-        F.array_min(F.filter(F.transform(rows, lambda r, i: F.when(r.contains("---"), i)),
-                             lambda i: i.isNotNull())),
-        F.size(rows),
-    )
-    header = F.array_join(F.filter(rows, lambda r, i: i < rule_at), "\n")
-    data = F.filter(rows, lambda r, i: i > rule_at)
-    prefix = F.concat(
-        F.when(title == "", F.lit("")).otherwise(F.concat(title, F.lit("\n"))),
-        F.when(header == "", F.lit("")).otherwise(F.concat(header, F.lit(f"\n{TABLE_RULE}\n"))),
-    )
+    whole = F.array(F.struct(c.alias("content"), F.lit("").alias("label")))
 
-    def chunk(row: Column) -> Column:
+    def split(rows: Column) -> Column:
+        rule_at = F.coalesce(
+            F.nullif(F.array_position(F.transform(rows, lambda r: r.contains("---")), True), F.lit(0)) - 1,
+            F.size(rows))
+        return T.let(rule_at, lambda at: build(
+            F.array_join(F.filter(rows, lambda r, i: i < at), "\n"), F.filter(rows, lambda r, i: i > at)))
+
+    def build(header: Column, data: Column) -> Column:
+        prefix = F.concat(
+            F.when(title == "", F.lit("")).otherwise(F.concat(title, F.lit("\n"))),
+            F.when(header == "", F.lit("")).otherwise(F.concat(header, F.lit(f"\n{TABLE_RULE}\n"))),
+        )
+        chunks = T.let(prefix, lambda p: F.transform(data, lambda row: chunk(p, row)))
+        return F.when(F.size(data) > 0, chunks).otherwise(whole)
+
+    def chunk(prefix: Column, row: Column) -> Column:
         cells = F.filter(F.transform(F.split(row, r"\|"), T.strip), lambda s: s != "")
         label = F.coalesce(F.get(cells, F.lit(0)), F.lit(""))
         return F.struct(F.concat(prefix, row).alias("content"), label.alias("label"))
 
-    whole = F.array(F.struct(c.alias("content"), F.lit("").alias("label")))
-    return F.when(F.size(data) > 0, F.transform(data, chunk)).otherwise(whole)
+    return T.let(T.pipe_rows(c), split)
 
 
 def _prose(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from groundline.functions import numeric as N
 from groundline.operators.grounding import CURRENCY, IN_CORPUS, NOTATION, UNKNOWN
 from groundline.operators.number_index import first_locations
+from groundline.session import broadcast_if_small, cut_lineage, prune_scan
 
 CORRECTION = ["kind", "hallucinated", "suggested_value", "source", "snippet"]
 
@@ -41,7 +42,14 @@ def find_corrections(verdicts: DataFrame, by: list[str], index: DataFrame | None
     spark = verdicts.sparkSession
     if index is None:
         index = spark.createDataFrame([], "number string, document string, page int, snippet string")
-    found = index.join(wanted_numbers(verdicts), "number", "left_semi")
+    # Small from here on: ungrounded figures only, and the index rows they ask for.
+    verdicts = cut_lineage(verdicts.select(
+        *by, "hallucinated_money", "hallucinated_percent", "hallucinated_numbers",
+        F.array_intersect("hallucinated_numbers", N.raw_numbers(F.col(context))).alias("here")
+    ).where("size(hallucinated_money) + size(hallucinated_percent) + size(hallucinated_numbers) > 0"))
+    wanted = cut_lineage(wanted_numbers(verdicts))
+    found = cut_lineage(prune_scan(index, "number", wanted).join(
+        broadcast_if_small(wanted), "number", "left_semi"))
     places = first_locations(found)
     page = lambda doc, p: F.format_string("%s pág. %d", doc, p)
 
@@ -72,9 +80,8 @@ def find_corrections(verdicts: DataFrame, by: list[str], index: DataFrame | None
         )
     )
 
-    in_context = F.array_contains(N.raw_numbers(F.col(context)), F.col("number"))
-    numbers = verdicts.select(*by, context, F.posexplode(F.array_sort("hallucinated_numbers")).alias("ord", "number"))
-    of_numbers = numbers.withColumn("here", in_context).join(places, "number", "left").select(
+    numbers = verdicts.select(*by, "here", F.posexplode(F.array_sort("hallucinated_numbers")).alias("ord", "number"))
+    of_numbers = numbers.withColumn("here", F.array_contains("here", F.col("number"))).join(places, "number", "left").select(
         *by, F.struct(F.lit(1).alias("group"), "ord").alias("ord"),
         F.when(F.col("here") | F.col("document").isNotNull(), IN_CORPUS).otherwise(UNKNOWN).alias("kind"),
         F.col("number").alias("hallucinated"), F.lit(None).cast("string").alias("suggested_value"),

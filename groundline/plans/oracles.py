@@ -325,7 +325,8 @@ ATTRIBUTION = """WITH r AS (SELECT o_orderkey, n_name AS issuer,
     CASE WHEN o_orderpriority LIKE '1%' THEN 'ventas' ELSE 'utilidad_neta' END AS indicator,
     CAST(floor(o_totalprice / 1000) AS BIGINT) AS k, o_orderstatus AS st
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
-known AS (SELECT issuer, indicator, k * 1000 AS value, bool_or(st = 'P') AS in_segment FROM r GROUP BY ALL),
+known AS (SELECT n_name AS issuer, indicator, k * 1000 AS value, bool_or(st = 'P') AS in_segment
+          FROM r JOIN nation ON contains(lower(issuer), lower(n_name)) GROUP BY ALL),
 lone AS (SELECT issuer, indicator, count(*) AS n, min(value) AS value FROM known GROUP BY ALL),
 said AS (SELECT *, CASE WHEN st = 'F' THEN k * 7 ELSE k END * 1000 AS value FROM r)
 SELECT o_orderkey, said.indicator, said.issuer, 'usd' AS claimed_currency,

@@ -24,7 +24,7 @@ from groundline.operators import pages as P
 from groundline.operators import ranking as R
 from groundline.operators.number_index import first_locations, number_index
 from groundline.plans.retrieval import retrieve
-from groundline.session import cut_lineage, one, text_bytes
+from groundline.session import cut_lineage, one, spread, text_bytes
 from groundline.sources import files as S
 
 DIGITS = 6
@@ -261,8 +261,8 @@ def embedding_integrity(spark, sf):
 
 
 def document_pages(spark, sf):
-    return read(spark, sf, "documents").select(
-        F.col("source").alias("document"), F.col("doc_id").cast("int").alias("page"), "text")
+    return spread(read(spark, sf, "documents").select(
+        F.col("source").alias("document"), F.col("doc_id").cast("int").alias("page"), "text"))
 
 
 def number_locations(spark, sf):
@@ -298,7 +298,8 @@ def statements(spark, sf):
     The answer repeats the source, changes the amount for finished orders and the currency for
     partly finished ones.
     """
-    orders = read(spark, sf, "orders")
+    orders = spread(read(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
     total = F.floor("o_totalprice").cast("long")
     status = F.col("o_orderstatus")
     claimed = F.when(status == "F", total + 1).otherwise(total).cast("string")
@@ -392,8 +393,8 @@ def nation_dictionary(spark, sf):
 
 def sales_reports(spark, sf):
     """One report chunk and one answer per order about the customer's nation."""
-    orders = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus",
-                                              "o_orderpriority")
+    orders = spread(read(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"))
     customers = read(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     nations = F.broadcast(read(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"))
     thousands = F.floor(F.col("o_totalprice") / 1000).cast("long")
@@ -422,7 +423,7 @@ def attribution_findings(spark, sf):
 
 
 def chunk_pages(spark, sf):
-    return read(spark, sf, "documents").select(
+    return spread(read(spark, sf, "documents")).select(
         F.col("source").alias("document"), F.col("doc_id").cast("int").alias("page"), "text",
         F.col("source").alias("issuer"), F.col("lang").alias("doc_type"), F.lit("2025").alias("year"),
         F.lit("").alias("title"))

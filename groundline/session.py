@@ -64,6 +64,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the input has fewer splits than the session has cores.
+
+    Large inputs have more splits than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_bytes(df: DataFrame, column: str) -> int:
     """Total bytes of a text column; bounds the number of tokens it can hold."""
     row = df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first()
