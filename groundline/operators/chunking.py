@@ -96,7 +96,10 @@ META = ["document", "page", "issuer", "doc_type", "year", "title"]
 def parent_chunks(pages: DataFrame, size: int = PARENT_CHARS, overlap: int = PARENT_OVERLAP,
                   dictionary: Dictionary = DEFAULT_DICTIONARY) -> DataFrame:
     """One row per parent chunk. Narrow: every page is cut where it lies."""
-    cut = pages.select(*META, F.posexplode(split_text(F.col("text"), size, overlap)).alias("p_idx", "content"))
+    # The outer form keeps Spark from copying the splitter into a filter.
+    cut = pages.select(
+        *META, F.posexplode_outer(split_text(F.col("text"), size, overlap)).alias("p_idx", "content")
+    ).where("p_idx IS NOT NULL")
     return cut.withColumn(
         "parent_id", F.format_string("%s_p%d_parent_%d", "document", "page", "p_idx")
     ).withColumn("is_toc", T.is_contents_page(F.col("content"), dictionary))
@@ -130,7 +133,9 @@ def child_chunks(parents: DataFrame, size: int = CHILD_CHARS, overlap: int = CHI
     empty = F.array().cast("array<struct<child_id:string,content:string,label:string,is_table:boolean>>")
     both = F.concat(F.coalesce(typed(F.col("__rows"), True), empty),
                     F.coalesce(typed(F.col("__prose"), False), empty))
-    exploded = staged.select(*META, "parent_id", "p_idx", "is_toc", F.posexplode(both).alias("c_idx", "c"))
+    exploded = staged.select(
+        *META, "parent_id", "p_idx", "is_toc", F.posexplode_outer(both).alias("c_idx", "c")
+    ).where("c_idx IS NOT NULL")
     return exploded.select(
         "c.child_id", "parent_id", *META, "p_idx", "c_idx", "is_toc", "c.content", "c.is_table",
         indicator_of(F.col("c.label"), dictionary).alias("indicator"),

@@ -59,8 +59,9 @@ def find_corrections(verdicts: DataFrame, by: list[str], index: DataFrame | None
     other = amounts_in_snippets(found).select(
         "number", F.col("value").alias("alt_value"), F.col("currency").alias("alt_currency"),
         *[F.col(c).alias(f"alt_{c}") for c in ("document", "page", "pos", "snippet")])
-    swapped = looked.join(other, "number").where(
-        (F.col("alt_value") == F.col("m.value")) & (F.col("alt_currency") != F.col("m.currency"))
+    # Number and amount are both join keys: a number on many pages meets only its equal amounts.
+    swapped = looked.withColumn("alt_value", F.col("m.value")).join(other, ["number", "alt_value"]).where(
+        F.col("alt_currency") != F.col("m.currency")
     ).groupBy(*by, "ord").agg(F.min(F.struct(
         "prio", "alt_document", "alt_page", "alt_pos", "alt_currency", "alt_value", "alt_snippet")).alias("alt"))
     located = looked.join(places, "number").groupBy(*by, "ord").agg(
