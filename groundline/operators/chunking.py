@@ -44,14 +44,17 @@ def _windows(text: str, size: int, overlap: int) -> list[str]:
 
 
 def split_text(c: Column, size: int, overlap: int) -> Column:
-    """Recursive splitter as array<string>. Each cut depends on the one before, hence Arrow."""
+    """Recursive splitter as array<string>. Each cut depends on the one before, hence Arrow.
+
+    Give the result a column of its own before exploding it; it is marked so that Spark keeps it there.
+    """
 
     @F.pandas_udf("array<string>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(lambda t: None if t is None else _windows(t, size, overlap))
 
-    return cut(c)
+    return cut.asNondeterministic()(c)
 
 
 def table_rows(c: Column, title: Column) -> Column:
@@ -96,10 +99,8 @@ META = ["document", "page", "issuer", "doc_type", "year", "title"]
 def parent_chunks(pages: DataFrame, size: int = PARENT_CHARS, overlap: int = PARENT_OVERLAP,
                   dictionary: Dictionary = DEFAULT_DICTIONARY) -> DataFrame:
     """One row per parent chunk. Narrow: every page is cut where it lies."""
-    # The outer form keeps Spark from copying the splitter into a filter.
-    cut = pages.select(
-        *META, F.posexplode_outer(split_text(F.col("text"), size, overlap)).alias("p_idx", "content")
-    ).where("p_idx IS NOT NULL")
+    cut = pages.withColumn("__parts", split_text(F.col("text"), size, overlap)).select(
+        *META, F.posexplode("__parts").alias("p_idx", "content"))
     return cut.withColumn(
         "parent_id", F.format_string("%s_p%d_parent_%d", "document", "page", "p_idx")
     ).withColumn("is_toc", T.is_contents_page(F.col("content"), dictionary))
@@ -112,33 +113,37 @@ def child_chunks(parents: DataFrame, size: int = CHILD_CHARS, overlap: int = CHI
     A parent that holds a table and prose gives both kinds; ``strict`` keeps only its table rows.
     """
     content = F.col("content")
-    base = parents.withColumn("__table", T.is_pipe_table(content))
-    rows = F.when(F.col("__table"), table_rows(content, F.col("title")))
-    prose_text = F.when(~F.col("__table"), content)
+    table = T.is_pipe_table(content)
+    rows = table_rows(content, F.col("title"))
+    prose = F.when(~F.col("__table"), content)
     if not strict:
-        has_rows = F.exists(rows, lambda r: r["label"] != "")
-        mixed = F.when(F.col("__table") & has_rows & (_prose(content) != ""), _prose(content))
-        prose_text = F.coalesce(prose_text, mixed)
-    staged = base.withColumn("__rows", rows).withColumn("__prose", split_text(prose_text, size, overlap))
-
-    def typed(texts: Column, is_table: bool) -> Column:
-        mark = "_child_t_" if is_table else "_child_"
-        return F.transform(texts, lambda r, i: F.struct(
-            F.concat(F.col("parent_id"), F.lit(mark), i.cast("string")).alias("child_id"),
-            (r["content"] if is_table else r).alias("content"),
-            (r["label"] if is_table else r).alias("label"),
-            F.lit(is_table).alias("is_table"),
-        ))
-
-    empty = F.array().cast("array<struct<child_id:string,content:string,label:string,is_table:boolean>>")
-    both = F.concat(F.coalesce(typed(F.col("__rows"), True), empty),
-                    F.coalesce(typed(F.col("__prose"), False), empty))
-    exploded = staged.select(
-        *META, "parent_id", "p_idx", "is_toc", F.posexplode_outer(both).alias("c_idx", "c")
-    ).where("c_idx IS NOT NULL")
-    return exploded.select(
-        "c.child_id", "parent_id", *META, "p_idx", "c_idx", "is_toc", "c.content", "c.is_table",
-        indicator_of(F.col("c.label"), dictionary).alias("indicator"),
+        has_rows = F.exists("__rows", lambda r: r["label"] != "")
+        prose = prose.otherwise(F.when(has_rows & (_prose(content) != ""), _prose(content)))
+    part = "array<struct<is_table:boolean,content:string,label:string>>"
+    row_parts = F.transform("__rows", lambda r: F.struct(
+        F.lit(True).alias("is_table"), r["content"].alias("content"), r["label"].alias("label"))).cast(part)
+    prose_part = F.array(F.struct(
+        F.lit(False).alias("is_table"), F.col("__prose").alias("content"), F.lit("").alias("label"))).cast(part)
+    empty = F.array().cast(part)
+    parts = F.concat(F.coalesce(row_parts, empty), F.when(F.col("__prose").isNotNull(), prose_part).otherwise(empty))
+    keys = [*META, "parent_id", "p_idx", "is_toc"]
+    exploded = (
+        parents.withColumn("__table", table).withColumn("__rows", F.when(F.col("__table"), rows))
+        .withColumn("__prose", prose).select(*keys, F.posexplode(parts).alias("k", "part"))
+    )
+    # Only prose goes through the splitter; a table row is its own piece.
+    is_table = F.col("part.is_table")
+    pieces = exploded.withColumn(
+        "cuts", split_text(F.when(~is_table, F.col("part.content")), size, overlap)
+    ).select(*keys, "k", "part", F.posexplode(
+        F.coalesce("cuts", F.array("part.content"))).alias("j", "content"))
+    number = F.when(is_table, F.concat(F.lit("_child_t_"), F.col("k").cast("string"))).otherwise(
+        F.concat(F.lit("_child_"), F.col("j").cast("string")))
+    label = F.when(is_table, F.col("part.label")).otherwise(F.col("content"))
+    return pieces.select(
+        F.concat("parent_id", number).alias("child_id"), "parent_id", *META, "p_idx",
+        (F.col("k") + F.col("j")).alias("c_idx"), "is_toc", "content", is_table.alias("is_table"),
+        indicator_of(label, dictionary).alias("indicator"),
     )
 
 

@@ -436,7 +436,8 @@ def parent_windows(spark, sf):
 
 def recursive_chunks(spark, sf):
     cut = C.split_text(F.col("text"), C.CHILD_CHARS, C.CHILD_OVERLAP)
-    return read(spark, sf, "documents").select("doc_id", F.posexplode(cut).alias("c_idx", "content")).select(
+    parts = spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", cut.alias("parts"))
+    return parts.select("doc_id", F.posexplode("parts").alias("c_idx", "content")).select(
         "doc_id", F.col("c_idx").cast("long").alias("c_idx"), "content")
 
 
