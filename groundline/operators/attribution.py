@@ -42,9 +42,9 @@ def pair_amounts(children: DataFrame, dictionary: Dictionary = DEFAULT_DICTIONAR
         children.where("indicator IS NOT NULL")
         .select("indicator", owners.alias("owners"), N.money_phrases(F.col("content")).alias("money"),
                 (low.rlike(qualifier) & ~mentions_total(low)).alias("in_segment"))
-        .where((F.size("owners") > 0) & (F.size("money") > 0))
-        .select(F.explode("owners").alias("issuer"), "indicator", "money", "in_segment")
-        .select("issuer", "indicator", F.explode("money").alias("m"), "in_segment")
+        .select("owners", "indicator", F.explode_outer("money").alias("m"), "in_segment")
+        .where("m IS NOT NULL")
+        .select(F.explode("owners").alias("issuer"), "indicator", "m", "in_segment")
         .groupBy("issuer", "indicator", N.money_key(F.col("m")).alias("amount"))
         .agg(F.max("in_segment").alias("in_segment"))
     )
@@ -54,16 +54,17 @@ def claims(responses: DataFrame, by: list[str], response: str = "response",
            dictionary: Dictionary = DEFAULT_DICTIONARY, strict: bool = False) -> DataFrame:
     """(by, s_idx, m_idx, issuer, indicator, currency, value, amount, says_total) of every answer."""
     sentences = responses.select(
-        *by, F.posexplode(T.sentences(F.col(response), strict)).alias("s_idx", "sentence"))
+        *by, F.posexplode_outer(T.sentences(F.col(response), strict)).alias("s_idx", "sentence")
+    ).where("s_idx IS NOT NULL")
     low = F.lower("sentence")
     placed = sentences.select(
         *by, "s_idx", issuer_of_sentence(low, dictionary).alias("issuer"),
         F.get(matched_indicators(F.col("sentence"), dictionary), F.lit(0)).alias("indicator"),
         N.money_phrases(F.col("sentence")).alias("money"), mentions_total(low).alias("says_total"),
-    ).where("issuer IS NOT NULL AND indicator IS NOT NULL AND size(money) > 0")
+    ).where("issuer IS NOT NULL AND indicator IS NOT NULL")
     return placed.select(
-        *by, "s_idx", "issuer", "indicator", "says_total", F.posexplode("money").alias("m_idx", "m")
-    ).select(*by, "s_idx", "m_idx", "issuer", "indicator", F.col("m.currency").alias("claimed_currency"),
+        *by, "s_idx", "issuer", "indicator", "says_total", F.posexplode_outer("money").alias("m_idx", "m")
+    ).where("m IS NOT NULL").select(*by, "s_idx", "m_idx", "issuer", "indicator", F.col("m.currency").alias("claimed_currency"),
              F.col("m.value").alias("claimed_value"), N.money_key(F.col("m")).alias("amount"), "says_total")
 
 

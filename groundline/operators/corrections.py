@@ -25,7 +25,7 @@ def amounts_in_snippets(index: DataFrame) -> DataFrame:
     One row per distinct (number, amount) whatever the number's spread, merged before the shuffle.
     """
     hits = index.select("number", "document", "page", "snippet",
-                        F.posexplode(N.money_phrases(F.col("snippet"))).alias("pos", "m"))
+                        F.posexplode_outer(N.money_phrases(F.col("snippet"))).alias("pos", "m")).where("pos IS NOT NULL")
     first = F.min(F.struct("document", "page", "pos", "snippet")).alias("at")
     return hits.groupBy("number", F.col("m.value").alias("value"), F.col("m.currency").alias("currency")).agg(
         first).select("number", "value", "currency", "at.*")
@@ -43,10 +43,10 @@ def find_corrections(verdicts: DataFrame, by: list[str], index: DataFrame | None
     if index is None:
         index = spark.createDataFrame([], "number string, document string, page int, snippet string")
     # Small from here on: ungrounded figures only, and the index rows they ask for.
+    # (Filtering before the cut would make Spark evaluate the verdict once more for the filter.)
     verdicts = cut_lineage(verdicts.select(
         *by, "hallucinated_money", "hallucinated_percent", "hallucinated_numbers",
-        F.array_intersect("hallucinated_numbers", N.raw_numbers(F.col(context))).alias("here")
-    ).where("size(hallucinated_money) + size(hallucinated_percent) + size(hallucinated_numbers) > 0"))
+        F.array_intersect("hallucinated_numbers", N.raw_numbers(F.col(context))).alias("here")))
     wanted = cut_lineage(wanted_numbers(verdicts))
     found = cut_lineage(prune_scan(index, "number", wanted).join(
         broadcast_if_small(wanted), "number", "left_semi"))

@@ -14,9 +14,10 @@ def number_index(pages: DataFrame) -> DataFrame:
     Duplicates are merged before the shuffle, so a number written on every page moves one row
     per page and no group is ever gathered.
     """
+    # The outer form keeps Spark from evaluating the pattern a second time in a filter.
     mentions = pages.select(
-        "document", "page", F.posexplode(N.located_numbers(F.col("text"))).alias("pos", "hit")
-    ).select(
+        "document", "page", F.posexplode_outer(N.located_numbers(F.col("text"))).alias("pos", "hit")
+    ).where("pos IS NOT NULL").select(
         N.normalize_number(F.col("hit.token")).alias("number"), "document", "page", "pos",
         F.col("hit.snippet").alias("snippet"),
     ).where("number IS NOT NULL")

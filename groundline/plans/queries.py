@@ -322,13 +322,13 @@ def verdicts(spark, sf):
 
 
 def money_phrases(spark, sf):
-    m = statements(spark, sf).select("o_orderkey", F.posexplode(N.money_phrases(F.col("response"))).alias("pos", "m"))
+    m = statements(spark, sf).select("o_orderkey", F.posexplode_outer(N.money_phrases(F.col("response"))).alias("pos", "m")).where("pos IS NOT NULL")
     return m.select("o_orderkey", F.col("pos").cast("long").alias("pos"), "m.currency", "m.base_digits", "m.value",
                     "m.raw_text")
 
 
 def percent_phrases(spark, sf):
-    p = statements(spark, sf).select("o_orderkey", F.posexplode(N.percent_phrases(F.col("response"))).alias("pos", "p"))
+    p = statements(spark, sf).select("o_orderkey", F.posexplode_outer(N.percent_phrases(F.col("response"))).alias("pos", "p")).where("pos IS NOT NULL")
     return p.select("o_orderkey", F.col("pos").cast("long").alias("pos"), "p.canon", "p.base_digits", "p.raw_text")
 
 
@@ -351,13 +351,15 @@ def grounding_by_priority(spark, sf):
 
 def allowed_money_by_currency(spark, sf):
     """Distinct allowed amounts per currency over all sources."""
-    found = statements(spark, sf).select(F.explode(N.money_phrases(F.col("context"))).alias("m"))
+    found = statements(spark, sf).select(F.explode_outer(N.money_phrases(F.col("context"))).alias("m")).where(
+        "m IS NOT NULL")
     return found.select("m.currency", "m.value").distinct().groupBy("currency").agg(
         F.count(F.lit(1)).alias("n_values"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
 def hallucinated_set(spark, sf):
-    return verdicts(spark, sf).select("o_orderkey", F.explode("hallucinated_numbers").alias("number"))
+    return verdicts(spark, sf).select("o_orderkey", F.explode_outer("hallucinated_numbers").alias("number")).where(
+        "number IS NOT NULL")
 
 
 def contract_index(spark, sf):
@@ -454,7 +456,8 @@ def pipe_table_rows(spark, sf):
                                  lambda s: s["row"]), "\n").alias("body"))
     text = F.concat(F.lit("| Parte | Cantidad | Estado |\n|---|---|---|\n"), "body")
     title = F.concat(F.lit("Orden "), F.col("l_orderkey").cast("string"))
-    return tables.select("l_orderkey", F.posexplode(C.table_rows(text, title)).alias("row_no", "c")).select(
+    return tables.select("l_orderkey", F.posexplode_outer(C.table_rows(text, title)).alias("row_no", "c")).where(
+        "row_no IS NOT NULL").select(
         "l_orderkey", F.col("row_no").cast("long").alias("row_no"), "c.content", "c.label")
 
 
