@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from groundline.dictionaries import DEFAULT_DICTIONARY, Dictionary
 from groundline.functions import text as T
 from groundline.operators.decomposition import title_words
-from groundline.session import one
+from groundline.session import cut_lineage, one
 
 # Terms treated one by one when a dimension is joined to postings. At most this many terms can
 # each own more than 1 / HOT_TERMS of all postings, so the hot side of the dimension is bounded.
@@ -136,6 +136,10 @@ class TextIndex:
     def load(cls, spark, path: str) -> "TextIndex":
         return cls(*[spark.read.parquet(f"{path}/{name}") for name in cls.TABLES])
 
+    def checkpointed(self) -> "TextIndex":
+        """The tables written once to the checkpoint folder, for an index that is not stored."""
+        return TextIndex(*[cut_lineage(getattr(self, name)) for name in self.TABLES])
+
     def cache(self) -> "TextIndex":
         """Keep the tables for repeated questions in one session."""
         return TextIndex(*[getattr(self, name).cache() for name in self.TABLES])

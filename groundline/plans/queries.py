@@ -485,7 +485,7 @@ def listed_lines(spark, sf):
     """Both text rankers over document lines, with rare question words counted three times."""
     asked, chunks = questions(spark, sf), lines(spark, sf)
     counts = X.term_counts(chunks)
-    vocabulary = X.smoothed_idf(X.document_frequency(counts), chunks)
+    vocabulary = cut_lineage(X.smoothed_idf(X.document_frequency(counts), chunks))
     words = asked.select("query_id", "issuer_filter", F.posexplode(T.words(F.col("question"))).alias("pos", "token"))
     weighed = D.weigh_rare_words(words, vocabulary, QID)
     terms = weighed.select("query_id", "issuer_filter", F.col("token").alias("term"), "qtf")
@@ -561,7 +561,8 @@ def page_rehydrate(spark, sf):
 def hybrid_retrieve(spark, sf):
     """The whole retrieval plan: benchmark questions over document lines."""
     chunks = lines(spark, sf)
-    return blocks(retrieve(questions(spark, sf), parents(spark, sf), chunks, X.build_text_index(chunks), TOP))
+    index = X.build_text_index(chunks).checkpointed()
+    return blocks(retrieve(questions(spark, sf), parents(spark, sf), chunks, index, TOP))
 
 
 def page_must_filter(spark, sf):
