@@ -311,7 +311,7 @@ def write_token_files(docs: DataFrame, definition: str, folder: str, end_id: int
         .repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     )
-    return stored(ordered.mapInArrow(write, "part int, shard int, file string, n_docs long, n_tokens long"), "token-manifest")
+    return stored(ordered.mapInArrow(write, "part long, shard long, file string, n_docs long, n_tokens long"), "token-manifest")
 
 
 def read_token_files(spark, folder: str) -> DataFrame:
