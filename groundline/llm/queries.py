@@ -16,6 +16,34 @@ def tokenizer_file(name: str) -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groundline.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groundline.llm.chat import digest, expand
+
+    probe = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return digest(expand(turns.unionByName(own)))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groundline.llm.jaccard import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents"))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groundline.llm.neighbours import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(vectors["vec_id"] % 100 == 0), k=10, factor=1.0)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from groundline.llm.token_files import token_files
 
@@ -28,5 +56,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES = [op8_token_files, op9_token_counts]
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groundline.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = [op1_mixing, op2_chat_formatting, op3_ngram_jaccard_join, op5_nearest_neighbours, op8_token_files, op9_token_counts, op10_toxicity]
 ORACLES: dict[str, str] = {}

@@ -35,8 +35,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_total(df: DataFrame, keys: list[str], order: list, value: str, label: str) -> DataFrame:
-    """``df`` with ``before``: the sum of ``value`` over all earlier rows of the same ``keys``.
+def running_totals(df: DataFrame, keys: list[str], order: list, values: list[str], label: str) -> DataFrame:
+    """``df`` with ``before_<value>``: the sums of ``values`` over all earlier rows of the same ``keys``.
 
     A range partitioning by keys and order deals a hot key to many tasks. Each partition is summed on its own, and
     the totals of the partitions before it (a few rows a key) are joined back. ``order`` should tell rows apart;
@@ -48,17 +48,14 @@ def running_total(df: DataFrame, keys: list[str], order: list, value: str, label
     )
     inside = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        placed.groupBy(*keys, "__part").agg(F.sum(value).alias("__sum"))
-        .withColumn("__ahead", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)))
-        .select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__ahead")
+    totals = placed.groupBy(*keys, "__part").agg(*[F.sum(v).alias(f"__sum_{v}") for v in values])
+    totals = totals.select(
+        F.col("__part").alias("__p"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+        *[F.coalesce(F.sum(f"__sum_{v}").over(ahead), F.lit(0)).alias(f"__ahead_{v}") for v in values],
     )
     same = F.col("__part") == F.col("__p")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return (
-        placed.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(totals, same)
-        .withColumn("before", F.col("__inside") + F.col("__ahead"))
-        .select(*df.columns, "before")
-    )
+    sums = [F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"__inside_{v}") for v in values]
+    joined = placed.select("*", *sums).join(totals, same)
+    return joined.select(*df.columns, *[(F.col(f"__inside_{v}") + F.col(f"__ahead_{v}")).alias(f"before_{v}") for v in values])
