@@ -17,8 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundline.llm.samples import labelled_sample, remainder
-from groundline.llm.segments import LOWER, NO_WORD, mixed, passes, sequences, span_hashes, spans, text_bytes
+from groundline.llm.segments import LOWER, NO_WORD, mixed, passes, sequences, span_hashes, spans, text_bytes, words
+from groundline.llm.storage import stored
 
+#: Lengths of a word's beginnings that are features too.
+PREFIXES = (4, 5, 6, 7, 8, 9)
 #: Bytes that end a sentence.
 SENTENCE_END = np.isin(np.arange(256), [ord(c) for c in ".!?\n\r"])
 
@@ -42,17 +45,26 @@ class ToxicityModel:
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes with the number of their sentence; first sentence of each row; bytes and sentence ends."""
+    """Hashes of all features with the number of their sentence; first sentence of each row; bytes and sentence ends.
+
+    A word's features are the word and its first ``PREFIXES`` bytes, so that inflected forms share what they have learnt.
+    """
     data, offsets = text_bytes(column)
     starts, ends, _ = spans(data, offsets, NO_WORD)
     final = SENTENCE_END[data]
     final[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True  # a row's last byte ends its last sentence
     past = np.concatenate(([0], np.cumsum(final)))
-    return span_hashes(LOWER[data], starts, ends), past[starts], past[offsets], data, np.flatnonzero(final) + 1
+    begins, stops = [starts], [ends]
+    for length in PREFIXES:
+        longer = ends - starts > length
+        begins.append(starts[longer])
+        stops.append(starts[longer] + length)
+    begin, stop = np.concatenate(begins), np.concatenate(stops)
+    return span_hashes(LOWER[data], begin, stop), past[begin], past[offsets], data, np.flatnonzero(final) + 1
 
 
 def _known(hashes: np.ndarray, sentences: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (sentence, feature) pairs of the words that the model knows."""
+    """Distinct (sentence, feature) pairs of the features that the model knows."""
     if not len(words):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
@@ -62,39 +74,53 @@ def _known(hashes: np.ndarray, sentences: np.ndarray, words: np.ndarray) -> tupl
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, per_class: int = 5000, max_bytes: int = 200_000, features: int = 20_000, least_z: float = 3.5, steps: int = 300
+    docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_bytes: int = 200_000, features: int = 20_000, least_z: float = 3.5, steps: int = 300
 ) -> ToxicityModel:
     """Fit on up to ``per_class`` labelled documents of each class (see ``labelled_sample``).
 
-    Of copies among them one is used. Words are features when the document frequencies of the classes differ by ``least_z`` standard errors; of these
+    Of copies among them one is used. Words and their beginnings are features when the document frequencies of the classes differ by ``least_z`` standard errors; of these
     at most ``features`` with the largest difference. Without labels of both classes the model scores every text 0.
     """
-    sample = labelled_sample(docs, labels, "toxic", per_class, max_bytes)
+    sample = stored(labelled_sample(docs, labels, "toxic", per_class, max_bytes).select("doc_id", "text", "label", "weight"), "toxic-sample")
 
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passes(batches):
+            hashes, rows = words(batch.column("text"), NO_WORD)
+            sketches = [_sketch(hashes[a:b]).tobytes() for a, b in zip(rows[:-1], rows[1:], strict=True)]
             hashes, sentences, first, _, _ = _words(batch.column("text"))
-            rows = np.searchsorted(sentences, first)
-            out = []
-            for r in range(batch.num_rows):
-                a, b = rows[r], rows[r + 1]
-                out.append((hashes[a:b].tobytes(), (sentences[a:b] - first[r]).astype(np.int32).tobytes(), _sketch(hashes[a:b]).tobytes()))
+            order = np.argsort(sentences, kind="stable")
+            hashes, cuts = hashes[order], np.searchsorted(sentences[order], first)
+            features = [np.unique(hashes[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), batch.column("weight"), *[pa.array(c, pa.binary()) for c in zip(*out, strict=True)]],
-                names=["doc_id", "label", "weight", "hashes", "sentences", "sketch"],
+                [batch.column("doc_id"), batch.column("label"), pa.array(features, pa.binary()), pa.array(sketches, pa.binary())],
+                names=["doc_id", "label", "features", "sketch"],
             )
 
-    bag_table = sample.select("doc_id", "text", "label", "weight").mapInArrow(
-        bags, "doc_id long, label int, weight double, hashes binary, sentences binary, sketch binary"
-    ).toArrow().sort_by("doc_id")
-    bag_table = bag_table.filter(pa.array(_one_of_each(bag_table["sketch"].to_pylist())))
-    label, weight = bag_table["label"].to_numpy(), bag_table["weight"].to_numpy()
+    seen = sample.mapInArrow(distinct, "doc_id long, label int, features binary, sketch binary").toArrow().sort_by("doc_id")
+    once = np.array(_one_of_each(seen["sketch"].to_pylist()), bool)
+    used, label = seen["doc_id"].to_numpy()[once], seen["label"].to_numpy()[once]
     nothing = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 0.0, 0.0)
     if len(set(label.tolist())) < 2:
         return nothing
-    hashes = [np.frombuffer(h, np.uint64) for h in bag_table["hashes"].to_pylist()]
-    sentences = [np.frombuffer(s, np.int32).astype(np.int64) for s in bag_table["sentences"].to_pylist()]
-    return _fit(hashes, sentences, label, weight, features, least_z, steps) or nothing
+    found = [np.frombuffer(f, np.uint64) for f, o in zip(seen["features"].to_pylist(), once.tolist(), strict=True) if o]
+    chosen, z = _associated(found, label, features, least_z)
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in passes(batches):
+            hashes, sentences, first, _, _ = _words(batch.column("text"))
+            sentence, feature = _known(hashes, sentences, shared.value)
+            cuts = np.searchsorted(sentence, first)
+            pairs = [((sentence[a:b] - f).tobytes(), feature[a:b].tobytes()) for a, b, f in zip(cuts[:-1], cuts[1:], first, strict=False)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("label"), batch.column("weight"), *[pa.array(c, pa.binary()) for c in zip(*pairs, strict=True)]],
+                names=["doc_id", "label", "weight", "sentences", "features"],
+            )
+
+    bag = sample.mapInArrow(bags, "doc_id long, label int, weight double, sentences binary, features binary").toArrow().sort_by("doc_id")
+    bag = bag.filter(pa.array(np.isin(bag["doc_id"].to_numpy(), used)))
+    pairs = [tuple(np.frombuffer(x, np.int64) for x in row) for row in zip(bag["sentences"].to_pylist(), bag["features"].to_pylist(), strict=True)]
+    return _fit(pairs, bag["label"].to_numpy(), bag["weight"].to_numpy(), chosen, z, steps) or nothing
 
 
 def _sketch(hashes: np.ndarray) -> np.ndarray:
@@ -113,10 +139,9 @@ def _one_of_each(sketches: list[bytes]) -> list[bool]:
     return first
 
 
-def _associated(hashes: list[np.ndarray], label: np.ndarray, features: int, least_z: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted words whose document frequencies differ between the classes, and the sign of the difference."""
+def _associated(distinct: list[np.ndarray], label: np.ndarray, features: int, least_z: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted features whose document frequencies differ between the classes, and the sign of the difference."""
     n1, n0 = int(label.sum()), int((1 - label).sum())
-    distinct = [np.unique(h) for h in hashes]
     every, counts = np.unique(np.concatenate(distinct), return_counts=True)
     own, own_counts = np.unique(np.concatenate([d for d, y in zip(distinct, label, strict=True) if y]), return_counts=True)
     toxic = np.zeros(len(every))
@@ -129,14 +154,12 @@ def _associated(hashes: list[np.ndarray], label: np.ndarray, features: int, leas
     return every[kept], z[kept]
 
 
-def _fit(hashes, sentences, label, weight, features, least_z, steps) -> ToxicityModel | None:
-    words, z = _associated(hashes, label, features, least_z)
+def _fit(pairs, label, weight, words, z, steps) -> ToxicityModel | None:
     marks = (z > 0).astype(float)
     if not marks.any():
         return None
     pair_sentence, pair_feature, owner, total = [], [], [], 0
-    for doc, (h, s) in enumerate(zip(hashes, sentences, strict=True)):
-        found, feature = _known(h, s, words)
+    for doc, (found, feature) in enumerate(pairs):
         distinct, inverse = np.unique(found, return_inverse=True)
         marked = np.bincount(inverse, marks[feature], len(distinct)) > 0
         number = np.cumsum(marked) - 1
