@@ -44,6 +44,12 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where(vectors["vec_id"] % 100 == 0), k=10, factor=1.0)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groundline.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from groundline.llm.decontaminate import contaminated
 
@@ -68,5 +74,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = [op1_mixing, op2_chat_formatting, op3_ngram_jaccard_join, op5_nearest_neighbours, op7_benchmark_decontamination, op8_token_files, op9_token_counts, op10_toxicity]
+QUERIES = [op1_mixing, op2_chat_formatting, op3_ngram_jaccard_join, op5_nearest_neighbours, op6_quality_classifier, op7_benchmark_decontamination, op8_token_files, op9_token_counts, op10_toxicity]
 ORACLES: dict[str, str] = {}
