@@ -37,6 +37,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groundline.llm.lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from groundline.llm.neighbours import nearest
 
@@ -74,5 +80,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = [op1_mixing, op2_chat_formatting, op3_ngram_jaccard_join, op5_nearest_neighbours, op6_quality_classifier, op7_benchmark_decontamination, op8_token_files, op9_token_counts, op10_toxicity]
+QUERIES = [op1_mixing, op2_chat_formatting, op3_ngram_jaccard_join, op4_lm_scoring, op5_nearest_neighbours, op6_quality_classifier, op7_benchmark_decontamination, op8_token_files, op9_token_counts, op10_toxicity]
 ORACLES: dict[str, str] = {}
