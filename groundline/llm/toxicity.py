@@ -189,14 +189,14 @@ def _fit(pairs, label, weight, words, z, steps) -> ToxicityModel | None:
     return ToxicityModel(words, theta[:n], marks, float(theta[n]), float(1 / (1 + np.exp(-theta[n + 1]))))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``docs`` with ``score``, from 0 to 1; all columns stay (one named ``score`` is replaced).
+def score_toxicity(docs: DataFrame, model: ToxicityModel, into: str = "score") -> DataFrame:
+    """``docs`` with the column ``into``, from 0 to 1; all columns stay (one of that name is replaced).
 
     Every sentence of the whole text counts. Null and empty texts get the leak alone. Row by row, without a shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(astuple(model))  # plain arrays
-    kept = [c for c in docs.columns if c != "score"]
-    schema = docs.select(*kept).withColumn("score", F.lit(0.0)).schema
+    kept = [c for c in docs.columns if c != into]
+    schema = docs.select(*kept).withColumn(into, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passes(batches):
@@ -206,7 +206,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             row = np.searchsorted(first, found, "right") - 1
             clear = np.bincount(row, np.logaddexp(0, logits), batch.num_rows)
             score = 1 - (1 - model.leak) * np.exp(-clear)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(score, 0.0, 1.0))], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(score, 0.0, 1.0))], names=[*kept, into])
 
     return docs.select(*kept).mapInArrow(run, schema)
 
