@@ -1,14 +1,15 @@
 """Exact Jaccard self-join on word shingles, to components, with signature trees.
 
-Candidates. Under any one order of all shingles, two sets of similarity t share a shingle among the first
-n - ceil(t * n) + 1 of each. The order puts shingles that many documents hold last, so prefixes hold rare ones; which
-shingles count as frequent changes the work, never the result. Equal sets are one set from the start, and copies never
-multiply.
+Candidates. Under any one order of all shingles, two sets of similarity t share k shingles among the first
+n - ceil(t * n) + k of each. The order puts shingles that many documents hold last, so prefixes hold rare ones; which
+shingles count as frequent changes the work, never the result. With k = n // 12 + 1, a set of whose prefix fewer shingles
+stand in any other prefix has no partner, which rules out documents that only quote the same passages. Equal sets
+are one set from the start, and copies never multiply.
 
-Blocks. The sets that share a prefix shingle form a block. First come the blocks of each set's first shingle alone,
-which join most copies; then, for every shingle that still stands in several components, one delegate of each
-component; then all sets of the shingles that are left. Links inside a component are never needed again, so a group of
-copies costs about one comparison for each member.
+Blocks. The sets that share a prefix shingle form a block. First come the blocks of one shingle for each set, the least
+under a few hashes in turn, which join most copies; then, for every shingle that still stands in several components, one
+delegate of each component; then all sets of the shingles that are left. Links inside a component are never needed
+again, so a group of copies costs about one comparison for each member.
 
 Signature trees. In a block, leaves hold a set's token bitmap and size, inner nodes the OR of the bitmaps and the range of the
 sizes. A dual traversal drops node pairs whose largest possible overlap is below the least overlap that their sizes
@@ -36,6 +37,10 @@ WINDOW, BLOCK = 2_000_000, 1000
 # Largest list of ids that is sent to all tasks.
 BROADCAST_IDS = 4_000_000
 FAN_OUT = 4
+# Linked sets share n // SHARED_PART + 1 shingles of their prefixes, n the smaller size.
+SHARED_PART = 12
+# Turns of the blocks of one shingle for each set.
+FIRST_TURNS = 3
 
 
 def _set_ids(sets: list[np.ndarray]) -> np.ndarray:
@@ -70,17 +75,20 @@ def _distinct(reader, most: int) -> Iterator[tuple[list[np.ndarray], list[int]]]
 # --- signature trees ---------------------------------------------------------------------------------------------
 
 
-def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A bitmap of each set, as 64-bit words; wide enough that the largest set fills at most half of it."""
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Token bitmap of a set, at most half full."""
     width = 64
-    while width < 2 * max(map(len, sets)) and width < 65_536:
+    while width < 2 * len(shingles) and width < 65_536:
         width *= 2
-    out = np.zeros((len(sets), width // 64), np.uint64)
-    for row, s in enumerate(sets):
-        bits = np.zeros(width, bool)
-        bits[(s & np.uint64(width - 1)).astype(np.int64)] = True
-        out[row] = np.packbits(bits).view(np.uint64)
-    return out
+    bits = np.zeros(width, bool)
+    bits[(shingles & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _of_one_width(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words; a narrower one repeats, so that every common token still has a common bit."""
+    width = max(map(len, bitmaps))
+    return np.array([np.frombuffer(b * (width // len(b)), np.uint64) for b in bitmaps])
 
 
 class _Level:
@@ -113,11 +121,10 @@ class _Level:
         return keep
 
 
-def candidate_pairs(sets: list[np.ndarray], labels: np.ndarray, num: int = 3, den: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets that the dual traversal of their signature tree can't rule out."""
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    bits = _bitmaps(sets)
-    levels = [_Level(bits, sizes, sizes, sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), labels)]
+def candidate_pairs(bitmaps: list[bytes], sizes: np.ndarray, labels: np.ndarray, num: int = 3, den: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets that the dual traversal of their signature tree can't rule out; best with neighbours by size."""
+    ones = np.array([np.bitwise_count(np.frombuffer(b, np.uint8)).sum() for b in bitmaps], np.int64)
+    levels = [_Level(_of_one_width(bitmaps), sizes, sizes, sizes - ones, labels)]
     while len(levels[-1].low) > FAN_OUT:
         levels.append(levels[-1].above())
     i, j = np.triu_indices(len(levels[-1].low))
@@ -170,7 +177,8 @@ def block_links(ids: list[int], sets: list[np.ndarray], labels: list[int], num:
             if x != middle:
                 compare(min(x, middle), max(x, middle))
     if left > 1:
-        pairs = candidate_pairs(sets, np.array([root(x) for x in range(len(ids))]), num, den)
+        roots, sizes = np.array([root(x) for x in range(len(ids))]), np.fromiter(map(len, sets), np.int64, len(sets))
+        pairs = candidate_pairs([bitmap(x) for x in sets], sizes, roots, num, den)
         for x, y in zip(*(p.tolist() for p in pairs), strict=True):
             if left == 1:
                 break
@@ -228,8 +236,8 @@ def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, num: int, den: int, slices: int) -> DataFrame:
-    """Prefix shingles of all sets: kind 0 the first one, kind 1 a frequent one (shingle, set in rows of their own);
-    kind 2 all others, packed by slice of the shingles' range."""
+    """Prefix shingles of all sets: kind 1 frequent ones, in rows of their own; kind 2 all others, packed by slice of the
+    shingles' range."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,15 +253,13 @@ def _postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: in
             prefix, prefix_ranks, lengths = [], [], []
             for s, end in zip(sets, ends.tolist(), strict=True):
                 n = len(s)
-                length, rank = n - -(-num * n // den) + 1, ranks[end - n : end]
+                length, rank = n - -(-num * n // den) + n // SHARED_PART + 1, ranks[end - n : end]
                 order = np.argsort(rank, kind="stable")[:length] if rank.any() else slice(0, length)
                 prefix.append(s[order])
                 prefix_ranks.append(rank[order])
                 lengths.append(length)
             lengths = np.array(lengths)
             shingle, rank, owner = np.concatenate(prefix), np.concatenate(prefix_ranks), np.repeat(np.array(ids, np.int64), lengths)
-            first = np.cumsum(lengths) - lengths
-            yield _packed(0, shingle[first], owner[first])
             yield _packed(1, shingle[rank > 0], owner[rank > 0])
             shingle, owner = shingle[rank == 0], owner[rank == 0]
             order = np.argsort(shingle)
@@ -316,18 +322,39 @@ def _shared(packed: DataFrame, slices: int) -> DataFrame:
     return dealt.mapInArrow(run, "shingle long, id long")
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """A stored list of ids, for broadcast when it is small enough; else both sides are shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _with_partners(shared: DataFrame, sets: DataFrame, num: int, den: int, turns: int = 2) -> DataFrame:
+    """``shared`` without the sets that have too few shared shingles for any partner, and without shingles left alone.
+
+    A partner of a set of n has at least ceil(num * n / den) shingles. Dropping a set may leave others without
+    partners, hence the ``turns``.
+    """
+    least = F.floor(F.ceil(F.col("n") * num / den) / SHARED_PART) + 1
+    needs = sets.select(F.col("id").alias("__id"), least.alias("least"))
+    for _ in range(turns):
+        held = shared.groupBy("id").count().join(needs, F.col("id") == F.col("__id")).where("count >= least").select("id")
+        shared = shared.join(_small(stored(held, "partner-ids")), "id", "left_semi")
+        twice = shared.groupBy("shingle").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("shingle")
+        shared = stored(shared.join(twice, "shingle", "left_semi"), "prefix-partners")
+    return shared
+
+
 def _contents(docs: DataFrame, sets: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """(id, packed): the shingles of the ``needed(id)`` sets, each from one document that has it."""
-    chosen = stored(needed.distinct().join(sets, "id").select("doc_id").distinct(), "set-owners")
-    count = chosen.count()
-    wanted = F.broadcast(chosen) if count <= BROADCAST_IDS else chosen  # 8 bytes each; beyond it the texts are shuffled
-    mine = docs.join(wanted, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
+    """(id, n, bitmap, packed): size, bitmap and shingles of the ``needed(id)`` sets, each from one document that has it."""
+    chosen = stored(needed.join(sets, "id").select("doc_id").distinct(), "set-owners")
+    mine = docs.join(_small(chosen), docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets, ids in _distinct(_read(batches, size), 500_000):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "packed"])
+            columns = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([f(s) for s in sets], pa.binary()) for f in (bitmap, np.ndarray.tobytes)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "bitmap", "packed"])
 
-    return mine.mapInArrow(run, "id long, packed binary")
+    # a set may come from several documents of one id
+    return mine.mapInArrow(run, "id long, n long, bitmap binary, packed binary").join(needed, "id", "left_semi")
 
 
 def _links(members: DataFrame, contents: DataFrame, num: int, den: int) -> DataFrame:
@@ -354,9 +381,37 @@ def _links(members: DataFrame, contents: DataFrame, num: int, den: int) -> DataF
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    joined = members.join(contents, "id").select("block", "id", "label", "packed")
-    dealt = joined.repartition(partitions(members.sparkSession), "block").sortWithinPartitions("block")
-    return dealt.mapInArrow(run, "a long, b long")
+    return _dealt(members, contents.select("id", "packed")).mapInArrow(run, "a long, b long")
+
+
+def _dealt(members: DataFrame, contents: DataFrame) -> DataFrame:
+    """The members with what their sets hold, block by block."""
+    return members.join(contents, "id").repartition(partitions(members.sparkSession), "block").sortWithinPartitions("block")
+
+
+def _candidates(members: DataFrame, contents: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b), a < b: pairs of ``members(block, id, label)`` with different labels that no block's signature tree rules out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def finish(rows: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                ordered = sorted(rows.items(), key=lambda r: (r[1][1], r[0]))
+                names, labels = np.array([r[0] for r in ordered]), {}
+                label = np.array([labels.setdefault(r[1][0], len(labels)) for r in ordered])
+                i, j = candidate_pairs([r[1][2] for r in ordered], np.array([r[1][1] for r in ordered], np.int64), label, num, den)
+                a, b = names[i], names[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        now, rows = None, {}
+        for batch in batches:
+            for block, name, *rest in zip(*(batch.column(c).to_pylist() for c in ("block", "id", "label", "n", "bitmap")), strict=True):
+                if block != now:
+                    yield from finish(rows)
+                    now, rows = block, {}
+                rows[name] = tuple(rest)
+        yield from finish(rows)
+
+    return _dealt(members, contents.select("id", "n", "bitmap")).mapInArrow(run, "a long, b long").distinct()
 
 
 def _one_for_each(members: DataFrame) -> DataFrame:
@@ -365,6 +420,17 @@ def _one_for_each(members: DataFrame) -> DataFrame:
     return members.join(signs.groupBy("sign", "n").agg(F.min("block").alias("block")).select("block"), "block")
 
 
+def _joined(ids: DataFrame, links: DataFrame | None, labels: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links with the new ones, and (id, label): the component of every set."""
+    found = stored(found, "links")
+    if found.isEmpty():
+        return (found if links is None else links), labels
+    links = found if links is None else links.unionByName(found)
+    named = components(links)
+    named = ids.join(named, ids["id"] == named["node"], "left").select("id", F.coalesce("component", "id").alias("label"))
+    return links, stored(named, "labels")
+
+
 def similar_components(docs: DataFrame, similarity: Fraction = Fraction(3, 4), size: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) of ``docs(doc_id, text)``.
 
@@ -379,30 +445,29 @@ def similar_components(docs: DataFrame, similarity: Fraction = Fraction(3, 4), s
     slices = partitions(docs.sparkSession)
     described = stored(_described(docs, size), "sets")
     rows = described.where("kind = 0").select("doc_id", "n", "id")
-    sets = rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    sets = rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     frequent = _frequent(described.where("kind = 1"))
 
     postings = _postings(docs, frequent, size, num, den, slices)
-    dealt = stored(postings.where("kind < 2").select("kind", "shingle", "id").distinct(), "prefix-rows")
-    rare = _shared(postings.where("kind = 2"), slices)
-    shared = stored(rare.unionByName(dealt.where("kind = 1").select("shingle", "id")), "prefix-shared")
-
-    # first shingles; the sets of a frequent one are dealt to several blocks
-    firsts = dealt.where("kind = 0").select("shingle", "id")
-    counts = firsts.groupBy("shingle").count().where("count > 1")
-    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / BLOCK).cast("long"))
-    members = stored(firsts.join(counts, "shingle").select(F.xxhash64("shingle", salt).alias("block"), "id", F.col("id").alias("label")), "first-blocks")
-    links = stored(_links(members, _contents(docs, sets, members.select("id"), size), num, den), "links")
+    often = postings.where("kind = 1").select("shingle", "id").distinct()
+    shared = _with_partners(stored(_shared(postings.where("kind = 2"), slices).unionByName(often), "prefix-shared"), sets, num, den)
+
+    ids = stored(shared.select("id").distinct(), "partner-ids")
+    contents = stored(_contents(docs, sets, ids, size), "set-contents")
+    labels = ids.withColumn("label", F.col("id"))
+    links = None
+    for turn in range(FIRST_TURNS):
+        chosen = shared.groupBy("id").agg(F.min_by("shingle", F.xxhash64("shingle", F.lit(turn))).alias("shingle"))
+        members = chosen.join(labels, "id").groupBy("shingle", "label").agg(F.min("id").alias("id"))
+        counts = members.groupBy("shingle").count().where("count > 1")
+        salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / BLOCK).cast("long"))  # a frequent shingle has several blocks
+        blocks = members.join(counts, "shingle").select(F.xxhash64("shingle", salt).alias("block"), "id", "label")
+        links, labels = _joined(ids, links, labels, _links(blocks, contents, num, den))
 
     for last in (False, True):
-        named = components(links)
-        labelled = stored(
-            shared.join(named, shared["id"] == named["node"], "left")
-            .select("shingle", "id", F.coalesce("component", "id").alias("label")), "prefix-labels"
-        )
+        labelled = shared.join(labels, "id")
         spread = labelled.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("count"))
-        spread = spread.where("least <> most").select("shingle", "count")
-        open_rows = labelled.join(spread, "shingle")
+        open_rows = labelled.join(spread.where("least <> most").select("shingle", "count"), "shingle")
         if not last:
             blocks = open_rows.groupBy("shingle", "label").agg(F.min("id").alias("id")).select(F.col("shingle").alias("block"), "id", "label")
         else:
@@ -412,11 +477,13 @@ def similar_components(docs: DataFrame, similarity: Fraction = Fraction(3, 4), s
             other = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
             cut = open_rows.select("shingle", "id", "label", mine.alias("mine"), other.alias("other"))
             blocks = cut.select(F.xxhash64("shingle", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "id", "label")
-        blocks = stored(_one_for_each(blocks), "blocks")
-        links = stored(links.unionByName(_links(blocks, _contents(docs, sets, blocks.select("id"), size), num, den)), "links")
+        pairs = stored(_candidates(_one_for_each(stored(blocks, "blocks")), contents, num, den), "pairs")
+        # compared star by star: a set with all its partners
+        stars = pairs.select(F.col("a").alias("block"), F.col("b").alias("id")).unionByName(pairs.select(F.col("a").alias("block"), F.col("a").alias("id")).distinct())
+        links, labels = _joined(ids, links, labels, _links(stars.join(labels, "id"), contents, num, den))
 
-    named = components(links)
-    whole = rows.join(named, rows["id"] == named["node"], "left").select("doc_id", "n", F.coalesce("component", "id").alias("label"))
+    names = labels.select(F.col("id").alias("__id"), "label")
+    whole = rows.join(names, rows["id"] == names["__id"], "left").select("doc_id", "n", F.coalesce("label", "id").alias("label"))
     least = whole.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     joined = whole.join(least, "label", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -430,9 +497,9 @@ def one_of_each(docs: DataFrame, similarity: Fraction = Fraction(3, 4), size: in
     found = stored(similar_components(docs, similarity, size), "components")
     extra = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
     again = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    marked = stored(extra.withColumn("gone", F.lit(True)).unionByName(again.withColumn("gone", F.lit(False))), "copies")
+    marked = extra.withColumn("gone", F.lit(True)).unionByName(again.withColumn("gone", F.lit(False)))
     marked = marked.groupBy(F.col("doc_id").alias("__id")).agg(F.max("gone").alias("__gone"))
-    small = marked.count() <= BROADCAST_IDS
-    joined = docs.join(F.broadcast(marked) if small else marked, docs["doc_id"] == F.col("__id"), "left")
+    marked = stored(marked, "copies")
+    joined = docs.join(_small(marked), docs["doc_id"] == F.col("__id"), "left")
     kept = joined.where("__gone is null").select(*docs.columns)
     return kept.unionByName(joined.where("not __gone").select(*docs.columns).dropDuplicates(["doc_id", "text"]))

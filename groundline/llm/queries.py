@@ -6,6 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from groundline.llm.oracles import ORACLES as ORACLES
 from groundline.llm.storage import table
 
 
@@ -81,4 +82,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [op1_mixing, op2_chat_formatting, op3_ngram_jaccard_join, op4_lm_scoring, op5_nearest_neighbours, op6_quality_classifier, op7_benchmark_decontamination, op8_token_files, op9_token_counts, op10_toxicity]
-ORACLES: dict[str, str] = {}
+
