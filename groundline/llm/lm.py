@@ -8,7 +8,7 @@ log10(m(h) / (c(h) + m(h))).
 
 Scale. The model grows with the corpus and is never whole in one place. Documents form blocks; each block asks for
 its own words and bigrams, packed by slices of the hash range, and hands in its own training counts with them. A slice
-adds up the counts of all blocks and answers each. A block then builds the part of the automaton that its texts touch
+adds up the counts of all blocks and answers each, words with the slice's share of N and V. A block then builds the part of the automaton that its texts touch
 and traverses each text once from left to right.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from groundline.llm.samples import remainder
 from groundline.llm.segments import mixed, passes, words
-from groundline.llm.storage import partitions, stored
+from groundline.llm.storage import partitions
 
 BLOCK_TOKENS = 1_000_000
 # 56 bits of a hash name a word or a bigram.
@@ -87,7 +87,7 @@ def contexts(tokens: np.ndarray, starts: np.ndarray, begin) -> np.ndarray:
 
 
 ROWS = "route long, kind int, block long, packed binary"
-WORDS, BIGRAMS, DOCS, TOTALS = range(4)
+WORDS, BIGRAMS, DOCS = range(3)
 
 
 def _rows(route, kind, block, packed) -> pa.RecordBatch:
@@ -102,7 +102,7 @@ def _blocks(docs: DataFrame, slices: int) -> DataFrame:
     def ask(kind: int, block: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         step = np.uint64((1 << 56) // slices + 1)
         bounds = np.searchsorted(keys, np.arange(slices + 1, dtype=np.uint64) * step)
-        full = np.flatnonzero(np.diff(bounds))
+        full = np.flatnonzero(np.diff(bounds)) if kind == BIGRAMS else np.arange(slices)  # every slice tells every block its totals
         packed = [joined([pack_sorted(keys[a:b]), pack_counts(counts[a:b])]) for a, b in zip(bounds[full].tolist(), bounds[full + 1].tolist(), strict=True)]
         return _rows(full, kind, block, packed)
 
@@ -144,7 +144,7 @@ def _blocks(docs: DataFrame, slices: int) -> DataFrame:
 
 
 def _answers(rows: DataFrame, slices: int) -> DataFrame:
-    """The counts over all blocks for each request, the slices' totals, and the blocks' documents as they are."""
+    """The counts over all blocks for each request, with the slice's totals for words, and the blocks' documents as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, asked = None, []
@@ -155,9 +155,8 @@ def _answers(rows: DataFrame, slices: int) -> DataFrame:
             distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             sums = np.bincount(inverse, np.concatenate([unpack_counts(c) for c in counts]), len(distinct)).astype(np.int64)
             ends = np.cumsum([len(k) for k in keys])
-            yield _rows(route, kind, [b for b, _ in asked], [pack_counts(sums[inverse[e - len(k) : e]]) for e, k in zip(ends.tolist(), keys, strict=True)])
-            if kind == WORDS:
-                yield _rows(route, TOTALS, -1, [np.array([sums.sum(), (sums > 0).sum()], "<i8").tobytes()])
+            totals = [np.array([sums.sum(), (sums > 0).sum()], "<i8").tobytes()] * (kind == WORDS)
+            yield _rows(route, kind, [b for b, _ in asked], [joined([pack_counts(sums[inverse[e - len(k) : e]]), *totals]) for e, k in zip(ends.tolist(), keys, strict=True)])
 
         for batch in batches:
             for route, kind, block, packed in zip(*(batch.column(c).to_pylist() for c in ("route", "kind", "block", "packed")), strict=True):
@@ -226,9 +225,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """
     slices = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), remainder("doc_id", 7, 2).alias("held_out"))
-    answers = stored(_answers(_blocks(rows, slices), slices), "lm-answers")
-    sums = [np.frombuffer(r["packed"], "<i8") for r in answers.where(F.col("kind") == TOTALS).select("packed").collect()]  # one row a slice
-    total, different = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
+    answers = _answers(_blocks(rows, slices), slices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, {}
@@ -236,7 +233,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
         def finish(parts: dict[int, list[bytes]]) -> pa.RecordBatch:
             ids, nulls, lengths, held, distinct, codes = parted(parts[DOCS][0])
             lengths, codes, distinct = np.frombuffer(lengths, "<i8"), unpack_counts(codes), unpack_sorted(distinct)
-            counts, pair_counts = (np.concatenate([unpack_counts(p) for p in parts[k]]) for k in (WORDS, BIGRAMS))
+            answered = [[parted(p) for p in parts[k]] for k in (WORDS, BIGRAMS)]
+            counts, pair_counts = (np.concatenate([unpack_counts(p[0]) for p in own]) for own in answered)
+            total, different = (int(x) for x in np.sum([np.frombuffer(p[1], "<i8") for p in answered[0]], axis=0))
             starts = np.cumsum(lengths) - lengths
             before = contexts(distinct[codes], starts, BEGIN)
             _, first = np.unique(bigram_keys(before, distinct[codes]), return_index=True)
@@ -265,5 +264,5 @@ def score_documents(docs: DataFrame) -> DataFrame:
         if parts:
             yield finish(parts)
 
-    dealt = answers.where(F.col("kind") != TOTALS).repartition(slices, "block").sortWithinPartitions("block", "kind", "route")
+    dealt = answers.repartition(slices, "block").sortWithinPartitions("block", "kind", "route")
     return dealt.mapInArrow(run, SCORES)
