@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
 
 # ---- Fixed values: Spanish stopwords (unaccented, as the search normaliser leaves them) ----
 STOPWORDS = tuple(
@@ -174,13 +173,3 @@ class Dictionary:
 
 
 DEFAULT_DICTIONARY = Dictionary()
-
-
-def indicator_table(spark: SparkSession, dictionary: Dictionary = DEFAULT_DICTIONARY) -> DataFrame:
-    """The indicator dictionary as a dimension table; its size is fixed by the dictionary."""
-    rows = [
-        (i, canon, j, alias)
-        for i, (canon, aliases) in enumerate(dictionary.indicators)
-        for j, alias in enumerate(aliases)
-    ]
-    return spark.createDataFrame(rows, "spec_ord int, canon string, alias_ord int, alias string")

@@ -18,7 +18,6 @@ _LONG_CHARS = "áéíóúüñÑſK"
 _WORD_CHARS = f"a-z0-9.%/{_LONG_CHARS}"
 # Letters and digits only, as a full-text analyser cuts them.
 ANALYSED_PATTERN = r"[\p{IsAlphabetic}\p{N}]+"
-ANALYSED_MAX_BYTES = 40
 
 _PIPE_ROW = r"(?dU)^\s*\|.*\|\s*$"
 _MERGED_HEADER = (
@@ -57,10 +56,10 @@ def words(c: Column, dictionary: Dictionary = DEFAULT_DICTIONARY) -> Column:
     return F.regexp_extract_all(normalize(c), F.lit(word_pattern(dictionary.stopwords)), F.lit(0))
 
 
-def analysed_terms(c: Column) -> Column:
-    """Full-text terms: alphanumeric runs, lower-cased, over-long runs dropped."""
+def analysed_terms(c: Column, max_bytes: int | None = None) -> Column:
+    """Full-text terms: alphanumeric runs, lower-cased; runs of ``max_bytes`` or more are dropped if it is given."""
     found = F.regexp_extract_all(F.lower(normalize(c)), F.lit(ANALYSED_PATTERN), F.lit(0))
-    return F.filter(found, lambda t: F.octet_length(t) < ANALYSED_MAX_BYTES)
+    return found if max_bytes is None else F.filter(found, lambda t: F.octet_length(t) < max_bytes)
 
 
 def table(rows, schema: str) -> Column:

@@ -54,7 +54,7 @@ def issuer_segment(question: Column, issuer: Column, dictionary: Dictionary = DE
     """First segment that names the issuer, else the whole question, without its opening phrase."""
     def own(names: Column) -> Column:
         return F.filter(
-            T.segments(question), lambda s: F.exists(names, lambda n: F.contains(T.normalize(s), n)))
+            T.segments(T.strip(question)), lambda s: F.exists(names, lambda n: F.contains(T.normalize(s), n)))
 
     found = F.get(T.let(_names_of(issuer, dictionary, strict), own), F.lit(0))
     segment = F.coalesce(found, T.strip(question))

@@ -11,7 +11,6 @@ from groundline.functions.text import let
 # Small whole numbers are always allowed.
 FREE_NUMBERS = " ".join(str(i) for i in range(11))
 UNVERIFIED_NOTE = "[⚠️ Cifra no verificada en fuentes]"
-EMPTY = "array<string>"
 
 
 def allowed_numbers(context: Column, question: Column) -> Column:
@@ -71,7 +70,7 @@ def _struck(raw: Column) -> Column:
     return F.concat(F.lit("~~"), raw, F.lit(f"~~ {UNVERIFIED_NOTE}"))
 
 
-def _mark_phrases(text: Column, phrases: Column, first_mark: int) -> Column:
+def _mark_phrases(text: Column, phrases: Column, first_mark: str) -> Column:
     """Replace each phrase by a private-use tag, so later steps leave it alone."""
     return F.aggregate(
         F.transform(phrases, lambda p, i: F.struct(p["raw_text"].alias("raw"), i.alias("i"))), text,
@@ -79,11 +78,28 @@ def _mark_phrases(text: Column, phrases: Column, first_mark: int) -> Column:
             F.replace(acc, p["raw"], _mark(first_mark, p["i"]))))
 
 
-def _mark(first: int, i: Column) -> Column:
-    """Tag of phrase number ``i``: three characters of the private use area."""
-    alphabet = F.lit("".join(chr(0xE100 + n) for n in range(256)))
-    return F.concat(F.lit(chr(first)), F.substring(alphabet, (F.floor(i / 256) + 1).cast("int"), F.lit(1)),
-                    F.substring(alphabet, (F.pmod(i, F.lit(256)) + 1).cast("int"), F.lit(1)))
+# Private-use characters that stand for phrases while a text is worked on: two kinds of mark, the end of a mark, ten
+# digits, and the escape for texts that hold such characters themselves.
+_MONEY_MARK, _PERCENT_MARK, _MARK_END, _ESCAPE = "\ue000", "\ue001", "\ue002", "\ue003"
+_DIGITS = "".join(chr(0xE010 + n) for n in range(10))
+
+
+def _mark(first: str, i: Column) -> Column:
+    """Tag of phrase number ``i``."""
+    return F.concat(F.lit(first), F.translate(i.cast("string"), "0123456789", _DIGITS), F.lit(_MARK_END))
+
+
+def _escaped(text: Column) -> Column:
+    """``text`` without marks: the escape character comes first, so that undoing it is unique."""
+    for n, c in enumerate((_ESCAPE, _MONEY_MARK, _PERCENT_MARK)):
+        text = F.replace(text, F.lit(c), F.lit(_ESCAPE + _DIGITS[n]))
+    return text
+
+
+def _unescaped(text: Column) -> Column:
+    for n, c in reversed(list(enumerate((_ESCAPE, _MONEY_MARK, _PERCENT_MARK)))):
+        text = F.replace(text, F.lit(_ESCAPE + _DIGITS[n]), F.lit(c))
+    return text
 
 
 def strike_out(text: Column, numbers: Column, money: Column, percent: Column, strict: bool = False) -> Column:
@@ -92,8 +108,7 @@ def strike_out(text: Column, numbers: Column, money: Column, percent: Column, st
     A bare number is struck where a complete number token has its digits. ``strict`` replaces the
     digit string wherever it occurs instead, so formatted numbers stay and inner digits may go.
     """
-    money_mark, percent_mark = 0xE000, 0xE001
-    marked = _mark_phrases(_mark_phrases(text, money, money_mark), percent, percent_mark)
+    marked = _mark_phrases(_mark_phrases(_escaped(text), money, _MONEY_MARK), percent, _PERCENT_MARK)
     if strict:
         numbered = F.aggregate(F.array_sort(numbers), marked, lambda acc, n: F.replace(acc, n, _struck(n)))
     else:
@@ -106,12 +121,12 @@ def strike_out(text: Column, numbers: Column, money: Column, percent: Column, st
 
         numbered = let(marked, rebuild)
 
-    def restore(body: Column, phrases: Column, mark: int) -> Column:
+    def restore(body: Column, phrases: Column, mark: str) -> Column:
         return F.aggregate(
             F.transform(phrases, lambda p, i: F.struct(p["raw_text"].alias("raw"), i.alias("i"))), body,
             lambda acc, p: F.replace(acc, _mark(mark, p["i"]), _struck(p["raw"])))
 
-    return restore(restore(numbered, money, money_mark), percent, percent_mark)
+    return _unescaped(restore(restore(numbered, money, _MONEY_MARK), percent, _PERCENT_MARK))
 
 
 # The four kinds of correction.

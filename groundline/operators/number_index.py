@@ -29,12 +29,3 @@ def first_locations(index: DataFrame) -> DataFrame:
     return index.groupBy("number").agg(F.min(F.struct("document", "page", "snippet")).alias("loc")).select(
         "number", "loc.*"
     )
-
-
-def nested_index(index: DataFrame) -> DataFrame:
-    """Nested view (number, locations) for callers that look up one number at a time.
-
-    Its array grows with the number's spread, so use it behind a filter on ``number``.
-    """
-    place = F.struct("document", "page", F.col("snippet").alias("section_snippet"))
-    return index.groupBy("number").agg(F.array_sort(F.collect_list(place)).alias("locations"))

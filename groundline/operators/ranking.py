@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundline.functions.text import keys_match
+from groundline.functions.text import analysed_terms, issuer_key, keys_match
 
 # Scores are rounded before they are ranked: summation order can then not decide a tie.
 SCORE_DIGITS = 9
@@ -63,14 +63,38 @@ def score_terms(query_terms: DataFrame, postings: DataFrame, by: list[str]) -> D
         rounded(F.sum(F.col("query_weight") * F.col("weight"))).alias("score"))
 
 
+def bm25_scores(query_terms: DataFrame, chunks: DataFrame, by: list[str], hint=lambda df: df) -> DataFrame:
+    """BM25 scores of chunks(child_id, issuer, content) for query_terms(by, issuer_filter, term, query_weight).
+
+    The query's terms meet the tokens of each chunk before anything is shuffled, so only matching postings move. The
+    number of chunks and of all terms comes from one pass; document frequencies are needed for the query's terms
+    alone. ``hint`` marks the tables of query terms for broadcast once the caller has checked their size; without it
+    Spark joins by shuffle and splits frequent terms at run time.
+    """
+    from groundline.operators.index import BM25_B, BM25_K1
+    from groundline.session import one
+
+    base = chunks.select("child_id", issuer_key(F.col("issuer")).alias("issuer_key"), analysed_terms(F.col("content")).alias("tokens"))
+    totals = one(base.agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.size("tokens")).cast("double").alias("cf")).alias("totals")))
+    # the outer form keeps the tokeniser from being copied into a filter
+    tokens = base.select("child_id", "issuer_key", F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term"))
+    counts = tokens.join(hint(query_terms.select("term").distinct()), "term").groupBy("child_id", "issuer_key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df, n, tf = F.col("df"), totals["n"], F.col("tf")
+    known = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.log(1.0 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
+    length = 1 - BM25_B + BM25_B * F.col("dl") / (totals["cf"] / totals["n"])
+    share = F.col("idf") * tf * (BM25_K1 + 1) / (tf + BM25_K1 * length)
+    weighted = counts.join(hint(query_terms.join(hint(known), "term")), "term")
+    return weighted.groupBy(*by, "issuer_filter", "child_id", "issuer_key").agg(rounded(F.sum(F.col("query_weight") * share)).alias("score"))
+
+
 def salted_score_terms(query_terms: DataFrame, postings: DataFrame, frequency: DataFrame,
                        by: list[str], rows_per_salt: int = 1_000_000) -> DataFrame:
     """:func:`score_terms` for query sets too large to broadcast.
 
     A frequent term is cut into salts by chunk; its query rows are repeated once per salt. The
     number of salts follows the term's document frequency, so no join task sees more than about
-    ``rows_per_salt`` postings of one term. Terms with several salts are bounded in number and
-    are looked up from a broadcast.
+    ``rows_per_salt`` postings of one term, or a ``HOT_TERMS``-th of all postings if that is more. So the
+    terms with several salts are bounded in number and are looked up from a broadcast.
     """
     from groundline.operators.index import HOT_TERMS
     from groundline.session import one
@@ -78,8 +102,7 @@ def salted_score_terms(query_terms: DataFrame, postings: DataFrame, frequency: D
     total = one(frequency.agg(F.sum("df").alias("total")))
     salts = F.greatest(F.ceil(F.col("df") / rows_per_salt), F.lit(1)).cast("int")
     hot = F.broadcast(
-        frequency.where((F.col("df") > rows_per_salt) | (F.col("df") * HOT_TERMS >= total))
-        .where(F.col("df") * HOT_TERMS >= total)
+        frequency.where((F.col("df") > rows_per_salt) & (F.col("df") * HOT_TERMS >= total))
         .select("term", salts.alias("salts")))
     count = F.coalesce(F.col("salts"), F.lit(1))
     spread = postings.join(hot, "term", "left").withColumn(

@@ -38,7 +38,7 @@ def pages_from_folder(spark: SparkSession, folder: str, catalog_path: str | None
     """(pages, files) of ``folder``/markdown, or of ``folder``/pdfs when no Markdown page was found."""
     catalog = S.read_catalog(spark, catalog_path)
     files = S.list_files(spark, f"{folder}/markdown", "md")
-    for row in S.unreadable_files(files).limit(20).collect():
+    for row in S.unreadable_files(files).toLocalIterator():  # every skipped file, one task's names at a time
         log.warning("skipped %s: not valid UTF-8", row["file"])
     pages = cut_lineage(S.with_metadata(S.markdown_pages(files), catalog))
     if pages.isEmpty():

@@ -31,8 +31,7 @@ def words(x):
 
 
 def analysed(x):
-    return (f"list_filter(regexp_extract_all(lower({norm(x)}), '[\\p{{L}}\\p{{N}}]+'), "
-            "lambda t: strlen(t) < 40)")
+    return f"regexp_extract_all(lower({norm(x)}), '[\\p{{L}}\\p{{N}}]+')"
 
 
 def strip(x):
@@ -575,3 +574,19 @@ ORACLES |= {
         || '------------------------------------' || chr(10) || chr(10) || 'PREGUNTA DEL ANALISTA: ' || question
         || chr(10) || chr(10) || 'RESPUESTA EJECUTIVA (con citas y cifras verificadas):' AS prompt FROM d""",
 }
+
+# ------------------------------------------------------------------------------ sentences
+
+# chr(1) marks a cut and chr(2) a full stop that doesn't cut. Neighbouring matches overlap, hence the second turn.
+_KEPT = "regexp_replace(text, '([sS]/)[.]', '\\1' || chr(2), 'g')"
+for _ in range(2):
+    _KEPT = f"regexp_replace({_KEPT}, '([0-9sS])[.]([0-9])', '\\1' || chr(2) || '\\2', 'g')"
+_CUT = f"replace(regexp_replace({_KEPT}, '([.?!\n\r])', '\\1' || chr(1), 'g'), chr(2), '.')"
+ORACLES["answer_sentences"] = f"""WITH cut AS (
+    SELECT conv_id, turn, list_filter(list_transform(string_split({_CUT}, chr(1)), lambda s: {strip('s')}), lambda s: s <> '') AS ps
+    FROM conversations),
+piece AS (SELECT conv_id, turn, i, ps[i] AS piece FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM cut)),
+numbered AS (SELECT *, sum(CASE WHEN i = 1 OR regexp_matches(piece, '\\p{{L}}') THEN 1 ELSE 0 END)
+    OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS pos FROM piece)
+SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos, string_agg(piece, ' ' ORDER BY i) AS sentence
+FROM numbered GROUP BY conv_id, turn, pos"""

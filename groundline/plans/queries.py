@@ -72,10 +72,10 @@ def parents(spark, sf) -> DataFrame:
     content = F.col("text")
     return read(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("parent_id"), F.col("source").alias("document"),
-        F.floor(F.col("doc_id") / PAGE_SPAN).cast("int").alias("page"),
+        F.floor(F.col("doc_id") / PAGE_SPAN).cast("long").alias("page"),
         F.concat(F.lit("grupo "), F.length("source").cast("string")).alias("issuer"),
         F.lit("memoria").alias("doc_type"), F.lit("2025").alias("year"), F.col("source").alias("title"),
-        content.alias("content"), F.col("doc_id").cast("int").alias("p_idx"),
+        content.alias("content"), F.col("doc_id").cast("long").alias("p_idx"),
         T.is_contents_page(content).alias("is_toc"),
         F.array(F.col("doc_id").cast("string")).alias("child_ids"))
 
@@ -123,8 +123,9 @@ def tfidf_lists(asked: DataFrame, chunks: DataFrame, k: int = R.LIST_SIZE) -> Da
 
 
 def bm25_lists(asked: DataFrame, chunks: DataFrame, k: int = R.LIST_SIZE) -> DataFrame:
-    postings = X.bm25_postings(X.term_counts(chunks, "analysed"), chunks)
-    return R.bm25_rank(R.score_terms(hinted(plain_bm25_terms(asked), asked), postings, QID), QID, k)
+    small = text_bytes(asked, "question") <= QUESTION_BYTES
+    scored = R.bm25_scores(plain_bm25_terms(asked), chunks, QID, F.broadcast if small else lambda df: df)
+    return R.bm25_rank(scored, QID, k)
 
 
 def ranked(lists: DataFrame) -> DataFrame:
@@ -262,7 +263,7 @@ def embedding_integrity(spark, sf):
 
 def document_pages(spark, sf):
     return spread(read(spark, sf, "documents").select(
-        F.col("source").alias("document"), F.col("doc_id").cast("int").alias("page"), "text"))
+        F.col("source").alias("document"), F.col("doc_id").cast("long").alias("page"), "text"))
 
 
 def number_locations(spark, sf):
@@ -364,7 +365,7 @@ def hallucinated_set(spark, sf):
 
 def contract_index(spark, sf):
     return number_index(statements(spark, sf).select(
-        F.concat(F.lit("contratos_"), "priority").alias("document"), F.col("o_orderkey").cast("int").alias("page"),
+        F.concat(F.lit("contratos_"), "priority").alias("document"), F.col("o_orderkey").cast("long").alias("page"),
         F.col("context").alias("text")))
 
 
@@ -426,7 +427,7 @@ def attribution_findings(spark, sf):
 
 def chunk_pages(spark, sf):
     return spread(read(spark, sf, "documents")).select(
-        F.col("source").alias("document"), F.col("doc_id").cast("int").alias("page"), "text",
+        F.col("source").alias("document"), F.col("doc_id").cast("long").alias("page"), "text",
         F.col("source").alias("issuer"), F.col("lang").alias("doc_type"), F.lit("2025").alias("year"),
         F.lit("").alias("title"))
 

@@ -44,10 +44,10 @@ def split_pages(text: Column) -> Column:
 
     def page(number: Column, i: Column) -> Column:
         return F.struct(
-            F.coalesce(number.try_cast("int"), i + 1).alias("page"),
+            F.coalesce(number.try_cast("long"), (i + 1).cast("long")).alias("page"),
             T.strip(F.get(bodies, i + 1)).alias("text"))
 
-    whole = F.array(F.struct(F.lit(1).alias("page"), T.strip(clean).alias("text")))
+    whole = F.array(F.struct(F.lit(1).cast("long").alias("page"), T.strip(clean).alias("text")))
     pages = F.when(F.size(marks) == 0, whole).otherwise(F.transform(marks, page))
     return F.filter(pages, lambda p: p["text"] != "")
 
@@ -91,7 +91,7 @@ def pdf_pages(files: DataFrame, extract: Callable[[bytes], list[str]] = pypdf_te
                 rows += [(file, i, t.strip()) for i, t in enumerate(texts, 1) if t.strip()]
             yield pd.DataFrame(rows, columns=["file", "page", "text"])
 
-    return files.select("file", "content").mapInPandas(read, "file string, page int, text string")
+    return files.select("file", "content").mapInPandas(read, "file string, page long, text string")
 
 
 def prefer_markdown(pdfs: DataFrame, markdown: DataFrame,

@@ -16,7 +16,6 @@ from groundline.functions.text import issuer_key
 RECORDS_PER_TASK = 100_000
 # How passages are handed to the encoder.
 PASSAGE_PREFIX = "passage: "
-ENCODER_CHARS = 2000
 
 
 def read_vector_file(spark: SparkSession, path: str) -> DataFrame:
@@ -76,10 +75,10 @@ def align_by_position(children: DataFrame, vectors: DataFrame,
 
 def compute_vectors(children: DataFrame, encode: Callable[[list[str]], np.ndarray],
                     dictionary: Dictionary = DEFAULT_DICTIONARY, batch_size: int = 256,
-                    max_chars: int = ENCODER_CHARS) -> DataFrame:
+                    max_chars: int | None = None) -> DataFrame:
     """(child_id, issuer_key, vec): unit-length vectors from an injected encoder, by Arrow batch.
 
-    ``max_chars`` is the encoder's own input window.
+    The encoder gets whole texts; ``max_chars`` cuts them to an input window that the caller names.
     """
 
     @F.pandas_udf("array<float>")

@@ -113,3 +113,30 @@ def test_correction_prompt(spark):
     lines = df.select(G.correction_prompt(F.col("c"), 1, 3)).first()[0].split("\n")
     assert "REINTENTO 1/3" in lines[2] and len([l for l in lines if l.startswith("  - ")]) == 5
     assert "'pen|1' [D pág. 1]" in lines[5] and "[el contexto recuperado]" in lines[7]
+
+
+def test_texts_may_hold_the_characters_of_marks(spark):
+    from pyspark.sql import functions as F
+
+    from groundline.functions import numeric as N
+    from groundline.operators.grounding import UNVERIFIED_NOTE, strike_out
+
+    odd = "".join(chr(c) for c in (0xE000, 0xE010, 0xE002, 0xE003, 0xE003, 0xE010, 0xE001, 0xE100))
+    amounts = [f"US$ {n} millones" for n in range(101, 121)]
+    text = odd + " " + ", ".join(amounts) + " " + odd
+    df = spark.createDataFrame([(text,)], "t string")
+    none = F.array().cast("array<string>")
+    money = N.money_phrases(F.col("t"))
+    empty = F.filter(N.percent_phrases(F.col("t")), lambda p: F.lit(False))
+    got = df.select(strike_out(F.col("t"), none, money, empty)).first()[0]
+    assert got == odd + " " + ", ".join(f"~~{a}~~ {UNVERIFIED_NOTE}" for a in amounts) + " " + odd
+
+
+def test_ids_above_31_bits(spark, tmp_path):
+    from groundline.plans import queries as Q
+
+    big = 2**33 + 7
+    spark.createDataFrame([(big, "In 2024 sales were 1,250 units.", "en", "src1", 30)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    assert {r["page"] for r in Q.number_locations(spark, str(tmp_path)).collect()} == {big}
+    assert [r["p_idx"] for r in Q.parents(spark, str(tmp_path)).collect()] == [big]
