@@ -37,12 +37,13 @@ class ChunkMemory:
     def places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each chunk its place in ``firsts`` and ``lengths``."""
         distinct, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > self.limit and len(self.keys):
-            self._clear()
         at = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == distinct[inside]
+        if len(self.keys) and len(self.keys) + int((~known).sum()) > self.limit:
+            self._clear()
+            known[:] = False
         if not known.all():
             new = first[~known]
             raw = data.tobytes()

@@ -60,15 +60,14 @@ def test_awkward_rows(spark):
 
 
 def test_probabilities_of_a_state_add_up_to_one():
-    counts = np.array([4, 2, 0, 1])
+    counts = np.array([2, 2, 0, 1])
     pairs, pair_counts = np.array([1 * 4 + 0, 2 * 4 + 1, 2 * 4 + 3]), np.array([2, 1, 1])
-    model = lm.BackoffAutomaton(counts, 2, pairs, pair_counts, 7, 3)
-    after = lambda first, w: 10 ** (model.traverse(np.array([first, w]), np.array([2])) - model.traverse(np.array([first]), np.array([1])))[0]
-    unknown = 1 / (7 + 3 + 1)
-    for first in (0, 1):
-        # words 0, 1 and 3 are known, 2 stands for all unknown ones
-        assert sum(after(first, w) for w in (0, 1, 3)) + after(first, 2) == pytest.approx(1.0)
-    assert after(2, 2) == pytest.approx(unknown)  # from the root
+    model = lm.BackoffAutomaton(counts, 2, pairs, pair_counts, 5, 3)
+    log = lambda *tokens: model.traverse(np.array(tokens), np.array([len(tokens)]))[0]
+    # words 0, 1 and 3 are known, 2 stands for all unknown ones
+    assert sum(10 ** (log(0, w) - log(0)) for w in range(4)) == pytest.approx(1.0)
+    assert sum(10 ** log(w) for w in range(4)) == pytest.approx(1.0)  # from the begin of a text
+    assert 10 ** (log(2, 2) - log(2)) == pytest.approx(1 / 9)  # from the root
 
 
 def test_packing():
