@@ -23,7 +23,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundline.llm.components import components
@@ -39,8 +39,8 @@ BROADCAST_IDS = 4_000_000
 FAN_OUT = 4
 # Linked sets share n // SHARED_PART + 1 shingles of their prefixes, n the smaller size.
 SHARED_PART = 12
-# Turns of the blocks of one shingle for each set.
-FIRST_TURNS = 3
+# Turns of the blocks of one shingle for each set, and most turns of delegates.
+FIRST_TURNS, DELEGATE_TURNS = 3, 3
 
 
 def _set_ids(sets: list[np.ndarray]) -> np.ndarray:
@@ -122,7 +122,8 @@ class _Level:
 
 
 def candidate_pairs(bitmaps: list[bytes], sizes: np.ndarray, labels: np.ndarray, num: int = 3, den: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets that the dual traversal of their signature tree can't rule out; best with neighbours by size."""
+    """Pairs of sets that the dual traversal of their signature tree can't rule out, those with the likest bitmaps first; best
+    with neighbours by size."""
     ones = np.array([np.bitwise_count(np.frombuffer(b, np.uint8)).sum() for b in bitmaps], np.int64)
     levels = [_Level(_of_one_width(bitmaps), sizes, sizes, sizes - ones, labels)]
     while len(levels[-1].low) > FAN_OUT:
@@ -138,7 +139,15 @@ def candidate_pairs(bitmaps: list[bytes], sizes: np.ndarray, labels: np.ndarray,
     apart = i != j
     i, j = i[apart], j[apart]
     keep = levels[0].possible(i, j, num, den)
-    return i[keep], j[keep]
+    i, j = i[keep], j[keep]
+    bits, likeness = levels[0].bits, np.zeros(len(i))
+    step = max(1, 4_000_000 // (8 * bits.shape[1]))
+    for start in range(0, len(i), step):
+        a, b = i[start : start + step], j[start : start + step]
+        either = np.bitwise_count(bits[a] | bits[b]).sum(axis=1)
+        likeness[start : start + step] = np.bitwise_count(bits[a] & bits[b]).sum(axis=1) / np.maximum(either, 1)
+    order = np.argsort(-likeness, kind="stable")
+    return i[order], j[order]
 
 
 def block_links(ids: list[int], sets: list[np.ndarray], labels: list[int], num: int = 3, den: int = 4) -> list[tuple[int, int]]:
@@ -389,29 +398,59 @@ def _dealt(members: DataFrame, contents: DataFrame) -> DataFrame:
     return members.join(contents, "id").repartition(partitions(members.sparkSession), "block").sortWithinPartitions("block")
 
 
-def _candidates(members: DataFrame, contents: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b), a < b: pairs of ``members(block, id, label)`` with different labels that no block's signature tree rules out."""
+def _traversed(members: DataFrame, contents: DataFrame, num: int, den: int, schema: str, found_in) -> DataFrame:
+    """What ``found_in`` makes of each block of ``members(block, id, label)`` with candidate pairs of different labels: it gets
+    the block, ids, labels as small numbers, labels, and both sides of the pairs, best pairs first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(rows: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
-            if len(rows) > 1:
-                ordered = sorted(rows.items(), key=lambda r: (r[1][1], r[0]))
-                names, labels = np.array([r[0] for r in ordered]), {}
-                label = np.array([labels.setdefault(r[1][0], len(labels)) for r in ordered])
-                i, j = candidate_pairs([r[1][2] for r in ordered], np.array([r[1][1] for r in ordered], np.int64), label, num, den)
-                a, b = names[i], names[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        def finish(block: int, rows: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+            if len(rows) < 2:
+                return
+            ordered = sorted(rows.items(), key=lambda r: (r[1][1], r[0]))
+            names, labels = [r[0] for r in ordered], [r[1][0] for r in ordered]
+            numbers: dict[int, int] = {}
+            number = np.array([numbers.setdefault(x, len(numbers)) for x in labels])
+            bitmaps = [r[1][2] for r in ordered]
+            i, j = candidate_pairs(bitmaps, np.array([r[1][1] for r in ordered], np.int64), number, num, den)
+            if len(i):
+                yield found_in(block, names, number, labels, i, j)
 
         now, rows = None, {}
         for batch in batches:
             for block, name, *rest in zip(*(batch.column(c).to_pylist() for c in ("block", "id", "label", "n", "bitmap")), strict=True):
                 if block != now:
-                    yield from finish(rows)
+                    yield from finish(now, rows)
                     now, rows = block, {}
                 rows[name] = tuple(rest)
-        yield from finish(rows)
+        yield from finish(now, rows)
+
+    return _dealt(members, contents.select("id", "n", "bitmap")).mapInArrow(run, schema)
+
+
+def _forest(block: int, names: list[int], number: np.ndarray, labels: list[int], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """(a, b), a < b: as many pairs as join all labels that candidate pairs join, so at most one for each label."""
+    parent = list(range(int(number.max()) + 1))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    pairs = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = root(number[x]), root(number[y])
+        if a != b:
+            parent[b] = a
+            pairs.append((min(names[x], names[y]), max(names[x], names[y])))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])
+
 
-    return _dealt(members, contents.select("id", "n", "bitmap")).mapInArrow(run, "a long, b long").distinct()
+def _involved(block: int, names: list[int], number: np.ndarray, labels: list[int], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """(block, id, label) of the sets in candidate pairs."""
+    rows = np.unique(np.concatenate([i, j])).tolist()
+    columns = [[block] * len(rows), [names[r] for r in rows], [labels[r] for r in rows]]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "id", "label"])
 
 
 def _one_for_each(members: DataFrame) -> DataFrame:
@@ -420,6 +459,13 @@ def _one_for_each(members: DataFrame) -> DataFrame:
     return members.join(signs.groupBy("sign", "n").agg(F.min("block").alias("block")).select("block"), "block")
 
 
+def _open_rows(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column]:
+    """(shingle, id, label, count) of the shingles that stand in several components, and the column of their count."""
+    labelled = shared.join(labels, "id")
+    spread = labelled.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("count"))
+    return labelled.join(spread.where("least <> most").select("shingle", "count"), "shingle"), F.col("count")
+
+
 def _joined(ids: DataFrame, links: DataFrame | None, labels: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All links with the new ones, and (id, label): the component of every set."""
     found = stored(found, "links")
@@ -445,7 +491,7 @@ def similar_components(docs: DataFrame, similarity: Fraction = Fraction(3, 4), s
     slices = partitions(docs.sparkSession)
     described = stored(_described(docs, size), "sets")
     rows = described.where("kind = 0").select("doc_id", "n", "id")
-    sets = rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    sets = stored(rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "set-list")
     frequent = _frequent(described.where("kind = 1"))
 
     postings = _postings(docs, frequent, size, num, den, slices)
@@ -464,23 +510,24 @@ def similar_components(docs: DataFrame, similarity: Fraction = Fraction(3, 4), s
         blocks = members.join(counts, "shingle").select(F.xxhash64("shingle", salt).alias("block"), "id", "label")
         links, labels = _joined(ids, links, labels, _links(blocks, contents, num, den))
 
-    for last in (False, True):
-        labelled = shared.join(labels, "id")
-        spread = labelled.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("count"))
-        open_rows = labelled.join(spread.where("least <> most").select("shingle", "count"), "shingle")
-        if not last:
-            blocks = open_rows.groupBy("shingle", "label").agg(F.min("id").alias("id")).select(F.col("shingle").alias("block"), "id", "label")
-        else:
-            # a large block becomes the pairs of its parts
-            parts = F.ceil(F.col("count") / BLOCK).cast("long")
-            mine = F.pmod(F.xxhash64("id"), parts)
-            other = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
-            cut = open_rows.select("shingle", "id", "label", mine.alias("mine"), other.alias("other"))
-            blocks = cut.select(F.xxhash64("shingle", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "id", "label")
-        pairs = stored(_candidates(_one_for_each(stored(blocks, "blocks")), contents, num, den), "pairs")
+    for _ in range(DELEGATE_TURNS):
+        rows_open, _ = _open_rows(shared, labels)
+        blocks = stored(rows_open.groupBy("shingle", "label").agg(F.min("id").alias("id")).select(F.col("shingle").alias("block"), "id", "label"), "blocks")
+        pairs = stored(_traversed(_one_for_each(blocks), contents, num, den, "a long, b long", _forest).distinct(), "pairs")
         # compared star by star: a set with all its partners
         stars = pairs.select(F.col("a").alias("block"), F.col("b").alias("id")).unionByName(pairs.select(F.col("a").alias("block"), F.col("a").alias("id")).distinct())
+        before = labels
         links, labels = _joined(ids, links, labels, _links(stars.join(labels, "id"), contents, num, den))
+        if labels is before:
+            break
+
+    rows_open, count = _open_rows(shared, labels)
+    # a large block becomes the pairs of its parts
+    parts = F.ceil(count / BLOCK).cast("long")
+    cut = rows_open.select("shingle", "id", "label", F.pmod(F.xxhash64("id"), parts).alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    blocks = cut.select(F.xxhash64("shingle", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "id", "label")
+    involved = _traversed(_one_for_each(stored(blocks, "blocks")), contents, num, den, "block long, id long, label long", _involved)
+    links, labels = _joined(ids, links, labels, _links(_one_for_each(stored(involved, "involved")), contents, num, den))
 
     names = labels.select(F.col("id").alias("__id"), "label")
     whole = rows.join(names, rows["id"] == names["__id"], "left").select("doc_id", "n", F.coalesce("label", "id").alias("label"))

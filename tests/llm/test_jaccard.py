@@ -4,6 +4,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
+from groundline.llm import components as C
 from groundline.llm import jaccard as J
 from groundline.llm.components import components
 
@@ -93,7 +94,9 @@ def test_other_similarity(spark):
     assert ids(Fraction(1, 2)) == [1, 1, 3] and ids(Fraction(3, 4)) == [1, 2, 3]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [200_000, 40])
+def test_components(spark, monkeypatch, chunk):
+    monkeypatch.setattr(C, "CHUNK_LINKS", chunk)
     rng = random.Random(9)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000)]
     parent = {}
