@@ -77,8 +77,9 @@ def findings(stated: DataFrame, amounts: DataFrame, by: list[str]) -> DataFrame:
     only = amounts.groupBy("issuer", "indicator").agg(
         F.count(F.lit(1)).alias("n"), F.min("amount").alias("amount")
     ).select("issuer", "indicator", F.when(F.col("n") == 1, F.col("amount")).alias("correct_value"))
+    # One row for each pair of the dictionary's issuers and indicators, so the broadcast is bounded by the dictionary.
     known = stated.join(amounts, ["issuer", "indicator", "amount"], "left").join(
-        only, ["issuer", "indicator"], "left")
+        F.broadcast(only), ["issuer", "indicator"], "left")
     wrong = F.col("in_segment").isNull()
     judged = known.withColumn("is_misattribution", wrong).withColumn(
         "segment_qualifier", ~wrong & F.col("says_total") & F.coalesce("in_segment", F.lit(False)))

@@ -41,7 +41,7 @@ def find_corrections(verdicts: DataFrame, by: list[str], index: DataFrame | None
     """
     spark = verdicts.sparkSession
     if index is None:
-        index = spark.createDataFrame([], "number string, document string, page int, snippet string")
+        index = spark.createDataFrame([], "number string, document string, page long, snippet string")
     # Small from here on: ungrounded figures only, and the index rows they ask for.
     # (Filtering before the cut would make Spark evaluate the verdict once more for the filter.)
     verdicts = cut_lineage(verdicts.select(

@@ -104,17 +104,24 @@ def prefer_markdown(pdfs: DataFrame, markdown: DataFrame,
 
 
 def read_catalog(spark: SparkSession, path: str | None) -> DataFrame:
-    """Metadata per file name; a missing or malformed catalog is empty."""
+    """Metadata per file name; a missing or malformed catalog is empty, and so is a field that is no string.
+
+    The year may be a whole number too.
+    """
     if path is None:
         return spark.createDataFrame([], CATALOG)
     try:
         raw = spark.read.text(path, wholetext=True)
     except AnalysisException:
         return spark.createDataFrame([], CATALOG)
-    parsed = F.from_json("value", "map<string,map<string,string>>")
-    entry = raw.select(F.explode(parsed).alias("file", "m"))
-    field = lambda name: F.coalesce(F.col("m")[name], F.lit("")).alias(name)
-    return entry.select("file", field("issuer"), field("doc_type"), field("year"), field("title"))
+    entry = raw.select(F.explode(F.from_json("value", "map<string,map<string,variant>>")).alias("file", "m"))
+
+    def field(name: str, *kinds: str) -> Column:
+        value = F.col("m")[name]
+        allowed = F.schema_of_variant(value).isin("STRING", *kinds)
+        return F.coalesce(F.when(allowed, F.try_variant_get(value, "$", "string")), F.lit("")).alias(name)
+
+    return entry.select("file", field("issuer"), field("doc_type"), field("year", "BIGINT"), field("title"))
 
 
 def metadata_from_name(file: Column) -> Column:

@@ -88,3 +88,13 @@ def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
     cli.interactive(engine, None, lambda prompt: next(lines))
     shown = capsys.readouterr().out
     assert "VALIDADO" in shown and "FILTRO EMISOR: Ferreycorp" in shown
+
+
+def test_catalog_fields_of_other_types_are_empty(spark, tmp_path):
+    import json
+
+    from groundline.sources.files import read_catalog
+
+    path = tmp_path / "catalog.json"
+    path.write_text(json.dumps({"a.pdf": {"issuer": "X", "doc_type": 5, "year": 2024, "title": ["t"]}, "b.md": {"issuer": None, "year": "2023"}}))
+    assert sorted(map(tuple, read_catalog(spark, str(path)).collect())) == [("a.pdf", "X", "", "2024", ""), ("b.md", "", "", "2023", "")]
