@@ -41,6 +41,8 @@ FAN_OUT = 4
 SHARED_PART = 12
 # Turns of the blocks of one shingle for each set, and most turns of delegates.
 FIRST_TURNS, DELEGATE_TURNS = 3, 3
+# Pairs for each set above which a block is compared as a whole.
+PAIRS_FOR_EACH = 4
 
 
 def _set_ids(sets: list[np.ndarray]) -> np.ndarray:
@@ -446,11 +448,14 @@ def _forest(block: int, names: list[int], number: np.ndarray, labels: list[int],
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])
 
 
-def _involved(block: int, names: list[int], number: np.ndarray, labels: list[int], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    """(block, id, label) of the sets in candidate pairs."""
-    rows = np.unique(np.concatenate([i, j])).tolist()
-    columns = [[block] * len(rows), [names[r] for r in rows], [labels[r] for r in rows]]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "id", "label"])
+def _compared(block: int, names: list[int], number: np.ndarray, labels: list[int], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """(block, id, dense): what is to be compared. A few pairs are stars, blocks named by one of their sets; where most
+    sets pair with most others, the block itself with the sets that are in pairs."""
+    rows = np.unique(np.concatenate([i, j]))
+    ids = np.array(names)
+    dense = len(i) > PAIRS_FOR_EACH * len(rows)
+    first, second = (np.full(len(rows), block), ids[rows]) if dense else (np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]))
+    return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(np.full(len(first), dense))], names=["block", "id", "dense"])
 
 
 def _one_for_each(members: DataFrame) -> DataFrame:
@@ -526,8 +531,11 @@ def similar_components(docs: DataFrame, similarity: Fraction = Fraction(3, 4), s
     parts = F.ceil(count / BLOCK).cast("long")
     cut = rows_open.select("shingle", "id", "label", F.pmod(F.xxhash64("id"), parts).alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
     blocks = cut.select(F.xxhash64("shingle", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "id", "label")
-    involved = _traversed(_one_for_each(stored(blocks, "blocks")), contents, num, den, "block long, id long, label long", _involved)
-    links, labels = _joined(ids, links, labels, _links(_one_for_each(stored(involved, "involved")), contents, num, den))
+    compared = stored(_traversed(_one_for_each(stored(blocks, "blocks")), contents, num, den, "block long, id long, dense boolean", _compared), "compared")
+    stars = compared.where("not dense").select("block", "id").distinct()
+    stars = stars.unionByName(stars.select("block", F.col("block").alias("id")).distinct())
+    members = stars.unionByName(_one_for_each(compared.where("dense").select("block", "id")))
+    links, labels = _joined(ids, links, labels, _links(members.join(labels, "id"), contents, num, den))
 
     names = labels.select(F.col("id").alias("__id"), "label")
     whole = rows.join(names, rows["id"] == names["__id"], "left").select("doc_id", "n", F.coalesce("label", "id").alias("label"))

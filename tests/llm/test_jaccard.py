@@ -42,7 +42,7 @@ def near_copies(seed, n):
 @pytest.mark.parametrize("small", [False, True])
 def test_near_copies_around_the_threshold(spark, monkeypatch, small):
     if small:  # many windows, split blocks, frequent shingles
-        for name, value in (("WINDOW", 800), ("BLOCK", 3), ("FREQUENT", 2), ("TOLD_APART", 300)):
+        for name, value in (("WINDOW", 800), ("BLOCK", 3), ("FREQUENT", 2), ("TOLD_APART", 300), ("PAIRS_FOR_EACH", 0)):
             monkeypatch.setattr(J, name, value)
     texts = dict(enumerate(near_copies(int(small), 120)))
     got = J.similar_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
