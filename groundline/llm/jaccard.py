@@ -33,7 +33,7 @@ from groundline.llm.storage import partitions, stored
 # A shingle is frequent when so many documents hold it; as many frequent shingles as this are told apart (8 MB).
 FREQUENT, TOLD_APART = 16, 500_000
 # Shingles that are counted together, and sets of one block.
-WINDOW, BLOCK = 2_000_000, 1000
+WINDOW, BLOCK = 1_000_000, 1000
 # Largest list of ids that is sent to all tasks.
 BROADCAST_IDS = 4_000_000
 FAN_OUT = 4

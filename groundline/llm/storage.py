@@ -16,18 +16,31 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+# Rows of an Arrow batch; whole texts and sets of shingles are some kilobytes each.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep what a Python worker and its executor hold at a time small, unless the session says otherwise."""
+    if spark.conf.get(_BATCH) == "10000":  # Spark's default
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read on from there.
 
     Cuts the lineage: a lost executor costs only the tasks that were running on it. The files stay until the
     folder is cleaned, as checkpoint files do.
     """
+    small_batches(df.sparkSession)
     folder = shared_folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
