@@ -8,7 +8,7 @@ are one set from the start, and copies never multiply.
 
 Blocks. The sets that share a prefix shingle form a block. First come the blocks of one shingle for each set, the least
 under a few hashes in turn, which join most copies; then, for every shingle that still stands in several components, one
-delegate of each component; then all sets of the shingles that are left. Links inside a component are never needed
+delegate of each component, a frequent shingle's dealt over several blocks; then all sets of the shingles that are left. Links inside a component are never needed
 again, so a group of copies costs about one comparison for each member.
 
 Signature trees. In a block, leaves hold a set's token bitmap and size, inner nodes the OR of the bitmaps and the range of the
@@ -152,8 +152,9 @@ def candidate_pairs(bitmaps: list[bytes], sizes: np.ndarray, labels: np.ndarray,
     return i[order], j[order]
 
 
-def block_links(ids: list[int], sets: list[np.ndarray], labels: list[int], num: int = 3, den: int = 4) -> list[tuple[int, int]]:
-    """Links that join all sets of a block as their similarity does, with the given components joined beforehand."""
+def block_links(ids: list[int], sets: list[np.ndarray], labels: list[int], num: int = 3, den: int = 4, center: int | None = None) -> list[tuple[int, int]]:
+    """Links that join all sets of a block as their similarity does, with the given components joined beforehand. Of a star,
+    whose ``center`` is one of the ids, only the pairs with the center are compared."""
     order = sorted(range(len(ids)), key=lambda r: (len(sets[r]), ids[r]))
     ids, sets, labels = [ids[r] for r in order], [sets[r] for r in order], [labels[r] for r in order]
     names: dict[int, int] = {}
@@ -182,6 +183,12 @@ def block_links(ids: list[int], sets: list[np.ndarray], labels: list[int], num:
             left -= 1
             links.append((ids[x], ids[y]))
 
+    if center is not None:
+        middle = ids.index(center)
+        for x in range(len(ids)):
+            if x != middle:
+                compare(min(x, middle), max(x, middle))
+        return links
     if len(ids) > 16:  # neighbours by size, and one set with all others, join most copies before the traversal
         middle = len(ids) // 2
         for x in range(len(ids)):
@@ -369,26 +376,28 @@ def _contents(docs: DataFrame, sets: DataFrame, needed: DataFrame, size: int) ->
 
 
 def _links(members: DataFrame, contents: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): links of all blocks of ``members(block, id, label)``."""
+    """(a, b): links of all blocks of ``members(block, id, label, center)``; a block with a center is a star."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(rows: dict[int, tuple[int, bytes]]) -> list[tuple[int, int]]:
+        def finish(rows: dict[int, tuple[int, bytes]], center: int | None) -> list[tuple[int, int]]:
             if len(rows) < 2:
                 return []
-            return block_links(list(rows), [np.frombuffer(p, np.uint64) for _, p in rows.values()], [label for label, _ in rows.values()], num, den)
+            return block_links(list(rows), [np.frombuffer(p, np.uint64) for _, p in rows.values()], [label for label, _ in rows.values()], num, den, center)
 
         found: list[tuple[int, int]] = []
-        now, rows = None, {}
+        now, rows, middle = None, {}, None
         for batch in batches:
-            for block, name, label, content in zip(*(batch.column(c).to_pylist() for c in ("block", "id", "label", "packed")), strict=True):
+            for block, name, label, center, content in zip(*(batch.column(c).to_pylist() for c in ("block", "id", "label", "center", "packed")), strict=True):
                 if block != now:
-                    found += finish(rows)
-                    now, rows = block, {}
+                    found += finish(rows, middle)
+                    now, rows, middle = block, {}, None
                 rows[name] = (label, content)
+                if center:
+                    middle = name
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
                 found = []
-        found = finish(rows)
+        found = finish(rows, middle)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
@@ -458,6 +467,33 @@ def _compared(block: int, names: list[int], number: np.ndarray, labels: list[int
     return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(np.full(len(first), dense))], names=["block", "id", "dense"])
 
 
+def _salted(key: str, name: str, count: Column, turn: int = 0) -> Column:
+    """The block of a row with ``count`` others of its ``key``: one block for about ``BLOCK`` of them, dealt by ``name``."""
+    salt = F.pmod(F.xxhash64(name, F.lit(turn)), F.ceil(count / BLOCK).cast("long"))
+    return F.xxhash64(key, salt)
+
+
+def _crowded(rows: DataFrame, key: str) -> DataFrame:
+    """(__key, count) of the keys with more than ``BLOCK`` rows, for a left join; few, as each stands for so many rows."""
+    counts = rows.groupBy(F.col(key).alias("__key")).count().where(F.col("count") > BLOCK)
+    return _small(stored(counts, "crowded"))
+
+
+def _delegates(rows_open: DataFrame, count: Column, turn: int) -> DataFrame:
+    """(block, id, label): one delegate of each component that holds a shingle, in blocks of about ``BLOCK`` rows at most."""
+    named = stored(rows_open.groupBy("shingle", "label").agg(F.min("id").alias("id"), F.max(count > BLOCK).alias("many")), "blocks")
+    dealt = named.join(_crowded(named.where("many"), "shingle"), F.col("shingle") == F.col("__key"), "left")
+    return dealt.select(_salted("shingle", "id", F.coalesce("count", F.lit(1)), turn).alias("block"), "id", "label")
+
+
+def _stars(pairs: DataFrame) -> DataFrame:
+    """(block, id, center): every ``a`` of ``pairs(a, b)`` as the center of blocks with about ``BLOCK`` of its partners at most."""
+    dealt = pairs.join(_crowded(pairs, "a"), F.col("a") == F.col("__key"), "left")
+    dealt = dealt.select(_salted("a", "b", F.coalesce("count", F.lit(1))).alias("block"), "a", "b")
+    partners = dealt.select("block", F.col("b").alias("id"), F.lit(False).alias("center"))
+    return partners.unionByName(dealt.select("block", F.col("a").alias("id"), F.lit(True).alias("center")).distinct())
+
+
 def _one_for_each(members: DataFrame) -> DataFrame:
     """Blocks that hold the same sets, once."""
     signs = members.groupBy("block").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sign"), F.count("*").alias("n"))
@@ -511,18 +547,15 @@ def similar_components(docs: DataFrame, similarity: Fraction = Fraction(3, 4), s
         chosen = shared.groupBy("id").agg(F.min_by("shingle", F.xxhash64("shingle", F.lit(turn))).alias("shingle"))
         members = chosen.join(labels, "id").groupBy("shingle", "label").agg(F.min("id").alias("id"))
         counts = members.groupBy("shingle").count().where("count > 1")
-        salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / BLOCK).cast("long"))  # a frequent shingle has several blocks
-        blocks = members.join(counts, "shingle").select(F.xxhash64("shingle", salt).alias("block"), "id", "label")
+        # a frequent shingle has several blocks
+        blocks = members.join(counts, "shingle").select(_salted("shingle", "id", F.col("count")).alias("block"), "id", "label", F.lit(False).alias("center"))
         links, labels = _joined(ids, links, labels, _links(blocks, contents, num, den))
 
-    for _ in range(DELEGATE_TURNS):
-        rows_open, _ = _open_rows(shared, labels)
-        blocks = stored(rows_open.groupBy("shingle", "label").agg(F.min("id").alias("id")).select(F.col("shingle").alias("block"), "id", "label"), "blocks")
+    for turn in range(DELEGATE_TURNS):
+        blocks = _delegates(*_open_rows(shared, labels), turn)
         pairs = stored(_traversed(_one_for_each(blocks), contents, num, den, "a long, b long", _forest).distinct(), "pairs")
-        # compared star by star: a set with all its partners
-        stars = pairs.select(F.col("a").alias("block"), F.col("b").alias("id")).unionByName(pairs.select(F.col("a").alias("block"), F.col("a").alias("id")).distinct())
         before = labels
-        links, labels = _joined(ids, links, labels, _links(stars.join(labels, "id"), contents, num, den))
+        links, labels = _joined(ids, links, labels, _links(_stars(pairs).join(labels, "id"), contents, num, den))
         if labels is before:
             break
 
@@ -532,9 +565,8 @@ def similar_components(docs: DataFrame, similarity: Fraction = Fraction(3, 4), s
     cut = rows_open.select("shingle", "id", "label", F.pmod(F.xxhash64("id"), parts).alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
     blocks = cut.select(F.xxhash64("shingle", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "id", "label")
     compared = stored(_traversed(_one_for_each(stored(blocks, "blocks")), contents, num, den, "block long, id long, dense boolean", _compared), "compared")
-    stars = compared.where("not dense").select("block", "id").distinct()
-    stars = stars.unionByName(stars.select("block", F.col("block").alias("id")).distinct())
-    members = stars.unionByName(_one_for_each(compared.where("dense").select("block", "id")))
+    pairs = stored(compared.where("not dense").select(F.col("block").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    members = _stars(pairs).unionByName(_one_for_each(compared.where("dense").select("block", "id")).withColumn("center", F.lit(False)))
     links, labels = _joined(ids, links, labels, _links(members.join(labels, "id"), contents, num, den))
 
     names = labels.select(F.col("id").alias("__id"), "label")

@@ -94,6 +94,55 @@ def test_other_similarity(spark):
     assert ids(Fraction(1, 2)) == [1, 1, 3] and ids(Fraction(3, 4)) == [1, 2, 3]
 
 
+def template_pages(seed, n):
+    """Pages that share most shingles of one template but are no copies, and a copy of every tenth."""
+    rng = random.Random(seed)
+    template = " ".join(f"t{i}" for i in range(96))
+    texts = []
+    for page in range(n):
+        texts.append(template + " " + " ".join(f"p{page}x{rng.randint(0, 9999)}" for _ in range(22)))
+        if page % 10 == 0:
+            texts.append(texts[-1] + " end")
+    return texts
+
+
+def test_unlinked_pages_of_one_template_stay_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 10)
+    largest = {}
+
+    def watched(name):
+        plain = getattr(J, name)
+
+        def run(members, *rest):
+            most = members.groupBy("block").count().agg({"count": "max"}).first()[0] or 0
+            largest[name] = max(largest.get(name, 0), most)
+            return plain(members, *rest)
+
+        monkeypatch.setattr(J, name, run)
+
+    watched("_traversed")
+    watched("_links")
+    texts = dict(enumerate(template_pages(3, 200)))
+    got = J.similar_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == similar_components(texts)
+    assert largest["_traversed"] <= 50 and largest["_links"] <= 50  # two parts of a block at most, dealt by a hash
+
+
+def test_stars_are_dealt_and_compared_with_their_center(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 10)
+    pairs = spark.createDataFrame([(1, b) for b in range(2, 202)] + [(500, 501)], "a long, b long")
+    blocks = {}
+    for r in J._stars(pairs).collect():
+        blocks.setdefault(r["block"], []).append((r["id"], r["center"]))
+    assert all(sum(c for _, c in rows) == 1 and len(rows) <= 31 for rows in blocks.values())
+    found = [(next(i for i, c in rows if c), i) for rows in blocks.values() for i, c in rows if not c]
+    assert sorted(found) == sorted(tuple(r) for r in pairs.collect())
+    base = np.arange(100, dtype=np.uint64)
+    sets = [base[:80], base[:90], base[20:]]  # the first and the last are alike to the middle one only
+    assert sorted(map(sorted, J.block_links([7, 8, 9], sets, [7, 8, 9], center=8))) == [[7, 8]]
+    assert J.block_links([7, 8, 9], sets, [7, 8, 9], center=9) == []
+
+
 @pytest.mark.parametrize("chunk", [200_000, 40])
 def test_components(spark, monkeypatch, chunk):
     monkeypatch.setattr(C, "CHUNK_LINKS", chunk)
