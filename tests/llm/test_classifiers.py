@@ -106,3 +106,44 @@ def test_quality_of_awkward_rows(spark):
     got = Q.quality(mixed, labels).collect()
     assert len(got) == 211 and all(0 <= r[c] <= 1 for r in got for c in ("score", "text_score", "page_score"))
     assert Q.quality(nothing(spark), labels).collect() == []
+
+
+def test_every_unlabelled_row_takes_part_in_co_training(spark, monkeypatch):
+    pools = []
+    plain = Q._handed_over
+
+    def watched(pool, widths, weights, given, each):
+        plain(pool, widths, weights, given, each)
+        pools.append((pool.count(), each, len(given[0]), len(given[1])))
+
+    monkeypatch.setattr(Q, "_handed_over", watched)
+    rng = random.Random(2)
+    long = "clean words here " * 15_000  # above 200,000 bytes
+    docs = [(i, long if i == 9000 else f"w{rng.randint(0, 50)} " * 3 if i % 2 else "!!! # ", "en", "s", 10) for i in range(9001)] + [(None, "w1", "en", "s", 2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2 if i < 100 else None) for i in range(101)], "doc_id long, quality int")
+    model = Q.fit_quality(Q._features(df), labels)
+    assert model is not None and pools == [(8902, 178, turn, turn) for turn in range(1, 6)]
+    pools.clear()
+    Q.fit_quality(Q._features(df.where("doc_id < 110")), labels)  # fewer than 50 rows still hand over one for each class
+    assert [p[:2] for p in pools] == [(10, 1)] * 5
+
+
+def test_fit_on_spark_is_the_plain_fit(spark):
+    rng = np.random.default_rng(5)
+    cells = [np.column_stack([rng.integers(0, 4, 300), 4 + rng.integers(0, 3, 300), np.full(300, 7)]) for _ in range(2)]
+    rows = [(np.concatenate([a, b]).astype(np.uint16).tobytes(),) for a, b in zip(*cells, strict=True)]
+    pool = spark.createDataFrame(rows, "cells binary").repartition(3)
+    known = [(c[:40], (c[:40, 0] > 1).astype(float), np.ones(40)) for c in cells]
+    source = np.array([-3.0, -1.5, 1.5, 3.0, 0.0, 0.0, 0.0, 0.0])
+    given = [[Q.Given(source, -1.5 * Q.GRID, 0.25, 1.5 * Q.GRID, 0.5)] for _ in range(2)]
+    got = Q._fit(known, pool, (3, 3), given, [np.zeros(8), np.zeros(8)])
+    for view in (0, 1):
+        first = cells[1 - view][:, 0]
+        label, weight = (first > 1).astype(float), np.array([1.0, 0.25, 0.5, 1.0])[first]
+        every = np.concatenate([known[view][0], cells[view]])
+        x = np.zeros((len(every), 8))
+        np.put_along_axis(x, every, 1.0, axis=1)
+        want = Q._newton(x, np.concatenate([known[view][1], label]), np.concatenate([np.ones(40), weight]), 1.0)
+        assert np.abs(got[view] - want).max() < 1e-6
+    assert Q._border(np.array([1.0, 2.0, 3.0]), np.array([2, 4, 1]), 3) == (2.0, 0.25)
