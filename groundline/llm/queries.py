@@ -81,5 +81,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = [op1_mixing, op2_chat_formatting, op3_ngram_jaccard_join, op4_lm_scoring, op5_nearest_neighbours, op6_quality_classifier, op7_benchmark_decontamination, op8_token_files, op9_token_counts, op10_toxicity]
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groundline.llm.word_bpe import round_trip_digest
+
+    return round_trip_digest(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json").decode())
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groundline.llm.merkle import fifth, manifest
+
+    docs = table(spark, sf_dir, "documents")
+    return manifest(docs, fifth(docs["doc_id"]))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groundline.llm.whitening import whitened_rows
+
+    return whitened_rows(table(spark, sf_dir, "embeddings"), most=16)
+
+
+QUERIES = [op1_mixing, op2_chat_formatting, op3_ngram_jaccard_join, op4_lm_scoring, op5_nearest_neighbours, op6_quality_classifier, op7_benchmark_decontamination, op8_token_files, op9_token_counts, op10_toxicity, op11_bpe_round_trip, op12_merkle_manifest, op13_embedding_whitening]
 
