@@ -343,7 +343,7 @@ def fit_quality(features: DataFrame, labels: DataFrame, per_class: int = 4000, r
     In each of the ``rounds``, each view gives the other its surest ``share`` of all unlabelled rows of each class, one at
     least. None without labels of both classes.
     """
-    sample = labelled_sample(features, labels, "quality", per_class, None).toArrow().sort_by("doc_id")
+    sample = labelled_sample(features, labels, "quality", per_class).toArrow().sort_by("doc_id")
     label, weight = sample["label"].to_numpy(), sample["weight"].to_numpy()
     if not {0, 1} <= set(label.tolist()):
         return None

@@ -11,13 +11,12 @@ def remainder(column: str, divisor: int, equal: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % divisor == equal, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int | None) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """``docs`` joined with ``label`` and ``weight`` for up to ``per_class`` documents of each class.
 
     ``labels`` holds (doc_id, 0 or 1); other values and nulls are no labels, of repeated ones the largest counts. The
     sample is the same in every run: documents in the order of a hash of their id. ``weight`` is the number of labelled
-    documents that a sampled one stands for. Documents above ``max_bytes`` (if given) are not sampled. The result has
-    2 * ``per_class`` rows at most, so the ids may be sent to all tasks.
+    documents that a sampled one stands for. 2 * ``per_class`` ids at most are chosen, so they may be sent to all tasks.
     """
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
@@ -30,5 +29,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         weight = max(1.0, totals.get(value, 0) / per_class)
         part = part.withColumn("weight", F.lit(weight))
         chosen = part if chosen is None else chosen.unionByName(part)
-    short = docs if max_bytes is None else docs.where(F.octet_length("text") <= max_bytes)
-    return short.join(F.broadcast(chosen), short["doc_id"] == chosen["__id"]).drop("__id")
+    return docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["__id"]).drop("__id")

@@ -73,45 +73,66 @@ def _known(hashes: np.ndarray, sentences: np.ndarray, words: np.ndarray) -> tupl
     return pairs // len(words), pairs % len(words)
 
 
-def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_bytes: int = 200_000, features: int = 20_000, least_z: float = 3.5, steps: int = 300
-) -> ToxicityModel:
-    """Fit on up to ``per_class`` labelled documents of each class (see ``labelled_sample``).
-
-    Of copies among them one is used. Words and their beginnings are features when the document frequencies of the classes differ by ``least_z`` standard errors; of these
-    at most ``features`` with the largest difference. Without labels of both classes the model scores every text 0.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, features: int = 20_000, least_z: float = 3.5, steps: int = 300) -> ToxicityModel:
+    """Fit on up to ``per_class`` labelled documents of each class (see ``labelled_sample``), of any length.
+
+    Of copies among them one is used. Words and their beginnings are features when the document frequencies of the classes
+    differ by ``least_z`` standard errors; of these at most ``features`` with the largest difference. Frequencies are counted
+    on Spark; what reaches the driver are a sketch of each sampled document, the chosen features, and the places of chosen
+    features in sentences that hold a marked one. Without labels of both classes (as in empty tables) the model scores every
+    text 0.
     """
-    sample = stored(labelled_sample(docs, labels, "toxic", per_class, max_bytes).select("doc_id", "text", "label", "weight"), "toxic-sample")
+    nothing = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 0.0, 0.0)
+    sample = stored(labelled_sample(docs, labels, "toxic", per_class).select("doc_id", "text", "label", "weight"), "toxic-sample")
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passes(batches):
             hashes, rows = words(batch.column("text"), NO_WORD)
-            sketches = [_sketch(hashes[a:b]).tobytes() for a, b in zip(rows[:-1], rows[1:], strict=True)]
-            hashes, sentences, first, _, _ = _words(batch.column("text"))
-            order = np.argsort(sentences, kind="stable")
-            hashes, cuts = hashes[order], np.searchsorted(sentences[order], first)
-            features = [np.unique(hashes[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array(features, pa.binary()), pa.array(sketches, pa.binary())],
-                names=["doc_id", "label", "features", "sketch"],
-            )
+            sketch = [_sketch(hashes[a:b]).tobytes() for a, b in zip(rows[:-1], rows[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(sketch, pa.binary())], names=["doc_id", "label", "sketch"])
 
-    seen = sample.mapInArrow(distinct, "doc_id long, label int, features binary, sketch binary").toArrow().sort_by("doc_id")
+    seen = sample.mapInArrow(sketches, "doc_id long, label int, sketch binary").toArrow().sort_by("doc_id")
     once = np.array(_one_of_each(seen["sketch"].to_pylist()), bool)
     used, label = seen["doc_id"].to_numpy()[once], seen["label"].to_numpy()[once]
-    nothing = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 0.0, 0.0)
-    if len(set(label.tolist())) < 2:
+    n1, n0 = int(label.sum()), int((1 - label).sum())
+    if not n1 or not n0:
+        return nothing
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in passes(batches):
+            hashes, sentences, first, _, _ = _words(batch.column("text"))
+            row = np.searchsorted(first, sentences, "right") - 1
+            at = np.flatnonzero(np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), used)[row])
+            found, row = hashes[at], row[at]
+            order = np.lexsort((row, found))
+            found, row = found[order], row[order]
+            new = np.ones(len(found), bool)  # a feature counts once in a document
+            new[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
+            toxic = batch.column("label").to_numpy(zero_copy_only=False)[row[new]] == 1
+            every, inverse = np.unique(found[new], return_inverse=True)
+            counts = [np.bincount(inverse, w, len(every)).astype(np.int64) for w in (toxic, ~toxic)]
+            yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), *map(pa.array, counts)], names=["feature", "toxic", "clean"])
+
+    counted = sample.mapInArrow(frequencies, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    toxic, clean = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    odds = F.log(toxic / (n1 + 1 - toxic)) - F.log(clean / (n0 + 1 - clean))
+    marked = counted.where("toxic + clean >= 5").select("feature", (odds / F.sqrt(1 / toxic + 1 / clean)).alias("z")).where(F.abs("z") >= least_z)
+    best = marked.orderBy(F.abs("z").desc(), "feature").limit(features).toArrow()
+    chosen, z = best["feature"].to_numpy().view(np.uint64), best["z"].to_numpy()
+    order = np.argsort(chosen)
+    chosen, z = chosen[order], z[order]
+    marks = z > 0
+    if not marks.any():
         return nothing
-    found = [np.frombuffer(f, np.uint64) for f, o in zip(seen["features"].to_pylist(), once.tolist(), strict=True) if o]
-    chosen, z = _associated(found, label, features, least_z)
-    shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passes(batches):
             hashes, sentences, first, _, _ = _words(batch.column("text"))
-            sentence, feature = _known(hashes, sentences, shared.value)
+            sentence, feature = _known(hashes, sentences, chosen)
+            held = np.isin(sentence, sentence[marks[feature]])
+            sentence, feature = sentence[held], feature[held]
             cuts = np.searchsorted(sentence, first)
-            pairs = [((sentence[a:b] - f).tobytes(), feature[a:b].tobytes()) for a, b, f in zip(cuts[:-1], cuts[1:], first, strict=False)]
+            pairs = [((sentence[a:b] - f).astype(np.int32).tobytes(), feature[a:b].astype(np.int32).tobytes()) for a, b, f in zip(cuts[:-1], cuts[1:], first, strict=False)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("label"), batch.column("weight"), *[pa.array(c, pa.binary()) for c in zip(*pairs, strict=True)]],
                 names=["doc_id", "label", "weight", "sentences", "features"],
@@ -119,8 +140,8 @@ def fit_toxicity(
 
     bag = sample.mapInArrow(bags, "doc_id long, label int, weight double, sentences binary, features binary").toArrow().sort_by("doc_id")
     bag = bag.filter(pa.array(np.isin(bag["doc_id"].to_numpy(), used)))
-    pairs = [tuple(np.frombuffer(x, np.int64) for x in row) for row in zip(bag["sentences"].to_pylist(), bag["features"].to_pylist(), strict=True)]
-    return _fit(pairs, bag["label"].to_numpy(), bag["weight"].to_numpy(), chosen, z, steps) or nothing
+    pairs = [tuple(np.frombuffer(x, np.int32) for x in row) for row in zip(bag["sentences"].to_pylist(), bag["features"].to_pylist(), strict=True)]
+    return _fit(pairs, bag["label"].to_numpy(), bag["weight"].to_numpy(), chosen, z, steps)
 
 
 def _sketch(hashes: np.ndarray) -> np.ndarray:
@@ -139,34 +160,16 @@ def _one_of_each(sketches: list[bytes]) -> list[bool]:
     return first
 
 
-def _associated(distinct: list[np.ndarray], label: np.ndarray, features: int, least_z: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted features whose document frequencies differ between the classes, and the sign of the difference."""
-    n1, n0 = int(label.sum()), int((1 - label).sum())
-    every, counts = np.unique(np.concatenate(distinct), return_counts=True)
-    own, own_counts = np.unique(np.concatenate([d for d, y in zip(distinct, label, strict=True) if y]), return_counts=True)
-    toxic = np.zeros(len(every))
-    toxic[np.searchsorted(every, own)] = own_counts
-    clean = counts - toxic
-    odds = np.log((toxic + 0.5) / (n1 - toxic + 0.5)) - np.log((clean + 0.5) / (n0 - clean + 0.5))
-    z = odds / np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-    kept = np.flatnonzero((np.abs(z) >= least_z) & (counts >= 5))
-    kept = np.sort(kept[np.argsort(-np.abs(z[kept]), kind="stable")[:features]])
-    return every[kept], z[kept]
-
-
-def _fit(pairs, label, weight, words, z, steps) -> ToxicityModel | None:
+def _fit(pairs, label, weight, words, z, steps) -> ToxicityModel:
+    """``pairs``: for each document (sentence, feature) of the sentences that hold a marked feature."""
     marks = (z > 0).astype(float)
-    if not marks.any():
-        return None
     pair_sentence, pair_feature, owner, total = [], [], [], 0
     for doc, (found, feature) in enumerate(pairs):
         distinct, inverse = np.unique(found, return_inverse=True)
-        marked = np.bincount(inverse, marks[feature], len(distinct)) > 0
-        number = np.cumsum(marked) - 1
-        pair_sentence.append(total + number[inverse[marked[inverse]]])
-        pair_feature.append(feature[marked[inverse]])
-        owner.append(np.full(int(marked.sum()), doc))
-        total += int(marked.sum())
+        pair_sentence.append(total + inverse)
+        pair_feature.append(feature)
+        owner.append(np.full(len(distinct), doc))
+        total += len(distinct)
     pair_sentence, pair_feature, owner = np.concatenate(pair_sentence), np.concatenate(pair_feature), np.concatenate(owner)
     weight = weight / weight.sum()
     # parameters: words, bias, log-odds of the leak; Adam on the weighted log-likelihood
