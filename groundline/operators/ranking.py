@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundline.functions.text import analysed_terms, issuer_key, keys_match
+from groundline.session import cut_lineage
 
 # Scores are rounded before they are ranked: summation order can then not decide a tie.
 SCORE_DIGITS = 9
@@ -63,55 +64,66 @@ def score_terms(query_terms: DataFrame, postings: DataFrame, by: list[str]) -> D
         rounded(F.sum(F.col("query_weight") * F.col("weight"))).alias("score"))
 
 
-def bm25_scores(query_terms: DataFrame, chunks: DataFrame, by: list[str], hint=lambda df: df) -> DataFrame:
-    """BM25 scores of chunks(child_id, issuer, content) for query_terms(by, issuer_filter, term, query_weight).
+# The term of the row that every chunk and field has for its length; no analysed term is empty.
+LENGTH_ROW = ""
 
-    The query's terms meet the tokens of each chunk before anything is shuffled, so only matching postings move. The
-    number of chunks and of all terms comes from one pass; document frequencies are needed for the query's terms
-    alone. ``hint`` marks the tables of query terms for broadcast once the caller has checked their size; without it
-    Spark joins by shuffle and splits frequent terms at run time.
-    """
-    from groundline.operators.index import BM25_B, BM25_K1
-    from groundline.session import one
-
-    base = chunks.select("child_id", issuer_key(F.col("issuer")).alias("issuer_key"), analysed_terms(F.col("content")).alias("tokens"))
-    totals = one(base.agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.size("tokens")).cast("double").alias("cf")).alias("totals")))
-    # the outer form keeps the tokeniser from being copied into a filter
-    tokens = base.select("child_id", "issuer_key", F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term"))
-    counts = tokens.join(hint(query_terms.select("term").distinct()), "term").groupBy("child_id", "issuer_key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df, n, tf = F.col("df"), totals["n"], F.col("tf")
-    known = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.log(1.0 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
-    length = 1 - BM25_B + BM25_B * F.col("dl") / (totals["cf"] / totals["n"])
-    share = F.col("idf") * tf * (BM25_K1 + 1) / (tf + BM25_K1 * length)
-    weighted = counts.join(hint(query_terms.join(hint(known), "term")), "term")
-    return weighted.groupBy(*by, "issuer_filter", "child_id", "issuer_key").agg(rounded(F.sum(F.col("query_weight") * share)).alias("score"))
 
+def content_fields(content: Column, indicator: Column | None = None) -> dict[str, Column]:
+    """Terms of the searched fields: the analysed content and, as one exact term, the name of the indicator."""
+    fields = {"content": analysed_terms(content)}
+    if indicator is not None:
+        fields["indicator"] = F.when(indicator.isNull(), F.array().cast("array<string>")).otherwise(F.array(indicator))
+    return fields
 
-def salted_score_terms(query_terms: DataFrame, postings: DataFrame, frequency: DataFrame,
-                       by: list[str], rows_per_salt: int = 1_000_000) -> DataFrame:
-    """:func:`score_terms` for query sets too large to broadcast.
 
-    A frequent term is cut into salts by chunk; its query rows are repeated once per salt. The
-    number of salts follows the term's document frequency, so no join task sees more than about
-    ``rows_per_salt`` postings of one term, or a ``HOT_TERMS``-th of all postings if that is more. So the
-    terms with several salts are bounded in number and are looked up from a broadcast.
+def field_counts(wanted: DataFrame, chunks: DataFrame, fields: dict[str, Column], hint=lambda df: df) -> DataFrame:
+    """(field, child_id, issuer_key, dl, term, tf) of the ``wanted(term)`` terms, and a ``LENGTH_ROW`` of each chunk and field.
+
+    Every chunk is cut into terms once: matching postings and lengths come out of the same pass, and are written, as
+    they are read several times and much smaller than the texts.
     """
-    from groundline.operators.index import HOT_TERMS
-    from groundline.session import one
-
-    total = one(frequency.agg(F.sum("df").alias("total")))
-    salts = F.greatest(F.ceil(F.col("df") / rows_per_salt), F.lit(1)).cast("int")
-    hot = F.broadcast(
-        frequency.where((F.col("df") > rows_per_salt) & (F.col("df") * HOT_TERMS >= total))
-        .select("term", salts.alias("salts")))
-    count = F.coalesce(F.col("salts"), F.lit(1))
-    spread = postings.join(hot, "term", "left").withColumn(
-        "salt", F.pmod(F.xxhash64("child_id"), count).cast("int")).drop("salts")
-    repeated = query_terms.join(hot, "term", "left").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), (count - 1).cast("int")))).drop("salts")
-    matched = spread.join(repeated, ["term", "salt"])
-    return matched.groupBy(*by, "issuer_filter", "child_id", "issuer_key").agg(
-        rounded(F.sum(F.col("query_weight") * F.col("weight"))).alias("score"))
+    found = F.array(*[F.struct(F.lit(name).alias("field"), terms.alias("terms")) for name, terms in fields.items()])
+    # the outer forms keep the tokeniser from being copied into a filter
+    rows = chunks.select("child_id", issuer_key(F.col("issuer")).alias("issuer_key"), F.explode_outer(found).alias("f"))
+    tokens = rows.select(
+        "f.field", "child_id", "issuer_key", F.size("f.terms").cast("long").alias("dl"),
+        F.explode_outer(F.concat("f.terms", F.array(F.lit(LENGTH_ROW)))).alias("term"))
+    lengths = chunks.sparkSession.createDataFrame([(LENGTH_ROW,)], "term string")
+    matched = tokens.join(hint(wanted.select("term").distinct().unionByName(lengths)), "term")
+    return cut_lineage(matched.groupBy("field", "child_id", "issuer_key", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def bm25_scores(query_terms: DataFrame, chunks: DataFrame, by: list[str], hint=lambda df: df, indicator: bool = False) -> DataFrame:
+    """BM25 scores of chunks(child_id, issuer, content[, indicator]) for query_terms(by, issuer_filter, term, query_weight).
+
+    The query's terms meet the tokens of each chunk before anything is shuffled, so only matching postings move;
+    document frequencies are needed for the query's terms alone. With ``indicator`` the name of a chunk's indicator is a
+    second field with its own frequencies, lengths and average; a term's shares of both fields add up. Where
+    query_terms has a column ``required``, a chunk must hold all terms of the list that are marked by it, in any field.
+    ``hint`` marks the tables of query terms for broadcast once the caller has checked their size; without it Spark
+    joins by shuffle and splits frequent terms at run time.
+    """
+    from groundline.operators.index import BM25_B, BM25_K1
+
+    fields = content_fields(F.col("content"), F.col("indicator") if indicator else None)
+    counts = field_counts(query_terms, chunks, fields, hint)
+    lengths = counts.where(F.col("term") == LENGTH_ROW).groupBy("field").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("dl").cast("double").alias("cf"))
+    counts = counts.where(F.col("term") != LENGTH_ROW)
+    df, n, tf = F.col("df"), F.col("n"), F.col("tf")
+    # one row for each field
+    totals = F.broadcast(lengths.select("field", "n", (F.col("cf") / n).alias("average")))
+    known = counts.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).join(totals, "field").select(
+        "field", "term", F.log(1.0 + (n - df + 0.5) / (df + 0.5)).alias("idf"), "average")
+    length = 1 - BM25_B + BM25_B * F.col("dl") / F.col("average")
+    share = F.col("idf") * tf * (BM25_K1 + 1) / (tf + BM25_K1 * length)
+    asked, more = query_terms, []
+    if "required" in query_terms.columns:
+        must = F.when(F.col("required"), F.col("term"))
+        asked = query_terms.withColumn("needed", F.size(F.collect_set(must).over(Window.partitionBy(*by))))
+        more = [(F.size(F.collect_set(must)) == F.max("needed")).alias("complete")]
+    weighted = counts.join(hint(asked.join(hint(known), "term")), ["field", "term"])
+    scored = weighted.groupBy(*by, "issuer_filter", "child_id", "issuer_key").agg(rounded(F.sum(F.col("query_weight") * share)).alias("score"), *more)
+    return scored.where("complete").drop("complete") if more else scored
 
 
 def tfidf_rank(scored: DataFrame, by: list[str], k: int = LIST_SIZE) -> DataFrame:

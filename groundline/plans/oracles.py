@@ -176,6 +176,26 @@ ORACLES: dict[str, str] = {
         FROM weighed""",
 }
 
+ORACLES["bm25_saved_index"] = ORACLES["bm25_topk"]
+NAMED = "text || ' src' || CAST(item_id % 20 AS VARCHAR)"
+ORACLES["bm25_two_fields"] = f"""WITH {chunk_tables(DOCS)}, atf AS (
+    SELECT 'content' AS field, child_id, issuer_key, term, dl, count(*) AS tf
+    FROM (SELECT child_id, issuer_key, len(l) AS dl, unnest(l) AS term
+          FROM (SELECT child_id, issuer_key, {analysed('content')} AS l FROM chunks)) GROUP BY ALL
+    UNION ALL SELECT 'indicator', child_id, issuer_key, issuer_key, 1, 1 FROM chunks WHERE issuer_key IS NOT NULL),
+avoc AS (SELECT field, term, ln(1 + ((SELECT n FROM n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM atf GROUP BY ALL),
+avgdl AS (SELECT field, sum(tf) / (SELECT n FROM n) AS a FROM atf GROUP BY field),
+bw AS (SELECT child_id, issuer_key, term, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a)) AS weight
+       FROM atf JOIN avoc USING (field, term) JOIN avgdl USING (field)),
+asked AS (SELECT item_id AS query_id, {words(NAMED)} AS ws FROM benchmark),
+bq AS (SELECT query_id, term, count(*) AS qw FROM (SELECT query_id, unnest({analysed('token')}) AS term
+       FROM (SELECT query_id, unnest(ws) AS token FROM asked)) GROUP BY ALL),
+must AS (SELECT query_id, {analysed('ws[1]')}[1] AS must FROM asked WHERE len(ws) > 0),
+bs AS (SELECT query_id, child_id, round(sum(qw * weight), 9) AS score FROM bq JOIN bw USING (term) LEFT JOIN must USING (query_id)
+       GROUP BY query_id, child_id HAVING bool_or(must IS NULL OR term = must)),
+bl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id) AS rank FROM bs QUALIFY rank <= 25)
+SELECT query_id, rank, child_id, round(score, 6) AS score FROM bl"""
+
 # ------------------------------------------------------------------------------ vectors
 
 CENTROIDS = """WITH parts AS (SELECT label, unnest(range(len(embedding))) AS i, embedding FROM embeddings),

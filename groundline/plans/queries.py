@@ -6,6 +6,8 @@ their sources are written from orders. Every query reads whole tables and whole
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from groundline.operators import pages as P
 from groundline.operators import ranking as R
 from groundline.operators.number_index import first_locations, number_index
 from groundline.plans.retrieval import retrieve
-from groundline.session import cut_lineage, one, spread, text_bytes
+from groundline.session import cut_lineage, ensure_checkpoint_dir, one, spread, text_bytes
 from groundline.sources import files as S
 
 DIGITS = 6
@@ -122,10 +124,13 @@ def tfidf_lists(asked: DataFrame, chunks: DataFrame, k: int = R.LIST_SIZE) -> Da
     return R.tfidf_rank(R.score_terms(terms, X.tfidf_postings(counts, vocabulary), QID), QID, k)
 
 
-def bm25_lists(asked: DataFrame, chunks: DataFrame, k: int = R.LIST_SIZE) -> DataFrame:
+def bm25_scored(terms: DataFrame, asked: DataFrame, chunks: DataFrame, indicator: bool = False) -> DataFrame:
     small = text_bytes(asked, "question") <= QUESTION_BYTES
-    scored = R.bm25_scores(plain_bm25_terms(asked), chunks, QID, F.broadcast if small else lambda df: df)
-    return R.bm25_rank(scored, QID, k)
+    return R.bm25_scores(terms, chunks, QID, F.broadcast if small else lambda df: df, indicator)
+
+
+def bm25_lists(asked: DataFrame, chunks: DataFrame, k: int = R.LIST_SIZE) -> DataFrame:
+    return R.bm25_rank(bm25_scored(plain_bm25_terms(asked), asked, chunks), QID, k)
 
 
 def ranked(lists: DataFrame) -> DataFrame:
@@ -186,6 +191,31 @@ def bm25_postfilter_issuer(spark, sf):
     return ranked(bm25_lists(filtered_questions(spark, sf), documents(spark, sf)))
 
 
+def bm25_two_fields(spark, sf):
+    """Content and indicator field in one score: a document's source stands for its indicator, each question also names a
+    source, and its first search word is required."""
+    named = documents(spark, sf).withColumn("indicator", F.col("issuer"))
+    asked = questions(spark, sf).withColumn(
+        "question", F.concat("question", F.lit(" src"), F.pmod("query_id", F.lit(20)).cast("string")))
+    first = F.transform(F.slice(T.words(F.col("question")), 1, 1), lambda w: F.get(T.analysed_terms(w), F.lit(0)))
+    must = asked.select("query_id", F.explode(first).alias("must"))
+    terms = plain_bm25_terms(asked).join(must, "query_id", "left")
+    terms = terms.withColumn("required", F.coalesce(F.col("term") == F.col("must"), F.lit(False))).drop("must")
+    return ranked(R.bm25_rank(bm25_scored(terms, asked, named, indicator=True), QID))
+
+
+def bm25_saved_index(spark, sf):
+    """The rows of bm25_topk from a saved index with score bounds, most of whose blocks stay unread."""
+    from groundline.operators.block_index import BlockIndex
+
+    chunks = documents(spark, sf)
+    postings = cut_lineage(X.bm25_postings(X.term_counts(chunks, "analysed"), chunks))
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bm25-index-{uuid.uuid4().hex}"
+    BlockIndex.build(postings).save(folder)
+    scored = BlockIndex.load(spark, folder).search(plain_bm25_terms(questions(spark, sf)), QID, R.LIST_SIZE * R.BM25_WIDTH)
+    return ranked(R.bm25_rank(scored, QID))
+
+
 def both_lists(asked, chunks):
     columns = ["query_id", "child_id", "rank"]
     return tfidf_lists(asked, chunks).select(*columns).unionByName(bm25_lists(asked, chunks).select(*columns))
@@ -495,8 +525,7 @@ def listed_lines(spark, sf):
     analysed = weighed.select(
         "query_id", "issuer_filter", F.explode(T.analysed_terms(F.col("token"))).alias("term"), "qtf"
     ).groupBy("query_id", "issuer_filter", "term").agg(F.sum("qtf").alias("query_weight"))
-    by_bm25 = R.bm25_rank(R.score_terms(
-        hinted(analysed, asked), X.bm25_postings(X.term_counts(chunks, "analysed"), chunks), QID), QID)
+    by_bm25 = R.bm25_rank(bm25_scored(analysed, asked, chunks), QID)
     columns = ["query_id", "child_id", "rank"]
     return by_tfidf.select(*columns).unionByName(by_bm25.select(*columns))
 
@@ -685,7 +714,7 @@ def prompt_context(spark, sf):
 
 QUERIES = [
     tokenize_counts, analysed_counts, doc_frequency_idf, tfidf_norms, tfidf_topk, tfidf_prefilter_issuer, bm25_topk,
-    bm25_postfilter_issuer, rrf_fusion, rrf_maxnorm_multi, anchor_idf_boost, vector_cosine_topk, vector_label_filter,
+    bm25_postfilter_issuer, bm25_two_fields, bm25_saved_index, rrf_fusion, rrf_maxnorm_multi, anchor_idf_boost, vector_cosine_topk, vector_label_filter,
     vector_neighbour_cosine, embedding_integrity, number_locations, number_first_location, index_numbers, raw_numbers,
     years, money_phrases, percent_phrases, grounding_verdict, grounding_by_priority, allowed_money_by_currency,
     hallucinated_set, corrections_by_kind, sanitize_text, sanitize_digits, attribution_findings, parent_windows,
