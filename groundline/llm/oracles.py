@@ -43,4 +43,46 @@ SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(b, w.doc
 FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN least ON a = w.doc_id
 """
 
-ORACLES = {"op2_chat_formatting": CHAT_SQL, "op3_ngram_jaccard_join": JACCARD_SQL}
+
+
+def merkle_sql(levels: int = 6) -> str:
+    """Trees of up to 16 ** ``levels`` leaves, and as many sources: one step a level, siblings by a join of each run."""
+    fields = " || ".join(f"coalesce(strlen({v}::VARCHAR)::VARCHAR || ':' || {v}::VARCHAR, '-')" for v in ("doc_id", "source", "lang", "n_chars", "{text}"))
+    small = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    byte = f"list_reduce(list_concat([xor(crc, b)], range(8)), lambda c, i: {step})"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(str_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda crc, b: {byte}), 4294967295)"
+    ctes = [f"""start AS (
+  SELECT row_number() OVER () AS id, doc_id, source AS tree, sha256({fields.format(text='text')}) AS leaf,
+    CASE WHEN {crc} % 5 = 0 THEN sha256({fields.format(text=small)}) END AS given FROM documents
+), rows_0 AS (
+  SELECT *, coalesce(given, leaf) AS folded, '' AS proof, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, given NULLS FIRST, id) - 1 AS pos FROM start
+), nodes_0 AS (SELECT tree, pos, leaf AS node FROM rows_0)"""]
+
+    def climb(k: int, nodes: str, rows: str, more: str, key: str) -> str:
+        return f"""{more}_sized_{k} AS (
+  SELECT *, count(*) OVER (PARTITION BY tree) > 1 AS several, CASE WHEN count(*) OVER (PARTITION BY tree) > 1 THEN pos // 16 ELSE pos END AS above FROM {nodes}
+), {nodes[:-1]}{k + 1} AS (
+  SELECT tree, above AS pos, CASE WHEN bool_or(several) THEN sha256(string_agg(node, '' ORDER BY pos)) ELSE any_value(node) END AS node FROM {more}_sized_{k} GROUP BY tree, above
+), {rows[:-1]}{k + 1} AS (
+  SELECT r.id, any_value(r.doc_id) AS doc_id, any_value(r.{key}) AS {key}, any_value(r.leaf) AS leaf, any_value(r.given) AS given,
+    CASE WHEN bool_or(n.several) THEN sha256(string_agg(CASE WHEN n.pos = r.pos THEN r.folded ELSE n.node END, '' ORDER BY n.pos)) ELSE any_value(r.folded) END AS folded,
+    any_value(r.proof) || coalesce(string_agg(n.node, '' ORDER BY n.pos) FILTER (n.pos <> r.pos AND n.several), '') AS proof,
+    any_value(n.above) AS pos{', any_value(r.subroot) AS subroot' if key == 'top' else ''}
+  FROM {rows} r JOIN {more}_sized_{k} n ON r.{key} IS NOT DISTINCT FROM n.tree AND n.above = CASE WHEN n.several THEN r.pos // 16 ELSE r.pos END GROUP BY r.id
+)"""
+
+    ctes += [climb(k, f"nodes_{k}", f"rows_{k}", "own", "tree") for k in range(levels)]
+    ctes.append(f"""subroots AS (
+  SELECT tree AS source, node, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos FROM nodes_{levels}
+), top_nodes_0 AS (SELECT 0 AS tree, pos, node FROM subroots
+), top_rows_0 AS (
+  SELECT r.* EXCLUDE (pos, tree), 0 AS top, s.pos AS pos, s.node AS subroot FROM rows_{levels} r JOIN subroots s ON r.tree IS NOT DISTINCT FROM s.source
+)""")
+    ctes += [climb(k, f"top_nodes_{k}", f"top_rows_{k}", "all", "top") for k in range(levels)]
+    return f"""WITH {', '.join(ctes)}
+SELECT doc_id, leaf, subroot, n.node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = n.node AS verified
+FROM top_rows_{levels} JOIN top_nodes_{levels} n ON true"""
+
+
+ORACLES = {"op2_chat_formatting": CHAT_SQL, "op3_ngram_jaccard_join": JACCARD_SQL, "op12_merkle_manifest": merkle_sql()}
