@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from groundline.dictionaries import (
     CONTENTS_MARKERS,
+    DEFAULT_DICTIONARY,
     DOCUMENT_WORDS,
+    INDICATORS,
     STOPWORDS,
 )
 
@@ -395,8 +397,8 @@ ORACLES |= {
 # ------------------------------------------------------------------------------ chunks and tables
 
 
-def windows(size: int, overlap: int) -> str:
-    """Recursive cut ending in ``piece(doc_id, source, c_idx, content)``."""
+def windows(size: int, overlap: int, base: str = "documents", tag: str = "") -> str:
+    """Recursive cut of base(doc_id, source, text) ending in ``piece<tag>(doc_id, source, c_idx, content)``."""
     ends = " ".join(
         f"WHEN strpos(reverse(w), {mark}) > 0 THEN start + length(w) - strpos(reverse(w), {mark}) + 1"
         for mark in ("chr(10) || chr(10)", "chr(10)", "' .'", "' '"))
@@ -406,13 +408,13 @@ def windows(size: int, overlap: int) -> str:
             ELSE start + {size} END AS stop
             FROM (SELECT *, substr(text, start + 1, {size}) AS w FROM ({rows}))"""
 
-    first = step("SELECT doc_id, source, text, length(text) AS n, 0::BIGINT AS start FROM documents")
+    first = step(f"SELECT doc_id, source, text, length(text) AS n, 0::BIGINT AS start FROM {base}")
     following = step(f"""SELECT doc_id, source, text, n,
-        CASE WHEN stop > start + {overlap} THEN stop - {overlap} ELSE stop END AS start FROM win WHERE stop < n""")
+        CASE WHEN stop > start + {overlap} THEN stop - {overlap} ELSE stop END AS start FROM win{tag} WHERE stop < n""")
     body = strip("substr(text, start + 1, stop - start)")
-    return f"""WITH RECURSIVE win AS ({first} UNION ALL {following}),
-piece AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS c_idx, content
-          FROM (SELECT doc_id, source, start, CASE WHEN n <= {size} THEN text ELSE {body} END AS content, n FROM win)
+    return f"""win{tag} AS ({first} UNION ALL {following}),
+piece{tag} AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS c_idx, content
+          FROM (SELECT doc_id, source, start, CASE WHEN n <= {size} THEN text ELSE {body} END AS content, n FROM win{tag})
           WHERE n <= {size} OR content <> '')"""
 
 
@@ -431,9 +433,9 @@ def overlap(asked: str, content: str) -> str:
 
 
 ORACLES |= {
-    "parent_windows": windows(2000, 200)
+    "parent_windows": "WITH RECURSIVE " + windows(2000, 200)
     + " SELECT source || '_p' || doc_id || '_parent_' || c_idx AS parent_id, c_idx AS p_idx, content FROM piece",
-    "recursive_chunks": windows(400, 50) + " SELECT doc_id, c_idx, content FROM piece",
+    "recursive_chunks": "WITH RECURSIVE " + windows(400, 50) + " SELECT doc_id, c_idx, content FROM piece",
     "pipe_table_rows": """SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey
             ORDER BY l_linenumber, l_partkey, r) - 1 AS row_no,
         'Orden ' || l_orderkey || chr(10) || '| Parte | Cantidad | Estado |' || chr(10) || '|---|---|---|' || chr(10)
@@ -610,3 +612,53 @@ numbered AS (SELECT *, sum(CASE WHEN i = 1 OR regexp_matches(piece, '\\p{{L}}')
     OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS pos FROM piece)
 SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos, string_agg(piece, ' ' ORDER BY i) AS sentence
 FROM numbered GROUP BY conv_id, turn, pos"""
+
+# ------------------------------------------------------------------------------ two chunk levels, sub-queries
+
+# The documents hold no pipe tables, so all children are prose.
+NAMED_INDICATOR = "CASE " + " ".join(f"WHEN {has_any('content', names)} THEN '{canon}'" for canon, names in INDICATORS) + " END"
+ORACLES["two_level_chunks"] = f"""WITH RECURSIVE {windows(2000, 200)},
+parent AS (SELECT source || '_p' || doc_id || '_parent_' || c_idx AS doc_id, source, content AS text FROM piece),
+{windows(400, 50, "parent", "_c")}
+SELECT doc_id || '_child_' || c_idx AS child_id, doc_id AS parent_id, content, false AS is_table, {NAMED_INDICATOR} AS indicator FROM piece_c"""
+
+_ACCENTED = {"a": "áÁ", "e": "éÉ", "i": "íÍ", "o": "óÓ", "u": "úÚüÜ"}
+_OPENING = "^" + "".join(
+    "(?:" + "".join(f"[{ch}{ch.upper()}{_ACCENTED.get(ch, '')}]" if ch.isalpha() else ch for ch in prefix) + "\\s*)?"
+    for prefix in DEFAULT_DICTIONARY.segment_prefixes)
+_OWNED = "map {" + ", ".join(f"'{canon}': {sql_list(names)}" for canon, names in ISSUERS.items()) + "}"
+
+
+def anchors_of(clause: str) -> str:
+    """Capitalised words but the first, folded, that are neither the issuer nor a word of its names; each once."""
+    tokens = (f"list_filter(list_transform(list_filter(string_split_regex({strip(clause)}, '\\s+')[2:], "
+              f"lambda t: regexp_matches(t, '^\\p{{Lu}}')), lambda t: "
+              + norm("regexp_replace(t, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')")
+              + "), lambda t: t <> '' AND t <> issuer AND NOT list_contains(owned[issuer], t))")
+    return f"(SELECT list_filter(l, lambda x, i: list_position(l, x) = i) FROM (SELECT {tokens} AS l))"
+
+
+_PREAMBLE = (f"len(list_filter({words('replace(' + norm('x') + ', issuer, ' + chr(39) * 2 + ')')}, "
+             f"lambda t: NOT list_contains({sql_list(DOCUMENT_WORDS)}, t))) <= 1")
+_CUTS = lambda marks: (f"list_filter(list_transform(string_split_regex(q, '{marks}'), lambda x: {strip('x')}), "
+                       "lambda x: x <> '')")
+ORACLES["question_subqueries"] = f"""WITH asked AS (
+    SELECT item_id AS query_id, text AS q, {_OWNED} AS owned, list_transform(list_sort({FOUND}), lambda s: s.canon) AS issuers FROM benchmark),
+single AS (SELECT query_id, q, owned, issuers[1] AS issuer, unnest(range(1, len(l) + 1)) AS i, l FROM (
+    SELECT *, {_CUTS("[,;\\n¿?.]| y ")} AS l FROM asked WHERE len(issuers) = 1)),
+kept AS (SELECT query_id, q, owned, issuer, i, l[i] AS x FROM single),
+clause AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY i) - 1 AS sid, x AS text, issuer, owned FROM kept WHERE NOT ({_PREAMBLE})),
+several AS (SELECT query_id, q, owned, issuers[i] AS issuer, i - 1 AS sid FROM (
+    SELECT *, unnest(range(1, len(issuers) + 1)) AS i FROM asked WHERE len(issuers) > 1)),
+segment AS (SELECT query_id, sid, regexp_replace(coalesce(
+    list_filter({_CUTS("[,;\\n¿?]| y ")}, lambda s: len(list_filter(owned[issuer], lambda n: contains({norm('s')}, n))) > 0)[1],
+    {strip('q')}), '{_OPENING}', '') AS text, issuer, owned FROM several),
+named AS (SELECT query_id, sid, text, issuer, {anchors_of('text')} AS must FROM (SELECT * FROM clause UNION ALL SELECT * FROM segment)),
+subs AS (
+    SELECT query_id, sid, true AS multi, text, issuer, must FROM named
+    UNION ALL SELECT query_id, 0, len(issuers) > 0, q, issuers[1], [] FROM asked
+    WHERE len(issuers) = 0 OR (len(issuers) = 1 AND query_id NOT IN (SELECT query_id FROM clause))),
+whole AS (SELECT query_id, flatten(list(must ORDER BY sid)) AS every, count(DISTINCT issuer) = 1 AS alone FROM subs GROUP BY query_id)
+SELECT query_id, sid, multi, text, issuer AS issuer_filter, array_to_string(must, ',') AS must,
+    CASE WHEN multi AND alone THEN array_to_string(list_filter(every, lambda a: NOT list_contains(must, a)), ',') ELSE '' END AS boost
+FROM subs JOIN whole USING (query_id)"""
