@@ -91,8 +91,8 @@ def tfidf_postings(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def bm25_postings(counts: DataFrame, children: DataFrame) -> DataFrame:
-    """(term, child_id, issuer_key, weight) with the finished BM25 share of each posting."""
-    vocabulary = bm25_idf(document_frequency(counts), children)
+    """(term, child_id, issuer_key, weight) with the finished BM25 share of each posting. ``counts`` are read twice."""
+    vocabulary = cut_lineage(bm25_idf(document_frequency(counts), children))
     occurrences = one(vocabulary.agg(F.sum("cf").cast("double").alias("cf")))
     avgdl = occurrences / one(children.select(F.count(F.lit(1)).alias("n")))
     tf, dl = F.col("tf"), F.col("dl")
@@ -101,13 +101,15 @@ def bm25_postings(counts: DataFrame, children: DataFrame) -> DataFrame:
 
 
 def indicator_postings(children: DataFrame, dictionary: Dictionary = DEFAULT_DICTIONARY) -> DataFrame:
-    """Optional second BM25 field: the exact indicator name as the only term of the field."""
+    """Second BM25 field: the exact indicator name as the only term of the field, with the field's own frequencies and
+    average length (over all chunks, as chunks without an indicator have none of its terms)."""
     named = children.where("indicator IS NOT NULL").select(
         F.col("indicator").alias("term"), "child_id",
         T.issuer_key(F.col("issuer"), dictionary).alias("issuer_key"))
-    vocabulary = bm25_idf(named.groupBy("term").agg(F.count(F.lit(1)).alias("df")), children)
-    return attach_by_term(named, vocabulary).select(
-        "term", "child_id", "issuer_key", F.col("idf").alias("weight"))
+    vocabulary = cut_lineage(bm25_idf(named.groupBy("term").agg(F.count(F.lit(1)).alias("df")), children))
+    average = one(vocabulary.agg(F.sum("df").cast("double").alias("cf"))) / one(children.select(F.count(F.lit(1)).alias("n")))
+    share = F.col("idf") * (BM25_K1 + 1) / (1 + BM25_K1 * (1 - BM25_B + BM25_B / average))
+    return attach_by_term(named, vocabulary).select("term", "child_id", "issuer_key", share.alias("weight"))
 
 
 @dataclass
@@ -146,10 +148,17 @@ class TextIndex:
 
 
 def build_text_index(children: DataFrame, dictionary: Dictionary = DEFAULT_DICTIONARY,
-                     indicator_field: bool = False) -> TextIndex:
-    counts = term_counts(children, "words", dictionary)
-    vocabulary = smoothed_idf(document_frequency(counts), children)
-    bm25 = bm25_postings(term_counts(children, "analysed", dictionary), children)
+                     indicator_field: bool | None = None) -> TextIndex:
+    """Both rankers' tables. The indicator is searched wherever ``children`` has that column, unless it is turned off.
+
+    Texts are cut into terms once for each analyser: the counts are written, as weights need them beside the document
+    frequencies that come from them.
+    """
+    if indicator_field is None:
+        indicator_field = "indicator" in children.columns
+    counts = cut_lineage(term_counts(children, "words", dictionary))
+    vocabulary = cut_lineage(smoothed_idf(document_frequency(counts), children))
+    bm25 = bm25_postings(cut_lineage(term_counts(children, "analysed", dictionary)), children)
     if indicator_field:
         bm25 = bm25.unionByName(indicator_postings(children, dictionary))
     titles = title_words(children, dictionary)

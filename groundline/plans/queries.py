@@ -118,8 +118,8 @@ def plain_bm25_terms(asked: DataFrame) -> DataFrame:
 
 
 def tfidf_lists(asked: DataFrame, chunks: DataFrame, k: int = R.LIST_SIZE) -> DataFrame:
-    counts = X.term_counts(chunks)
-    vocabulary = X.smoothed_idf(X.document_frequency(counts), chunks)
+    counts = cut_lineage(X.term_counts(chunks))
+    vocabulary = cut_lineage(X.smoothed_idf(X.document_frequency(counts), chunks))
     terms = hinted(R.query_term_weights(plain_terms(asked), vocabulary, QID), asked)
     return R.tfidf_rank(R.score_terms(terms, X.tfidf_postings(counts, vocabulary), QID), QID, k)
 
@@ -209,7 +209,7 @@ def bm25_saved_index(spark, sf):
     from groundline.operators.block_index import BlockIndex
 
     chunks = documents(spark, sf)
-    postings = cut_lineage(X.bm25_postings(X.term_counts(chunks, "analysed"), chunks))
+    postings = cut_lineage(X.bm25_postings(cut_lineage(X.term_counts(chunks, "analysed")), chunks))
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bm25-index-{uuid.uuid4().hex}"
     BlockIndex.build(postings).save(folder)
     scored = BlockIndex.load(spark, folder).search(plain_bm25_terms(questions(spark, sf)), QID, R.LIST_SIZE * R.BM25_WIDTH)
@@ -515,7 +515,7 @@ def overlap_score(spark, sf):
 def listed_lines(spark, sf):
     """Both text rankers over document lines, with rare question words counted three times."""
     asked, chunks = questions(spark, sf), lines(spark, sf)
-    counts = X.term_counts(chunks)
+    counts = cut_lineage(X.term_counts(chunks))
     vocabulary = cut_lineage(X.smoothed_idf(X.document_frequency(counts), chunks))
     words = asked.select("query_id", "issuer_filter", F.posexplode(T.words(F.col("question"))).alias("pos", "token"))
     weighed = D.weigh_rare_words(words, vocabulary, QID)

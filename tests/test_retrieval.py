@@ -160,7 +160,6 @@ def test_text_rankers_against_brute_force(spark):
         assert r["weight"] == pytest.approx(vec[r["term"]] / math.sqrt(sum(v * v for v in vec.values())))
 
 
-
 def test_vector_paths_agree(spark):
     rng = np.random.default_rng(7)
     data = rng.normal(size=(300, 8))
