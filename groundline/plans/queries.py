@@ -26,8 +26,9 @@ from groundline.operators import pages as P
 from groundline.operators import ranking as R
 from groundline.operators.number_index import first_locations, number_index
 from groundline.plans.retrieval import retrieve
-from groundline.session import cut_lineage, ensure_checkpoint_dir, one, spread, text_bytes
+from groundline.session import broadcast_if_small, cut_lineage, ensure_checkpoint_dir, one, spread, text_bytes
 from groundline.sources import files as S
+from groundline.sources.bucketed import BucketedStore
 
 DIGITS = 6
 # Question text below this size gives so few terms that they are broadcast.
@@ -533,7 +534,7 @@ def listed_lines(spark, sf):
 def fused_lines(spark, sf):
     fused = R.reciprocal_rank_fusion(listed_lines(spark, sf), QID)
     places = lines(spark, sf).select("child_id", "parent_id", "document", "page", "issuer", "p_idx", "is_toc")
-    return cut_lineage(places.join(F.broadcast(cut_lineage(fused)), "child_id"))
+    return cut_lineage(places.join(broadcast_if_small(cut_lineage(fused)), "child_id"))
 
 
 def parent_hits(spark, sf):
@@ -591,8 +592,10 @@ def page_rehydrate(spark, sf):
 def hybrid_retrieve(spark, sf):
     """The whole retrieval plan: benchmark questions over document lines."""
     chunks = lines(spark, sf)
-    index = X.build_text_index(chunks).checkpointed()
-    return blocks(retrieve(questions(spark, sf), parents(spark, sf), chunks, index, TOP))
+    name = f"hybrid_{uuid.uuid4().hex}"
+    store = BucketedStore.write(
+        parents(spark, sf), chunks, X.build_text_index(chunks), f"{ensure_checkpoint_dir(spark)}/{name}", name)
+    return blocks(retrieve(questions(spark, sf), store.parents, store.children, store.index, TOP, places=store.places))
 
 
 def page_must_filter(spark, sf):
@@ -601,7 +604,7 @@ def page_must_filter(spark, sf):
     anchors = questions(spark, sf).select(
         "query_id", F.slice(T.words(F.col("question")), 1, 1).alias("anchors"))
     pages = cut_lineage(fused.select("query_id", "document", "page").distinct().join(anchors, "query_id"))
-    evidence = P.page_evidence(F.broadcast(pages), lines(spark, sf))
+    evidence = P.page_evidence(broadcast_if_small(pages), lines(spark, sf))
     kept = fused.join(evidence, ["query_id", "document", "page"]).where(F.size("held") > 0)
     return kept.select("query_id", "child_id", joined("held").alias("held"), "money")
 

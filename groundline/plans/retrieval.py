@@ -62,19 +62,22 @@ def ranked_lists(questions: DataFrame, subs: DataFrame, index: TextIndex, vector
 
 def retrieve(questions: DataFrame, parents: DataFrame, children: DataFrame, index: TextIndex,
              k: int = DEFAULT_K, vectors: DataFrame | None = None,
-             dictionary: Dictionary = DEFAULT_DICTIONARY, strict: bool = False) -> DataFrame:
+             dictionary: Dictionary = DEFAULT_DICTIONARY, strict: bool = False,
+             places: DataFrame | None = None) -> DataFrame:
     """Best ``k`` pages per question.
 
     ``questions`` is (query_id, question, issuer_filter[, vec]); one question and a batch run the
     same plan. ``vectors`` is (child_id, issuer_key, vec). Lineage is cut where the data has become
-    small (the ranked lists), which also gives an exact size for the joins that follow.
+    small (the ranked lists), which also gives an exact size for the joins that follow. ``places`` are the
+    chunks without their texts, where a store keeps them apart (``sources.bucketed``).
     """
     subs = cut_lineage(D.subqueries(questions, index.titles, dictionary, strict))
     lists = cut_lineage(ranked_lists(questions, subs, index, vectors, dictionary))
 
     # Where the listed chunks live.
     listed = broadcast_if_small(cut_lineage(lists.select("child_id").distinct()))
-    places = prune_scan(children, "child_id", listed).join(listed, "child_id", "left_semi").select(
+    stored = children if places is None else places
+    places = prune_scan(stored, "child_id", listed).join(listed, "child_id", "left_semi").select(
         "child_id", "parent_id", "document", "page", "issuer", "p_idx", "is_toc")
     located = cut_lineage(lists.join(places, "child_id"))
 
