@@ -662,3 +662,20 @@ whole AS (SELECT query_id, flatten(list(must ORDER BY sid)) AS every, count(DIST
 SELECT query_id, sid, multi, text, issuer AS issuer_filter, array_to_string(must, ',') AS must,
     CASE WHEN multi AND alone THEN array_to_string(list_filter(every, lambda a: NOT list_contains(must, a)), ',') ELSE '' END AS boost
 FROM subs JOIN whole USING (query_id)"""
+
+
+# Nested loops on purpose: every alias against every text, every name against every name.
+_FIRST_TWO = r"regexp_extract(lower(text), '^([a-z]+ [a-z]+)(?:[^\p{L}\p{M}\p{N}_]|$)', 1)"
+ORACLES["dictionary_matches"] = rf"""WITH names AS (
+    SELECT {_FIRST_TWO} AS alias, source AS canon FROM documents UNION ALL SELECT {_FIRST_TWO}, 'benchmark' FROM benchmark),
+entries AS (SELECT alias, min(canon) AS canon FROM names WHERE alias <> '' GROUP BY alias),
+marked AS (SELECT doc_id, regexp_replace(lower(text), '([\p{{L}}\p{{N}}\p{{M}}_]+)', '<\1>', 'g') AS t FROM documents),
+hits AS (SELECT doc_id, alias, canon FROM marked JOIN entries ON contains(t, '<' || replace(alias, ' ', '> <') || '>'))
+SELECT doc_id, count(*) AS n_aliases, arg_min(canon, (length(alias), alias)) AS first_canon,
+    arg_min(alias, (length(alias), alias)) AS first_alias FROM hits GROUP BY doc_id"""
+ORACLES["contained_names"] = """WITH written AS (
+    SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN 'Supplier#' || lpad(c_custkey::VARCHAR, 9, '0') || ' ' || n_name
+        ELSE lpad(c_custkey::VARCHAR, 7, '0') END AS w FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT s_suppkey, count(w) FILTER (contains(w, s_name) AND w <> s_name) AS n_holding,
+    count(w) FILTER (contains(s_name, w) AND w <> s_name) AS n_inside, min(w) AS first_written
+FROM supplier LEFT JOIN written ON contains(w, s_name) OR contains(s_name, w) GROUP BY s_suppkey"""

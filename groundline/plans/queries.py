@@ -22,6 +22,7 @@ from groundline.operators import corrections as K
 from groundline.operators import decomposition as D
 from groundline.operators import grounding as G
 from groundline.operators import index as X
+from groundline.operators import name_joins as J
 from groundline.operators import pages as P
 from groundline.operators import ranking as R
 from groundline.operators.number_index import first_locations, number_index
@@ -641,6 +642,36 @@ def issuer_match(spark, sf):
         T.issuer_matches(F.col("s_name"), wanted).alias("nation_match"))
 
 
+def dictionary_matches(spark, sf):
+    """Every document with the entries of a dictionary that it names: the first two words of all documents and benchmark items."""
+    docs = read(spark, sf, "documents")
+    first = lambda c: F.regexp_extract(F.lower(c), r"^([a-z]+ [a-z]+)(?:[^\p{L}\p{M}\p{N}_]|$)", 1)
+    names = docs.select(first("text").alias("alias"), F.col("source").alias("canon")).unionByName(
+        read(spark, sf, "benchmark").select(first("text").alias("alias"), F.lit("benchmark").alias("canon")))
+    entries = names.where("alias <> ''").groupBy("alias").agg(F.min("canon").alias("canon"))
+    hits = J.alias_matches(docs.select("doc_id", "text"), entries.withColumn("ord", F.length("alias")), "doc_id")
+    count = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_aliases"))
+    return count.join(J.first_canon(hits, "doc_id"), "doc_id").select(
+        "doc_id", "n_aliases", F.col("canon").alias("first_canon"), F.col("alias").alias("first_alias"))
+
+
+def contained_names(spark, sf):
+    """Every supplier with the written names that hold its name or lie in it: customers sign with a supplier's name and their
+    nation's, or with the end of a name."""
+    nations = F.broadcast(read(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"))
+    number = F.col("c_custkey").cast("string")
+    signed = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Supplier#"), F.lpad(number, 9, "0"), F.lit(" "), "n_name")).otherwise(
+        F.lpad(number, 7, "0"))
+    written = read(spark, sf, "customer").join(nations, "c_nationkey").select(signed.alias("name"))
+    suppliers = read(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("name"))
+    pairs = J.contained_names(suppliers, written)
+    links = pairs.groupBy(F.col("left_name").alias("name")).agg(
+        F.count_if(F.col("direction") == "in").alias("n_holding"), F.count_if(F.col("direction") == "holds").alias("n_inside"),
+        F.min("right_name").alias("first_written"))
+    return suppliers.join(links, "name", "left").select(
+        "s_suppkey", F.coalesce("n_holding", F.lit(0)).alias("n_holding"), F.coalesce("n_inside", F.lit(0)).alias("n_inside"), "first_written")
+
+
 def clause_split(spark, sf):
     clauses = read(spark, sf, "benchmark").select("item_id", F.posexplode(T.clauses(F.col("text"))).alias("pos", "clause"))
     owner = F.lit("the")
@@ -723,6 +754,6 @@ QUERIES = [
     hallucinated_set, corrections_by_kind, sanitize_text, sanitize_digits, attribution_findings, parent_windows,
     recursive_chunks, two_level_chunks, pipe_table_rows, toc_flag, overlap_score, parent_max_score, sibling_expand,
     best_per_issuer, neighbor_band_join, tiered_parents, page_rehydrate, hybrid_retrieve, page_must_filter,
-    indicator_match, query_expansion, issuer_detect, issuer_match, clause_split, question_subqueries,
+    indicator_match, query_expansion, issuer_detect, issuer_match, dictionary_matches, contained_names, clause_split, question_subqueries,
     answer_sentences, strip_think, catalog_coalesce, markdown_page_split, sha256_manifest, prompt_context,
 ]
