@@ -10,7 +10,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 # Quick queries of every family; the rest runs in the correctness gate.
 CHECKED = ["tokenize_counts", "tfidf_topk", "bm25_postfilter_issuer", "vector_label_filter", "number_locations",
            "grounding_verdict", "sanitize_text", "attribution_findings", "recursive_chunks", "pipe_table_rows",
-           "indicator_match", "query_expansion", "clause_split", "catalog_coalesce", "strip_think"]
+           "indicator_match", "query_expansion", "clause_split", "catalog_coalesce", "strip_think",
+           "dictionary_matches", "contained_names"]
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
