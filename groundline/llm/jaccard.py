@@ -11,6 +11,12 @@ under a few hashes in turn, which join most copies; then, for every shingle that
 delegate of each component, a frequent shingle's dealt over several blocks; then all sets of the shingles that are left. Links inside a component are never needed
 again, so a group of copies costs about one comparison for each member.
 
+Leads. The first shingle that two linked sets share stands among the first n - ceil(2t / (1 + t) * n) + 1 of the smaller
+one. A set is a lead of these shingles. In the last blocks every pair has a lead, and shingles without leads have no
+block. The sets of a crowded shingle meet by bands of sizes, as leads on one side and all sets of the next sizes on the
+other, so a template that many pages quote but don't begin with in that order costs nothing, and one with few leads a
+row or two for each page.
+
 Signature trees. In a block, leaves hold a set's token bitmap and size, inner nodes the OR of the bitmaps and the range of the
 sizes. A dual traversal drops node pairs whose largest possible overlap is below the least overlap that their sizes
 demand; the pairs of sets that remain are compared exactly.
@@ -18,6 +24,7 @@ demand; the pairs of sets that remain are compared exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -254,8 +261,8 @@ def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, num: int, den: int, slices: int) -> DataFrame:
-    """Prefix shingles of all sets: kind 1 frequent ones, in rows of their own; kind 2 all others, packed by slice of the
-    shingles' range."""
+    """Prefix shingles of all sets: frequent ones in rows of their own, of kind 3 where the set is a lead and 1 elsewhere; kind 2 all
+    others, packed by slice of the shingles' range: the number of leads, the leads, the rest."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +275,7 @@ def _postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: in
                 hit = often[at] == flat
                 ranks[hit] = classes[at[hit]]
             ends = np.cumsum([len(s) for s in sets])
-            prefix, prefix_ranks, lengths = [], [], []
+            prefix, prefix_ranks, lengths, leads = [], [], [], []
             for s, end in zip(sets, ends.tolist(), strict=True):
                 n = len(s)
                 length, rank = n - -(-num * n // den) + n // SHARED_PART + 1, ranks[end - n : end]
@@ -276,24 +283,36 @@ def _postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: in
                 prefix.append(s[order])
                 prefix_ranks.append(rank[order])
                 lengths.append(length)
+                leads.append(np.arange(length) <= n - -(-2 * num * n // (num + den)))
             lengths = np.array(lengths)
-            shingle, rank, owner = np.concatenate(prefix), np.concatenate(prefix_ranks), np.repeat(np.array(ids, np.int64), lengths)
-            yield _packed(1, shingle[rank > 0], owner[rank > 0])
-            shingle, owner = shingle[rank == 0], owner[rank == 0]
+            shingle, rank, owner, lead = np.concatenate(prefix), np.concatenate(prefix_ranks), np.repeat(np.array(ids, np.int64), lengths), np.concatenate(leads)
+            for kind, chosen in ((1, (rank > 0) & ~lead), (3, (rank > 0) & lead)):
+                yield _packed(kind, shingle[chosen], owner[chosen])
+            shingle, owner, lead = shingle[rank == 0], owner[rank == 0], lead[rank == 0]
             order = np.argsort(shingle)
-            shingle, owner = shingle[order], owner[order]
+            shingle, owner, lead = shingle[order], owner[order], lead[order]
             step = np.uint64((1 << 64) // slices + 1)
             part = (shingle // step).astype(np.int64)
             bounds = np.searchsorted(part, np.arange(slices + 1))
             full = np.flatnonzero(np.diff(bounds))
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(len(full), 2, np.int32)), pa.array(full), pa.nulls(len(full), pa.int64()),
-                pa.array([shingle[bounds[p] : bounds[p + 1]].tobytes() + owner[bounds[p] : bounds[p + 1]].tobytes() for p in full.tolist()], pa.binary()),
+                pa.array([_joined_bytes(*(x[bounds[p] : bounds[p + 1]] for x in (shingle, owner, lead))) for p in full.tolist()], pa.binary()),
             ], names=["kind", "shingle", "id", "packed"])
 
     return docs.mapInArrow(run, "kind int, shingle long, id long, packed binary")
 
 
+def _joined_bytes(shingle: np.ndarray, owner: np.ndarray, lead: np.ndarray) -> bytes:
+    first = np.argsort(~lead, kind="stable")
+    return np.array([lead.sum()], np.int64).tobytes() + shingle[first].tobytes() + owner[first].tobytes()
+
+
+def _parted(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(content) // 16
+    return np.frombuffer(content, np.uint64, n, 8), np.frombuffer(content, np.int64, n, 8 + 8 * n), np.arange(n) < np.frombuffer(content, np.int64, 1)[0]
+
+
 def _packed(kind: int, shingle: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
     n = len(shingle)
     return pa.RecordBatch.from_arrays(
@@ -303,27 +322,26 @@ def _packed(kind: int, shingle: np.ndarray, owner: np.ndarray) -> pa.RecordBatch
 
 
 def _shared(packed: DataFrame, slices: int) -> DataFrame:
-    """(shingle, id) of all rarer shingles that stand in the prefixes of two sets or more."""
+    """(shingle, id, lead) of all rarer shingles that stand in the prefixes of two sets or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(parts: list[bytes]) -> pa.RecordBatch:
-            shingle = np.concatenate([np.frombuffer(p, np.uint64, len(p) // 16) for p in parts])
-            owner = np.concatenate([np.frombuffer(p, np.int64, len(p) // 16, len(p) // 2) for p in parts])
+            shingle, owner, lead = (np.concatenate(x) for x in zip(*map(_parted, parts), strict=True))
             order = np.argsort(shingle, kind="stable")
-            shingle, owner = shingle[order], owner[order]
+            shingle, owner, lead = shingle[order], owner[order], lead[order]
             same = np.zeros(len(shingle) + 1, bool)
             same[1:-1] = shingle[1:] == shingle[:-1]
             twice = same[1:] | same[:-1]
-            shingle, owner = shingle[twice], owner[twice]
+            shingle, owner, lead = shingle[twice], owner[twice], lead[twice]
             order = np.lexsort((owner, shingle))
-            shingle, owner = shingle[order], owner[order]
+            shingle, owner, lead = shingle[order], owner[order], lead[order]
             new = np.ones(len(shingle), bool)
             new[1:] = (shingle[1:] != shingle[:-1]) | (owner[1:] != owner[:-1])
-            shingle, owner = shingle[new], owner[new]
+            shingle, owner, lead = shingle[new], owner[new], lead[new]
             same = np.zeros(len(shingle) + 1, bool)
             same[1:-1] = shingle[1:] == shingle[:-1]
             twice = same[1:] | same[:-1]
-            return pa.RecordBatch.from_arrays([pa.array(shingle[twice].view(np.int64)), pa.array(owner[twice])], names=["shingle", "id"])
+            return pa.RecordBatch.from_arrays([pa.array(shingle[twice].view(np.int64)), pa.array(owner[twice]), pa.array(lead[twice])], names=["shingle", "id", "lead"])
 
         now, parts = None, []
         for batch in batches:
@@ -337,7 +355,7 @@ def _shared(packed: DataFrame, slices: int) -> DataFrame:
             yield finish(parts)
 
     dealt = packed.select("shingle", "packed").repartition(slices, "shingle").sortWithinPartitions("shingle")
-    return dealt.mapInArrow(run, "shingle long, id long")
+    return dealt.mapInArrow(run, "shingle long, id long, lead boolean")
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -411,7 +429,8 @@ def _dealt(members: DataFrame, contents: DataFrame) -> DataFrame:
 
 def _traversed(members: DataFrame, contents: DataFrame, num: int, den: int, schema: str, found_in) -> DataFrame:
     """What ``found_in`` makes of each block of ``members(block, id, label)`` with candidate pairs of different labels: it gets
-    the block, ids, labels as small numbers, labels, and both sides of the pairs, best pairs first."""
+    the block, ids, labels as small numbers, labels, and both sides of the pairs, best pairs first. With a column ``lead``,
+    pairs whose smaller set is no lead are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(block: int, rows: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
@@ -422,17 +441,22 @@ def _traversed(members: DataFrame, contents: DataFrame, num: int, den: int, sche
             numbers: dict[int, int] = {}
             number = np.array([numbers.setdefault(x, len(numbers)) for x in labels])
             bitmaps = [r[1][2] for r in ordered]
-            i, j = candidate_pairs(bitmaps, np.array([r[1][1] for r in ordered], np.int64), number, num, den)
+            sizes, leads = np.array([r[1][1] for r in ordered], np.int64), np.array([r[1][3] for r in ordered])
+            i, j = candidate_pairs(bitmaps, sizes, number, num, den)
+            led = leads[i] | (leads[j] & (sizes[i] == sizes[j]))
+            i, j = i[led], j[led]
             if len(i):
                 yield found_in(block, names, number, labels, i, j)
 
         now, rows = None, {}
         for batch in batches:
-            for block, name, *rest in zip(*(batch.column(c).to_pylist() for c in ("block", "id", "label", "n", "bitmap")), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("block", "id", "label", "n", "bitmap")]
+            leads = batch.column("lead").to_pylist() if "lead" in batch.schema.names else [True] * batch.num_rows
+            for block, name, label, n, bits, lead in zip(*columns, leads, strict=True):
                 if block != now:
                     yield from finish(now, rows)
                     now, rows = block, {}
-                rows[name] = tuple(rest)
+                rows[name] = (label, n, bits, lead or (name in rows and rows[name][3]))
         yield from finish(now, rows)
 
     return _dealt(members, contents.select("id", "n", "bitmap")).mapInArrow(run, schema)
@@ -496,15 +520,44 @@ def _stars(pairs: DataFrame) -> DataFrame:
 
 def _one_for_each(members: DataFrame) -> DataFrame:
     """Blocks that hold the same sets, once."""
-    signs = members.groupBy("block").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sign"), F.count("*").alias("n"))
+    names = [c for c in ("id", "lead") if c in members.columns]
+    signs = members.groupBy("block").agg(F.sum(F.xxhash64(*names).cast("decimal(38,0)")).alias("sign"), F.count("*").alias("n"))
     return members.join(signs.groupBy("sign", "n").agg(F.min("block").alias("block")).select("block"), "block")
 
 
 def _open_rows(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column]:
-    """(shingle, id, label, count) of the shingles that stand in several components, and the column of their count."""
+    """(shingle, id, lead, label, count) of the shingles that stand in several components and have leads, and the column of their count."""
     labelled = shared.join(labels, "id")
-    spread = labelled.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("count"))
-    return labelled.join(spread.where("least <> most").select("shingle", "count"), "shingle"), F.col("count")
+    spread = labelled.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("count"), F.max("lead").alias("led"))
+    return labelled.join(spread.where("least <> most and led").select("shingle", "count"), "shingle"), F.col("count")
+
+
+def _last_blocks(rows_open: DataFrame, sizes: DataFrame, ratio: float) -> DataFrame:
+    """(block, id, label, lead): blocks in which all pairs of different labels meet that can link, the smaller set as a lead.
+
+    A shingle with at most ``BLOCK`` sets is one block. Of others, the leads of a band of sizes meet the sets of this band and the
+    next one, dealt in parts when there are many of both. The label that most leads of a band have never meets itself.
+    """
+    plain = rows_open.where(F.col("count") <= BLOCK).select(F.xxhash64("shingle").alias("block"), "id", "label", "lead")
+    # somewhat wider than the ratio of the sizes of linked sets, so rounding can't put two of them further apart
+    band = F.floor(F.log(F.col("n")) / math.log(1.01 * ratio))
+    crowded = stored(rows_open.where(F.col("count") > BLOCK).join(sizes, "id").select("shingle", "id", "label", "lead", band.alias("band")), "crowded-rows")
+    labels = crowded.where("lead").groupBy("shingle", "band", "label").count()
+    main = labels.groupBy(F.col("shingle").alias("__shingle"), F.col("band").alias("__band")).agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    main = _small(stored(main, "main-labels"))
+    met = crowded.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).withColumn("lead", F.lit(False))
+    sides = crowded.where("lead").unionByName(met).join(main, (F.col("shingle") == F.col("__shingle")) & (F.col("band") == F.col("__band")))
+    own = F.col("label") == F.col("main")
+    kinds = F.when(F.col("lead"), F.array(own)).when(own, F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))
+    sides = stored(sides.select(F.xxhash64("shingle", "band").alias("group"), F.explode(kinds).alias("main"), "id", "label", "lead"), "sides")
+    parts = lambda lead: F.ceil(F.count_if(F.col("lead") == F.lit(lead)) / BLOCK).cast("long")
+    counts = sides.groupBy(F.col("group").alias("__group"), F.col("main").alias("__main")).agg(parts(True).alias("leads"), parts(False).alias("others"))
+    counts = _small(stored(counts.where("leads > 0 and others > 0"), "side-counts"))
+    dealt = sides.join(counts, (F.col("group") == F.col("__group")) & (F.col("main") == F.col("__main")))
+    mine, other = F.when(F.col("lead"), F.col("leads")).otherwise(F.col("others")), F.when(F.col("lead"), F.col("others")).otherwise(F.col("leads"))
+    dealt = dealt.withColumns({"mine": F.pmod(F.xxhash64("id"), mine), "other": F.explode(F.sequence(F.lit(0).cast("long"), other - 1))})
+    first, second = F.when(F.col("lead"), F.col("mine")).otherwise(F.col("other")), F.when(F.col("lead"), F.col("other")).otherwise(F.col("mine"))
+    return plain.unionByName(dealt.select(F.xxhash64("group", "main", first, second).alias("block"), "id", "label", "lead"))
 
 
 def _joined(ids: DataFrame, links: DataFrame | None, labels: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -536,7 +589,7 @@ def similar_components(docs: DataFrame, similarity: Fraction = Fraction(3, 4), s
     frequent = _frequent(described.where("kind = 1"))
 
     postings = _postings(docs, frequent, size, num, den, slices)
-    often = postings.where("kind = 1").select("shingle", "id").distinct()
+    often = postings.where("kind <> 2").select("shingle", "id", (F.col("kind") == 3).alias("lead")).distinct()
     shared = _with_partners(stored(_shared(postings.where("kind = 2"), slices).unionByName(often), "prefix-shared"), sets, num, den)
 
     ids = stored(shared.select("id").distinct(), "partner-ids")
@@ -559,11 +612,8 @@ def similar_components(docs: DataFrame, similarity: Fraction = Fraction(3, 4), s
         if labels is before:
             break
 
-    rows_open, count = _open_rows(shared, labels)
-    # a large block becomes the pairs of its parts
-    parts = F.ceil(count / BLOCK).cast("long")
-    cut = rows_open.select("shingle", "id", "label", F.pmod(F.xxhash64("id"), parts).alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
-    blocks = cut.select(F.xxhash64("shingle", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "id", "label")
+    rows_open, _ = _open_rows(shared, labels)
+    blocks = _last_blocks(rows_open, contents.select("id", "n"), den / num)
     compared = stored(_traversed(_one_for_each(stored(blocks, "blocks")), contents, num, den, "block long, id long, dense boolean", _compared), "compared")
     pairs = stored(compared.where("not dense").select(F.col("block").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     members = _stars(pairs).unionByName(_one_for_each(compared.where("dense").select("block", "id")).withColumn("center", F.lit(False)))

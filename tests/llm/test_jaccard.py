@@ -128,6 +128,45 @@ def test_unlinked_pages_of_one_template_stay_in_bounded_blocks(spark, monkeypatc
     assert largest["_traversed"] <= 50 and largest["_links"] <= 50  # two parts of a block at most, dealt by a hash
 
 
+@pytest.mark.parametrize("own", [22, 30])
+def test_rows_of_the_last_blocks_grow_with_the_pages_of_a_template(spark, monkeypatch, own):
+    monkeypatch.setattr(J, "BLOCK", 10)
+    found = {}
+
+    def watched(rows_open, sizes, ratio):
+        blocks = plain(rows_open, sizes, ratio)
+        found[now] = (rows_open.count(), blocks.count())
+        return blocks
+
+    plain = J._last_blocks
+    monkeypatch.setattr(J, "_last_blocks", watched)
+    for now in (100, 400):
+        rng = random.Random(now)
+        template = " ".join(f"t{i}" for i in range(96))
+        texts = {p: template + " " + " ".join(f"p{p}x{rng.randint(0, 9999)}" for _ in range(own)) for p in range(now)}
+        got = J.similar_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == {p: p for p in texts}
+    assert all(blocks <= 4 * rows for rows, blocks in found.values())
+
+
+def test_last_blocks_hold_every_pair_once_led(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 8)
+    rng = random.Random(6)
+    size = {i: rng.choice([60, 70, 80, 81, 95, 140, 300]) for i in range(240)}
+    label = {i: 0 if rng.random() < 0.5 else i for i in size}
+    lead = {i: rng.random() < 0.3 for i in size}
+    rows = [(7, i, label[i], lead[i], len(size)) for i in size] + [(8, i, label[i], True, 5) for i in range(5)]
+    opened = spark.createDataFrame(rows, "shingle long, id long, label long, lead boolean, count long")
+    blocks = {}
+    for r in J._last_blocks(opened, spark.createDataFrame(list(size.items()), "id long, n long"), 4 / 3).collect():
+        blocks.setdefault(r["block"], []).append((r["id"], r["lead"]))
+    met = {(a, b) for members in blocks.values() for a, led in members if led for b, _ in members}
+    near = lambda a, b: 4 * size[a] >= 3 * size[b] and size[a] <= size[b]
+    wanted = {(a, b) for a in size for b in size if lead[a] and label[a] != label[b] and near(a, b)}
+    assert wanted and wanted <= met
+    assert max(map(len, blocks.values())) <= 60  # a part of each side
+
+
 def test_stars_are_dealt_and_compared_with_their_center(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK", 10)
     pairs = spark.createDataFrame([(1, b) for b in range(2, 202)] + [(500, 501)], "a long, b long")
