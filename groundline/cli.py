@@ -18,7 +18,7 @@ from groundline.connectors.http import ChatClient, EmbeddingClient
 from groundline.functions.prompts import model_file
 from groundline.operators.grounding import CURRENCY, IN_CORPUS, verify
 from groundline.operators.index import TextIndex
-from groundline.plans.answering import answer, context_of
+from groundline.plans.answering import Telemetry, answer, context_of
 from groundline.plans.ingest import load_or_build
 from groundline.plans.retrieval import DEFAULT_K, one_question, retrieve
 from groundline.session import cut_lineage, local_session
@@ -80,13 +80,16 @@ class Engine:
                 "sources": [p["citation"] for p in parts], "parent_sources": parts}
         if not self.chat.is_healthy():
             return {"ok": False, **base, "error": "llama-server no responde"}
+        telemetry, start = Telemetry(), time.perf_counter()
         try:
             result = answer(asked.select("query_id", "question", "context"), self.chat,
                             children=self.corpus.children, index=self.corpus.number_index,
-                            strict_attribution=self.options.strict_attribution).drop("query_id", "question").first()
+                            strict_attribution=self.options.strict_attribution, telemetry=telemetry).drop("query_id", "question").first()
         except Exception as error:  # the report carries the failure
             return {"ok": False, **base, "error": str(error)}
-        return {"ok": True, **base, "guardrail": result.asDict(recursive=True)}
+        times = {"latency_ms": (time.perf_counter() - start) * 1000, "model_ms": telemetry.model_ms,
+                 "guardrail_latency_micros": telemetry.check_micros, "rounds": telemetry.rounds}
+        return {"ok": True, **base, "guardrail": result.asDict(recursive=True) | times}
 
 
 def readable(report: dict) -> str:
@@ -124,6 +127,8 @@ def readable(report: dict) -> str:
         if f["segment_qualifier"]:
             out.append(f"  Segmento vs. totales: '{amount}' de '{f['indicator']}' en '{f['issuer']}'.")
     out.append(f"  Intentos: {g['attempts']} (Auto-corregido: {'SÍ' if g['auto_corrected'] else 'NO'})")
+    out.append(f"  Tiempo LLM Total: {g['latency_ms']:.2f} ms")
+    out.append(f"  Latencia Validación Numérica: {g['guardrail_latency_micros']} µs")
     return "\n".join(out)
 
 
@@ -138,7 +143,7 @@ def benchmark(engine: Engine) -> dict:
     probes = engine.spark.createDataFrame(
         [(p, PROBE_CONTEXT, "¿Ventas 2025?") for p in PROBES], "response string, context string, question string")
     verdicts = {r["response"]: r for r in verify(probes).collect()}
-    return {"mean_retrieval_ms": sum(times) / len(times), "grounded_valid": verdicts[PROBES[0]]["is_valid"],
+    return {"mean_retrieval_ms": sum(times) / len(times), "retrieval_ms": times, "grounded_valid": verdicts[PROBES[0]]["is_valid"],
             "ungrounded_numbers": verdicts[PROBES[1]]["hallucinated_numbers"]}
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from groundline.dictionaries import DEFAULT_DICTIONARY, Dictionary
@@ -31,6 +33,24 @@ STATE = {
 }
 
 
+@dataclass
+class Telemetry:
+    """What :func:`answer` measures of a batch: time spent on replies and on checking figures, and counts of each round."""
+
+    model_ms: float = 0.0
+    check_micros: int = 0
+    rounds: list[dict[str, int]] = field(default_factory=list)
+
+    def counting(self, rows: DataFrame) -> tuple[DataFrame, Observation]:
+        """``rows`` of a round, observed on their way to the checkpoint: no pass of its own."""
+        seen = Observation()
+        count = lambda condition, name: F.count_if(condition).alias(name)
+        return rows.observe(
+            seen, F.count(F.lit(1)).alias("answers"), count(F.col("is_valid"), "valid"), count(~F.col("done"), "open"),
+            F.coalesce(F.sum(F.size("numbers") + F.size("money") + F.size("percent")), F.lit(0)).alias("figures"),
+            F.coalesce(F.sum(F.size("corrections")), F.lit(0)).alias("corrections")), seen
+
+
 def context_of(blocks: DataFrame, children: DataFrame, questions: DataFrame) -> DataFrame:
     """(query_id, question, context, sources) from retrieved pages; at most k pages per question."""
     first = F.get("matched_child_ids", F.lit(0))
@@ -95,15 +115,19 @@ def _collected(rows: DataFrame, fields: list[str], order: list[str], name: str)
 
 
 def _round(open_rows: DataFrame, attempt: int, retries: int, model, system, amounts, index, strict_attribution,
-           strict, dictionary) -> DataFrame:
+           strict, dictionary, telemetry: Telemetry) -> DataFrame:
     """One attempt for all open questions."""
+    start = time.perf_counter()
     asked = cut_lineage(_generate(open_rows, model, system))
+    telemetry.model_ms += (time.perf_counter() - start) * 1000
     echo = G.is_echo(F.col("reply"))
     # An echo of the correction prompt is no answer: the previous answer stands, or none.
     judged = asked.withColumn("echo", echo).withColumn("previous", F.col("answer")).withColumn(
         "answer", F.when(~echo, F.col("reply")).when(F.col("previous").isNotNull(), F.col("previous"))
         .otherwise(F.col("reply") if strict else F.lit("")))
+    start = time.perf_counter()
     verdicts = cut_lineage(G.verify(judged.drop("is_valid"), "answer").withColumnRenamed("is_valid", "verdict_valid"))
+    telemetry.check_micros += round((time.perf_counter() - start) * 1e6)
 
     found = verdicts.select("query_id", F.array().cast(FINDINGS).alias("found")).limit(0)
     if amounts is not None:
@@ -152,22 +176,25 @@ def _round(open_rows: DataFrame, attempt: int, retries: int, model, system, amou
 def answer(questions: DataFrame, model: Callable[[str, str], str], retries: int = DEFAULT_RETRIES,
            children: DataFrame | None = None, index: DataFrame | None = None, strict_attribution: bool = False,
            strict: bool = False, system: str = SYSTEM_PROMPT,
-           dictionary: Dictionary = DEFAULT_DICTIONARY) -> DataFrame:
+           dictionary: Dictionary = DEFAULT_DICTIONARY, telemetry: Telemetry | None = None) -> DataFrame:
     """Verified answers for (query_id, question, context).
 
     ``model`` is called inside tasks with (system prompt, user prompt). Each attempt is one pass
     over the questions still open; its replies are written before anything reads them, so a lost
     executor does not ask the model again for finished attempts. ``children`` and ``index`` give the
     corpus side of attribution and corrections. ``strict`` keeps literal digit strike-out and
-    sentence rules.
+    sentence rules. ``telemetry`` takes up times and counts of this call.
     """
+    telemetry = telemetry or Telemetry()
     retries = max(1, retries)
     amounts = None if children is None else cut_lineage(A.pair_amounts(children, dictionary))
     state = _start(questions)
     finished = None
     for attempt in range(1, retries + 1):
-        state = cut_lineage(_round(state, attempt, retries, model, system, amounts, index, strict_attribution,
-                                   strict, dictionary))
+        state, seen = telemetry.counting(_round(state, attempt, retries, model, system, amounts, index,
+                                                strict_attribution, strict, dictionary, telemetry))
+        state = cut_lineage(state)
+        telemetry.rounds.append(dict(seen.get))
         closed = state.where("done")
         finished = closed if finished is None else finished.unionByName(closed)
         state = state.where("NOT done")

@@ -88,6 +88,23 @@ def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
     cli.interactive(engine, None, lambda prompt: next(lines))
     shown = capsys.readouterr().out
     assert "VALIDADO" in shown and "FILTRO EMISOR: Ferreycorp" in shown
+    assert "Tiempo LLM Total: " in shown and "Latencia Validación Numérica: " in shown
+    checked = engine.report("ventas en dólares", "Ferreycorp")["guardrail"]
+    assert 0 < checked["guardrail_latency_micros"] <= checked["latency_ms"] * 1000 and checked["model_ms"] > 0
+    assert checked["rounds"] == [{"answers": 1, "valid": 1, "open": 0, "figures": 0, "corrections": 0}]
+
+
+def test_benchmark_report(spark, monkeypatch):
+    monkeypatch.setattr(cli, "BENCHMARK", (("uno", None), ("dos", "X")))
+
+    class Pages:
+        retrieve = staticmethod(lambda question, issuer: spark.createDataFrame([(["p"], 1.0)], "citations array<string>, score double"))
+
+    engine = Pages()
+    engine.spark = spark
+    report = cli.benchmark(engine)
+    assert len(report["retrieval_ms"]) == 2 and report["mean_retrieval_ms"] == pytest.approx(sum(report["retrieval_ms"]) / 2)
+    assert report["grounded_valid"] and report["ungrounded_numbers"] == ["99999"]
 
 
 def test_catalog_fields_of_other_types_are_empty(spark, tmp_path):
