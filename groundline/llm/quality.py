@@ -115,19 +115,6 @@ def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, step
     return theta
 
 
-def _one_hot(view: View, values: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(values), view.width))
-    np.put_along_axis(x, view.cells(values), 1.0, axis=1)
-    return x
-
-
-def _view(values: np.ndarray, buckets: list[int]) -> View:
-    edges: list = list(buckets)
-    for column in values.T[len(buckets) :]:
-        edges.append(np.unique(np.quantile(column, np.linspace(0, 1, BINS + 1)[1:-1])) if len(column) else np.zeros(0))
-    return View(edges, np.zeros(0))
-
-
 @dataclass
 class QualityModel:
     text: View
@@ -140,36 +127,6 @@ class QualityModel:
         return _sigmoid(a), _sigmoid(b), _sigmoid(w[0] + w[1] * a + w[2] * b)
 
 
-def co_train(texts: np.ndarray, pages: np.ndarray, label: np.ndarray, weight: np.ndarray, fold: np.ndarray, rounds: int = 5, share: float = 0.02) -> QualityModel:
-    """Fit on rows of both views; ``label`` is -1 where unknown, ``fold`` marks the labelled rows kept for calibration.
-
-    In each of the ``rounds``, each view gives the other its surest ``share`` of the unlabelled rows of each class.
-    """
-    views = [_view(texts, []), _view(pages, [LANG_BUCKETS, SOURCE_BUCKETS])]
-    hot = [_one_hot(v, x) for v, x in zip(views, (texts, pages), strict=True)]
-    train = (label >= 0) & ~fold
-    known = [np.where(train, label, -1) for _ in views]
-    open_rows = np.flatnonzero(label < 0)
-    each = int(share * len(open_rows))
-    for turn in range(rounds + 1):
-        for view, x, y in zip(views, hot, known, strict=True):
-            on = y >= 0
-            view.weights = _newton(x[on], y[on].astype(float), weight[on], 1.0)
-        if turn == rounds or not each:
-            break
-        for own, other in ((0, 1), (1, 0)):
-            free = open_rows[known[other][open_rows] < 0]
-            odds = hot[own][free] @ views[own].weights
-            order = np.argsort(odds, kind="stable")
-            low, high = order[:each], order[len(order) - each :]
-            known[other][free[low[odds[low] < -1.0]]] = 0
-            known[other][free[high[odds[high] > 1.0]]] = 1
-    held = fold & (label >= 0)
-    if len(set(label[held].tolist())) < 2:
-        held = label >= 0
-    return _calibrated(views, [v.cells(x[held]) for v, x in zip(views, (texts, pages), strict=True)], label[held].astype(float), weight[held])
-
-
 def _calibrated(views: list[View], cells: list[np.ndarray], y: np.ndarray, w: np.ndarray) -> QualityModel:
     """The views with slopes and shifts, and their combination, fitted on held-out rows."""
     pair = []
@@ -184,6 +141,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BUCKETS = [LANG_BUCKETS, SOURCE_BUCKETS]
 # Steps of the log-odds in which documents are counted.
 GRID = 1024
+# Partial sums that are added in one task.
+FAN_IN = 16
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -305,6 +264,25 @@ def _sums(cells: np.ndarray, y: np.ndarray, weight: np.ndarray, theta: np.ndarra
     return np.concatenate([first, second])
 
 
+PARTIAL = "part long, a binary, b binary"
+
+
+def _added(key: tuple, sums: pa.Table) -> pa.Table:
+    """One row of ``PARTIAL`` for all of a group, added in the order of their parts."""
+    ordered = sums.sort_by("part")
+    both = [sum(np.frombuffer(x) for x in ordered[c].to_pylist()).tobytes() for c in ("a", "b")]
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "a": pa.array([both[0]], pa.binary()), "b": pa.array([both[1]], pa.binary())})
+
+
+def _merged(sums: DataFrame, parts: int) -> list:
+    """At most ``FAN_IN`` rows whose sum is that of the ``parts`` rows of ``sums``, each some 250 KB; tasks add ``FAN_IN`` neighbours at
+    a time, so neither a task nor the driver holds more, and always in the same order."""
+    while parts > FAN_IN:
+        sums = sums.groupBy(F.floor(F.col("part") / FAN_IN).alias("to")).applyInArrow(_added, PARTIAL)
+        parts = -(-parts // FAN_IN)
+    return sorted(sums.collect(), key=lambda row: row["part"])
+
+
 def _fit(known: list[tuple], pool: DataFrame | None, widths: tuple[int, int], given: list[list[Given]], start: list[np.ndarray], steps: int = 12) -> list[np.ndarray]:
     """Logistic regression of both views, as ``_newton``, on ``known`` (cells, label, weight of each view) and on all rows of
     ``pool`` with pseudo-labels; a step sums over all of them on Spark."""
@@ -323,8 +301,7 @@ def _fit(known: list[tuple], pool: DataFrame | None, widths: tuple[int, int], gi
                         sums[view] += _sums(cells[view][on], label[on], weight[on], theta[view])
                 yield pa.RecordBatch.from_arrays([pa.array([at]), *[pa.array([x.tobytes()], pa.binary()) for x in sums]], names=["part", "a", "b"])
 
-            # some 250 KB a task, added up in the order of the tasks
-            for row in pool.mapInArrow(run, "part long, a binary, b binary").orderBy("part").toLocalIterator():
+            for row in _merged(pool.mapInArrow(run, PARTIAL), pool.rdd.getNumPartitions()):
                 totals = [t + np.frombuffer(x) for t, x in zip(totals, (row["a"], row["b"]), strict=True)]
         moved = []
         for t, total in zip(theta, totals, strict=True):

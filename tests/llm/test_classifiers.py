@@ -81,16 +81,20 @@ def test_queries_on_held_out_rows(spark):
     assert len(toxic) == len(good) == pq.read_metadata(f"{LARGER}/documents.parquet").num_rows
 
 
-def test_co_training_uses_the_other_view():
+def test_co_training_uses_the_other_view(spark):
     rng = np.random.default_rng(0)
-    n = 3000
+    n, width = 3000, len(Q.CLASSES) + 3
     y = rng.integers(0, 2, n)
-    texts, pages = y[:, None] + rng.normal(size=(n, 3)), np.column_stack([rng.integers(0, 16, n), rng.integers(0, 64, n), 2 * y + rng.normal(size=n)])
-    label = np.where(np.arange(n) < 60, y, -1)
-    model = Q.co_train(texts, pages, label, np.ones(n), np.arange(n) % 5 == 0)
-    a, b, both = model.scores(texts[60:], pages[60:])
-    right = [((s > 0.5) == y[60:]).mean() for s in (a, b, both)]
-    assert right[2] >= 0.85 and right[2] >= max(right[:2]) - 0.03
+    texts = np.column_stack([y[:, None] + rng.normal(size=(n, 3)), np.zeros((n, width - 3))])
+    pages = np.column_stack([rng.integers(0, 16, n), rng.integers(0, 64, n), 2 * y + rng.normal(size=n)])
+    packed = [(i, t.astype(np.float32).tobytes(), p.astype(np.float32).tobytes()) for i, (t, p) in enumerate(zip(texts, pages, strict=True))]
+    features = spark.createDataFrame(packed, "doc_id long, content binary, page binary")
+    known = 200  # a fifth of them calibrates; a dozen rows can turn a view's sign
+    labels = spark.createDataFrame([(i, int(y[i])) for i in range(known)], "doc_id long, quality int")
+    scores = {turns: Q.fit_quality(features, labels, rounds=turns).scores(texts[known:], pages[known:]) for turns in (0, 5)}
+    right = {turns: [((s > 0.5) == y[known:]).mean() for s in found] for turns, found in scores.items()}
+    assert right[5][2] >= 0.85 and right[5][2] >= max(right[5][:2]) - 0.03
+    assert sum(right[5][:2]) > sum(right[0][:2])  # both views together learn from each other
 
 
 def test_quality_of_awkward_rows(spark):
@@ -129,11 +133,13 @@ def test_every_unlabelled_row_takes_part_in_co_training(spark, monkeypatch):
     assert [p[:2] for p in pools] == [(10, 1)] * 5
 
 
-def test_fit_on_spark_is_the_plain_fit(spark):
+@pytest.mark.parametrize("fan_in", [16, 2])
+def test_fit_on_spark_is_the_plain_fit(spark, monkeypatch, fan_in):
+    monkeypatch.setattr(Q, "FAN_IN", fan_in)
     rng = np.random.default_rng(5)
     cells = [np.column_stack([rng.integers(0, 4, 300), 4 + rng.integers(0, 3, 300), np.full(300, 7)]) for _ in range(2)]
     rows = [(np.concatenate([a, b]).astype(np.uint16).tobytes(),) for a, b in zip(*cells, strict=True)]
-    pool = spark.createDataFrame(rows, "cells binary").repartition(3)
+    pool = spark.createDataFrame(rows, "cells binary").repartition(7)
     known = [(c[:40], (c[:40, 0] > 1).astype(float), np.ones(40)) for c in cells]
     source = np.array([-3.0, -1.5, 1.5, 3.0, 0.0, 0.0, 0.0, 0.0])
     given = [[Q.Given(source, -1.5 * Q.GRID, 0.25, 1.5 * Q.GRID, 0.5)] for _ in range(2)]
