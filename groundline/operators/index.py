@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundline.dictionaries import DEFAULT_DICTIONARY, Dictionary
 from groundline.functions import text as T
 from groundline.operators.decomposition import title_words
-from groundline.session import cut_lineage, one
+from groundline.session import cut_lineage, has_copies, one, stored
 
 # Terms treated one by one when a dimension is joined to postings. At most this many terms can
 # each own more than 1 / HOT_TERMS of all postings, so the hot side of the dimension is bounded.
@@ -19,24 +19,44 @@ HOT_TERMS = 20_000
 BM25_K1, BM25_B = 1.2, 0.75
 
 
-def term_counts(children: DataFrame, tokens: str = "words",
-                dictionary: Dictionary = DEFAULT_DICTIONARY) -> DataFrame:
-    """(child_id, issuer_key, dl, term, tf).
+def counted(tokens: Column) -> Column:
+    """array<struct<term, tf>> of an array of tokens: the runs of the sorted tokens."""
+    def runs(s: Column) -> Column:
+        first = F.array_compact(F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i)))
+        return T.let(first, lambda at: F.transform(at, lambda i, k: F.struct(
+            F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf"))))
+
+    return T.let(F.sort_array(tokens), runs)
+
+
+def packed_counts(children: DataFrame, tokens: str = "words", dictionary: Dictionary = DEFAULT_DICTIONARY) -> DataFrame:
+    """(child_id, issuer_key, dl, entries): the terms of a chunk and their counts in one row.
 
-    The chunk text is shuffled once by ``child_id``; counting, weighting and scoring by chunk then
-    reuse that partitioning. A chunk's text is several times smaller than its postings.
+    Terms are counted where the text is read. Only where chunks share an id are rows shuffled: those of one chunk, issuer and
+    length count as one.
     """
     c = F.col("content")
     found = T.words(c, dictionary) if tokens == "words" else T.analysed_terms(c)
-    rows = children.select(
-        "child_id", "content", T.issuer_key(F.col("issuer"), dictionary).alias("issuer_key")
-    ).repartition("child_id").select("child_id", "issuer_key", found.alias("tokens"))
-    # The outer form keeps the tokeniser from being copied into a filter below the shuffle.
-    return rows.select(
-        "child_id", "issuer_key", F.size("tokens").cast("long").alias("dl"),
-        F.explode_outer("tokens").alias("term"),
-    ).where("term IS NOT NULL").groupBy("child_id", "issuer_key", "dl", "term").agg(
-        F.count(F.lit(1)).alias("tf"))
+    rows = children.select("child_id", T.issuer_key(F.col("issuer"), dictionary).alias("issuer_key"), found.alias("tokens"))
+    packed = rows.select("child_id", "issuer_key", F.size("tokens").cast("long").alias("dl"), counted(F.col("tokens")).alias("entries"))
+    if not has_copies(children, "child_id"):
+        return packed
+    key = ["child_id", "issuer_key", "dl"]
+    summed = unpacked(packed).groupBy(*key, "term").agg(F.sum("tf").alias("tf"))
+    return summed.groupBy(*key).agg(F.collect_list(F.struct("term", "tf")).alias("entries"))
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """(child_id, issuer_key, dl, term, tf) of :func:`packed_counts`."""
+    # The outer form keeps the tokeniser from being copied into a filter.
+    rows = packed.select("child_id", "issuer_key", "dl", F.explode_outer("entries").alias("e"))
+    return rows.select("child_id", "issuer_key", "dl", "e.term", "e.tf").where("term IS NOT NULL")
+
+
+def term_counts(children: DataFrame, tokens: str = "words",
+                dictionary: Dictionary = DEFAULT_DICTIONARY) -> DataFrame:
+    """(child_id, issuer_key, dl, term, tf)."""
+    return unpacked(packed_counts(children, tokens, dictionary))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -56,43 +76,41 @@ def bm25_idf(frequency: DataFrame, children: DataFrame) -> DataFrame:
     return frequency.withColumn("idf", F.log(1.0 + (n - df + 0.5) / (df + 0.5)))
 
 
+def hot_and_cold(vocabulary: DataFrame, hot_terms: int = HOT_TERMS) -> tuple[DataFrame, DataFrame]:
+    """(term, idf) of the frequent terms, which are few (see above), and of all others."""
+    total = one(vocabulary.agg(F.sum("df").alias("total")))
+    hot = F.col("df") * hot_terms >= total
+    return vocabulary.where(hot).select("term", "idf"), vocabulary.where(~hot).select("term", "idf")
+
+
 def attach_by_term(rows: DataFrame, vocabulary: DataFrame, hot_terms: int = HOT_TERMS) -> DataFrame:
-    """Add ``idf`` to posting rows without gathering a frequent term in one task.
+    """Add ``idf`` to posting rows; only the rows of rare terms move. ``rows`` and ``vocabulary`` are read twice.
 
-    Frequent terms come from a broadcast (bounded by ``hot_terms``, see above). Their rows then
-    carry a random join key, so the shuffle join for the rare terms is spread evenly.
+    Frequent terms come from a broadcast. A rare term has a small share of all rows, so their shuffle is spread evenly.
     """
-    total = one(vocabulary.agg(F.sum("df").alias("total")))
-    hot = vocabulary.where(F.col("df") * hot_terms >= total).select("term", F.col("idf").alias("hot_idf"))
-    cold = vocabulary.where(F.col("df") * hot_terms < total).select(
-        F.col("term").alias("cold_term"), F.col("idf").alias("cold_idf"))
-    marked = rows.join(F.broadcast(hot), "term", "left")
-    key = F.when(F.col("hot_idf").isNull(), F.col("term")).otherwise(
-        F.concat(F.lit(" "), F.xxhash64("child_id").cast("string")))
-    return (
-        marked.withColumn("__key", key)
-        .join(cold, F.col("__key") == F.col("cold_term"), "left")
-        .withColumn("idf", F.coalesce("hot_idf", "cold_idf"))
-        .drop("__key", "cold_term", "cold_idf", "hot_idf")
-    )
-
-
-def unit_weights(rows: DataFrame, by: list[str]) -> DataFrame:
-    """tf x idf scaled to unit length per group; an all-zero group stays as it is."""
+    hot, cold = hot_and_cold(vocabulary, hot_terms)
+    hot = F.broadcast(hot)
+    return rows.join(hot, "term").unionByName(rows.join(hot.select("term"), "term", "left_anti").join(cold, "term"))
+
+
+def chunk_norms(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(child_id, n_terms, norm): length of each chunk's vector of tf x idf, summed per chunk before anything is shuffled by chunk."""
     raw = F.col("tf") * F.col("idf")
-    norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(*by)))
-    return rows.withColumn("weight", F.when(norm > 0, raw / norm).otherwise(raw))
+    slim = counts.select("child_id", "term", "tf")
+    return attach_by_term(slim, vocabulary).groupBy("child_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sqrt(F.sum(raw * raw)).alias("norm"))
 
 
 def tfidf_postings(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(term, child_id, issuer_key, weight) with unit-length chunk vectors."""
-    weighted = unit_weights(attach_by_term(counts, vocabulary), ["child_id"])
-    return weighted.select("term", "child_id", "issuer_key", "weight")
+    """(term, child_id, issuer_key, weight) with unit-length chunk vectors; an all-zero vector stays as it is."""
+    raw, norm = F.col("tf") * F.col("idf"), F.col("norm")
+    norms = chunk_norms(counts, vocabulary).select(F.col("child_id").alias("__child"), "norm")
+    rows = attach_by_term(counts, vocabulary).join(norms, F.col("child_id").eqNullSafe(F.col("__child")))
+    return rows.select("term", "child_id", "issuer_key", F.when(norm > 0, raw / norm).otherwise(raw).alias("weight"))
 
 
 def bm25_postings(counts: DataFrame, children: DataFrame) -> DataFrame:
     """(term, child_id, issuer_key, weight) with the finished BM25 share of each posting. ``counts`` are read twice."""
-    vocabulary = cut_lineage(bm25_idf(document_frequency(counts), children))
+    vocabulary = stored(bm25_idf(document_frequency(counts), children), "vocabulary")
     occurrences = one(vocabulary.agg(F.sum("cf").cast("double").alias("cf")))
     avgdl = occurrences / one(children.select(F.count(F.lit(1)).alias("n")))
     tf, dl = F.col("tf"), F.col("dl")
@@ -156,9 +174,9 @@ def build_text_index(children: DataFrame, dictionary: Dictionary = DEFAULT_DICTI
     """
     if indicator_field is None:
         indicator_field = "indicator" in children.columns
-    counts = cut_lineage(term_counts(children, "words", dictionary))
-    vocabulary = cut_lineage(smoothed_idf(document_frequency(counts), children))
-    bm25 = bm25_postings(cut_lineage(term_counts(children, "analysed", dictionary)), children)
+    counts = unpacked(stored(packed_counts(children, "words", dictionary), "counts"))
+    vocabulary = stored(smoothed_idf(document_frequency(counts), children), "vocabulary")
+    bm25 = bm25_postings(unpacked(stored(packed_counts(children, "analysed", dictionary), "counts")), children)
     if indicator_field:
         bm25 = bm25.unionByName(indicator_postings(children, dictionary))
     titles = title_words(children, dictionary)

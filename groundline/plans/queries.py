@@ -26,8 +26,9 @@ from groundline.operators import name_joins as J
 from groundline.operators import pages as P
 from groundline.operators import ranking as R
 from groundline.operators.number_index import first_locations, number_index
+from groundline.operators.scan import best_bm25, best_tfidf
 from groundline.plans.retrieval import retrieve
-from groundline.session import broadcast_if_small, cut_lineage, ensure_checkpoint_dir, one, spread, text_bytes
+from groundline.session import broadcast_if_small, cut_lineage, ensure_checkpoint_dir, one, spread, stored, text_bytes
 from groundline.sources import files as S
 from groundline.sources.bucketed import BucketedStore
 
@@ -100,11 +101,6 @@ def questions(spark, sf) -> DataFrame:
         F.lit(None).cast("string").alias("issuer_filter"))
 
 
-def hinted(terms: DataFrame, asked: DataFrame) -> DataFrame:
-    """Broadcast query terms when the question text bounds their number."""
-    return F.broadcast(terms) if text_bytes(asked, "question") <= QUESTION_BYTES else terms
-
-
 QID = ["query_id"]
 
 
@@ -119,20 +115,38 @@ def plain_bm25_terms(asked: DataFrame) -> DataFrame:
         "query_id", "issuer_filter", "term").agg(F.count(F.lit(1)).cast("double").alias("query_weight"))
 
 
+def few(asked: DataFrame) -> bool:
+    return text_bytes(asked, "question") <= QUESTION_BYTES
+
+
+def tfidf_statistics(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Term counts of each chunk and the vocabulary, both written once."""
+    packed = stored(X.packed_counts(chunks), "counts")
+    return packed, stored(X.smoothed_idf(X.document_frequency(X.unpacked(packed)), chunks), "vocabulary")
+
+
+def tfidf_best(terms: DataFrame, asked: DataFrame, packed: DataFrame, vocabulary: DataFrame, k: int = R.LIST_SIZE) -> DataFrame:
+    """Best ``k`` chunks of every question for terms(query_id, issuer_filter, term, qtf)."""
+    weighed = R.query_term_weights(terms, vocabulary, QID)
+    if few(asked):
+        return R.tfidf_rank(best_tfidf(cut_lineage(weighed), packed, vocabulary, QID, k), QID, k)
+    return R.tfidf_rank(R.score_terms(weighed, X.tfidf_postings(X.unpacked(packed), vocabulary), QID), QID, k)
+
+
 def tfidf_lists(asked: DataFrame, chunks: DataFrame, k: int = R.LIST_SIZE) -> DataFrame:
-    counts = cut_lineage(X.term_counts(chunks))
-    vocabulary = cut_lineage(X.smoothed_idf(X.document_frequency(counts), chunks))
-    terms = hinted(R.query_term_weights(plain_terms(asked), vocabulary, QID), asked)
-    return R.tfidf_rank(R.score_terms(terms, X.tfidf_postings(counts, vocabulary), QID), QID, k)
+    packed, vocabulary = tfidf_statistics(chunks)
+    return tfidf_best(plain_terms(asked), asked, packed, vocabulary, k)
 
 
-def bm25_scored(terms: DataFrame, asked: DataFrame, chunks: DataFrame, indicator: bool = False) -> DataFrame:
-    small = text_bytes(asked, "question") <= QUESTION_BYTES
-    return R.bm25_scores(terms, chunks, QID, F.broadcast if small else lambda df: df, indicator)
+def bm25_best(terms: DataFrame, asked: DataFrame, chunks: DataFrame, k: int = R.LIST_SIZE, indicator: bool = False) -> DataFrame:
+    """Best ``k`` chunks of every question for terms(query_id, issuer_filter, term, query_weight[, required])."""
+    if few(asked):
+        return R.bm25_rank(best_bm25(terms, chunks, QID, k * R.BM25_WIDTH, indicator), QID, k)
+    return R.bm25_rank(R.bm25_scores(terms, chunks, QID, indicator=indicator), QID, k)
 
 
 def bm25_lists(asked: DataFrame, chunks: DataFrame, k: int = R.LIST_SIZE) -> DataFrame:
-    return R.bm25_rank(bm25_scored(plain_bm25_terms(asked), asked, chunks), QID, k)
+    return bm25_best(plain_bm25_terms(asked), asked, chunks, k)
 
 
 def ranked(lists: DataFrame) -> DataFrame:
@@ -164,11 +178,8 @@ def doc_frequency_idf(spark, sf):
 
 def tfidf_norms(spark, sf):
     chunks = documents(spark, sf)
-    counts = X.term_counts(chunks)
-    rows = X.attach_by_term(counts, X.smoothed_idf(X.document_frequency(counts), chunks))
-    raw = F.col("tf") * F.col("idf")
-    return rows.groupBy("child_id").agg(
-        F.count(F.lit(1)).alias("n_terms"), out(F.sqrt(F.sum(raw * raw))).alias("norm"))
+    packed, vocabulary = tfidf_statistics(chunks)
+    return X.chunk_norms(X.unpacked(packed), vocabulary).select("child_id", "n_terms", out(F.col("norm")).alias("norm"))
 
 
 def tfidf_topk(spark, sf):
@@ -203,7 +214,7 @@ def bm25_two_fields(spark, sf):
     must = asked.select("query_id", F.explode(first).alias("must"))
     terms = plain_bm25_terms(asked).join(must, "query_id", "left")
     terms = terms.withColumn("required", F.coalesce(F.col("term") == F.col("must"), F.lit(False))).drop("must")
-    return ranked(R.bm25_rank(bm25_scored(terms, asked, named, indicator=True), QID))
+    return ranked(bm25_best(terms, asked, named, indicator=True))
 
 
 def bm25_saved_index(spark, sf):
@@ -211,7 +222,7 @@ def bm25_saved_index(spark, sf):
     from groundline.operators.block_index import BlockIndex
 
     chunks = documents(spark, sf)
-    postings = cut_lineage(X.bm25_postings(cut_lineage(X.term_counts(chunks, "analysed")), chunks))
+    postings = stored(X.bm25_postings(X.unpacked(stored(X.packed_counts(chunks, "analysed"), "counts")), chunks), "postings")
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bm25-index-{uuid.uuid4().hex}"
     BlockIndex.build(postings).save(folder)
     scored = BlockIndex.load(spark, folder).search(plain_bm25_terms(questions(spark, sf)), QID, R.LIST_SIZE * R.BM25_WIDTH)
@@ -517,17 +528,15 @@ def overlap_score(spark, sf):
 def listed_lines(spark, sf):
     """Both text rankers over document lines, with rare question words counted three times."""
     asked, chunks = questions(spark, sf), lines(spark, sf)
-    counts = cut_lineage(X.term_counts(chunks))
-    vocabulary = cut_lineage(X.smoothed_idf(X.document_frequency(counts), chunks))
+    packed, vocabulary = tfidf_statistics(chunks)
     words = asked.select("query_id", "issuer_filter", F.posexplode(T.words(F.col("question"))).alias("pos", "token"))
-    weighed = D.weigh_rare_words(words, vocabulary, QID)
+    weighed = cut_lineage(D.weigh_rare_words(words, vocabulary, QID))
     terms = weighed.select("query_id", "issuer_filter", F.col("token").alias("term"), "qtf")
-    by_tfidf = R.tfidf_rank(R.score_terms(
-        hinted(R.query_term_weights(terms, vocabulary, QID), asked), X.tfidf_postings(counts, vocabulary), QID), QID)
+    by_tfidf = tfidf_best(terms, asked, packed, vocabulary)
     analysed = weighed.select(
         "query_id", "issuer_filter", F.explode(T.analysed_terms(F.col("token"))).alias("term"), "qtf"
     ).groupBy("query_id", "issuer_filter", "term").agg(F.sum("qtf").alias("query_weight"))
-    by_bm25 = R.bm25_rank(bm25_scored(analysed, asked, chunks), QID)
+    by_bm25 = bm25_best(analysed, asked, chunks)
     columns = ["query_id", "child_id", "rank"]
     return by_tfidf.select(*columns).unionByName(by_bm25.select(*columns))
 
@@ -573,7 +582,8 @@ def neighbor_band_join(spark, sf):
 
 
 def tiered_parents(spark, sf):
-    return P.expand_pages(P.wanted_pages(page_hits(spark, sf)), parents(spark, sf)).select(
+    wanted = broadcast_if_small(cut_lineage(P.wanted_pages(page_hits(spark, sf))))
+    return P.expand_pages(wanted, parents(spark, sf)).select(
         "query_id", "parent_id", F.col("tier").cast("long").alias("tier"), out("score").alias("score"))
 
 
@@ -586,7 +596,8 @@ def blocks(rows: DataFrame) -> DataFrame:
 
 def page_rehydrate(spark, sf):
     hits = parent_hits(spark, sf)
-    expanded = P.expand_pages(P.wanted_pages(P.page_scores(hits)), parents(spark, sf))
+    wanted = broadcast_if_small(cut_lineage(P.wanted_pages(P.page_scores(hits))))
+    expanded = P.expand_pages(wanted, parents(spark, sf))
     return blocks(P.rehydrate(expanded, hits, questions(spark, sf), TOP))
 
 
