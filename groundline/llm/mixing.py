@@ -80,9 +80,13 @@ def mix(
     they are, other columns are ignored; sources without words have target 0; an empty table gives an empty result.
 
     The streams' order is a hash of id, size and seed. Rows are dealt by ranges of (source, hash), so a source of any
-    size spreads over many tasks; what meets in one task is one row for each partition.
+    size spreads over many tasks; what meets in one task is one row for each partition. The result is range-sorted by the time
+    at which a row is read first; rows that the mix doesn't take are last.
     """
-    return _plan(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), [], weights, schedule, share, most, seed)
+    rows = _plan(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), [], weights, schedule, share, most, seed)
+    # untaken rows are dealt by id, so they don't meet in one task
+    order = [F.coalesce("position", "second_position").asc_nulls_last(), F.col("doc_id").asc()]
+    return rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
 
 
 def _plan(sizes: DataFrame, carried: list[str], weights: tuple, schedule: tuple, share: float, most: float, seed: int) -> DataFrame:

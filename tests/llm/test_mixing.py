@@ -88,3 +88,10 @@ def test_training_order(spark):
 def test_no_python_on_the_main_path(spark):
     plan = mix(awkward(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_the_mix_is_in_training_order(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * (i % 9)) for i in range(300)], "doc_id long, source string, text string")
+    at = [r["position"] if r["position"] is not None else r["second_position"] for r in mix(docs).collect()]
+    taken = [a for a in at if a is not None]
+    assert taken == sorted(taken) and at[: len(taken)] == taken and 0 < len(taken) < 300
