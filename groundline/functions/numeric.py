@@ -123,17 +123,17 @@ def amount(digits: Column, multiplier: Column) -> Column:
 
 def money_phrases(c: Column) -> Column:
     """Amounts with a currency sign, in text order: currency, base_digits, value, raw_text."""
-    parts = F.arrays_zip(*[_find(c, MONEY, g).alias(n) for g, n in enumerate(("raw", "sign", "number", "word"))])
-
-    def parse(p: Column) -> Column:
-        return let(digits_only(p["number"]), lambda digits: F.struct(
-            currency_key(p["sign"]).alias("currency"),
+    # The pattern looks at nothing outside a match, so a match's parts are those of the match alone: the text is read once.
+    def parse(raw: Column) -> Column:
+        part = lambda g: F.regexp_extract(raw, MONEY, g)
+        return let(digits_only(part(2)), lambda digits: F.struct(
+            currency_key(part(1)).alias("currency"),
             digits.alias("base_digits"),
-            amount(digits, p["word"]).alias("value"),
-            p["raw"].alias("raw_text"),
+            amount(digits, part(3)).alias("value"),
+            raw.alias("raw_text"),
         ))
 
-    parsed = F.transform(parts, parse)
+    parsed = F.transform(_find(c, MONEY), parse)
     return F.filter(parsed, lambda m: (m["base_digits"] != "") & m["value"].isNotNull()).cast(MONEY_TYPE)
 
 

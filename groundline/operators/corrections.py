@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from groundline.functions import numeric as N
 from groundline.operators.grounding import CURRENCY, IN_CORPUS, NOTATION, UNKNOWN
 from groundline.operators.number_index import first_locations
-from groundline.session import broadcast_if_small, cut_lineage, prune_scan
+from groundline.session import broadcast_if_small, cut_lineage, prune_scan, stored
 
 CORRECTION = ["kind", "hallucinated", "suggested_value", "source", "snippet"]
 
@@ -44,12 +44,12 @@ def find_corrections(verdicts: DataFrame, by: list[str], index: DataFrame | None
         index = spark.createDataFrame([], "number string, document string, page long, snippet string")
     # Small from here on: ungrounded figures only, and the index rows they ask for.
     # (Filtering before the cut would make Spark evaluate the verdict once more for the filter.)
-    verdicts = cut_lineage(verdicts.select(
+    verdicts = stored(verdicts.select(
         *by, "hallucinated_money", "hallucinated_percent", "hallucinated_numbers",
-        F.array_intersect("hallucinated_numbers", N.raw_numbers(F.col(context))).alias("here")))
+        F.array_intersect("hallucinated_numbers", N.raw_numbers(F.col(context))).alias("here")), "verdicts")
     wanted = cut_lineage(wanted_numbers(verdicts))
-    found = cut_lineage(prune_scan(index, "number", wanted).join(
-        broadcast_if_small(wanted), "number", "left_semi"))
+    found = stored(prune_scan(index, "number", wanted).join(
+        broadcast_if_small(wanted), "number", "left_semi"), "found")
     places = first_locations(found)
     page = lambda doc, p: F.format_string("%s pág. %d", doc, p)
 

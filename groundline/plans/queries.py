@@ -36,6 +36,8 @@ DIGITS = 6
 # Question text below this size gives so few terms that they are broadcast.
 QUESTION_BYTES = 1 << 20
 TOP = 8
+# Answers are judged by many patterns each.
+ANSWERS_PER_TASK = 50_000
 
 # A small dictionary in the languages of the documents.
 SAMPLE = Dictionary(
@@ -343,7 +345,7 @@ def statements(spark, sf):
     partly finished ones.
     """
     orders = spread(read(spark, sf, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"), ANSWERS_PER_TASK)
     total = F.floor("o_totalprice").cast("long")
     status = F.col("o_orderstatus")
     claimed = F.when(status == "F", total + 1).otherwise(total).cast("string")
@@ -440,7 +442,7 @@ def nation_dictionary(spark, sf):
 def sales_reports(spark, sf):
     """One report chunk and one answer per order about the customer's nation."""
     orders = spread(read(spark, sf, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"))
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"), ANSWERS_PER_TASK)
     customers = read(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     nations = F.broadcast(read(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"))
     thousands = F.floor(F.col("o_totalprice") / 1000).cast("long")

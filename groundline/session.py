@@ -77,13 +77,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Use all cores when the input has fewer splits than the session has cores.
 
-    Large inputs have more splits than cores and stay as they are.
+    Large inputs have more splits than cores and stay as they are, unless ``rows`` bounds what a task should hold: then the
+    tasks grow with the count, which a file's footers give.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if rows is not None:
+        wanted = max(wanted, -(-df.count() // rows))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def text_bytes(df: DataFrame, column: str) -> int:
