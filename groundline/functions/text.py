@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,7 +54,11 @@ def word_pattern(stopwords) -> str:
 
 def words(c: Column, dictionary: Dictionary = DEFAULT_DICTIONARY) -> Column:
     """Search tokens of a text: at least two bytes long and no stopword, repeats kept."""
-    return F.regexp_extract_all(normalize(c), F.lit(word_pattern(dictionary.stopwords)), F.lit(0))
+    if not all(re.fullmatch(f"[{_WORD_CHARS}]+", stop) for stop in dictionary.stopwords):
+        return F.regexp_extract_all(normalize(c), F.lit(word_pattern(dictionary.stopwords)), F.lit(0))
+    # whole runs are cut by a plain class and judged after: a third of the pattern's time
+    runs = F.regexp_extract_all(normalize(c), F.lit(f"[{_WORD_CHARS}]+"), F.lit(0))
+    return F.filter(runs, lambda t: (F.octet_length(t) >= 2) & ~t.isin(*sorted(dictionary.stopwords)))
 
 
 def analysed_terms(c: Column, max_bytes: int | None = None) -> Column:

@@ -13,18 +13,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from groundline.functions.text import issuer_key
 from groundline.operators import index as X
 from groundline.operators import ranking as R
-from groundline.session import has_copies, stored
+from groundline.session import broadcast_if_small, has_copies, stored
 
 # Query shares and cells of scores that are held at a time.
 CELLS = 2_000_000
 MATCHED = "field int, child_id string, issuer_key string, dl long, ids array<int>, tfs array<int>"
+PARTS = "child_id string, issuer_key string, parts array<struct<field:int,size:double,ids:array<int>,tfs:array<int>>>"
+WEIGHED = MATCHED.replace("field int, ", "").replace("dl long, ", "") + ", known double, rare double"
+SLACK = 1e-6
 BEST = "list int, child_id string, issuer_key string, score double"
 
 
@@ -62,21 +65,67 @@ class Asked:
             np.array([len(wanted[k[:-1]]) for k in keys], "int64"))
 
 
+def _numbered(tokens: pa.ListArray, tf: np.ndarray | None, terms: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
+    """Of each row's tokens the wanted terms by number, and their counts."""
+    rows, n = len(tokens), max(1, len(terms))
+    owner = np.repeat(np.arange(rows), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+    flat = tokens.flatten()
+    ids = pc.fill_null(pc.index_in(flat, value_set=terms.cast(flat.type)), -1).to_numpy(zero_copy_only=False)
+    held = ids >= 0
+    cells, inverse = np.unique(owner[held] * n + ids[held], return_inverse=True)
+    offsets = pa.array(np.searchsorted(cells // n, np.arange(rows + 1)).astype("int32"))
+    counts = np.bincount(inverse, None if tf is None else tf[held], len(cells))
+    return tuple(pa.ListArray.from_arrays(offsets, pa.array(v.astype("int32"))) for v in (cells % n, counts))
+
+
+def matched_parts(chunks: DataFrame, fields: dict[str, Column], terms: list[str]) -> DataFrame:
+    """(child_id, issuer_key, parts): of each field of a chunk its length and the wanted terms by number, in the chunk's row."""
+    width = len(fields)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = pa.array(terms, pa.string())
+        for b in batches:
+            flat = b.column("fields").flatten()
+            ids, tfs = _numbered(flat.field("terms"), None, wanted)
+            made = pa.StructArray.from_arrays([flat.field("field"), flat.field("size"), ids, tfs], ["field", "size", "ids", "tfs"])
+            offsets = pa.array(np.arange(b.num_rows + 1, dtype="int32") * width)
+            yield pa.RecordBatch.from_arrays([b.column("child_id"), b.column("issuer_key"), pa.ListArray.from_arrays(offsets, made)],
+                                             ["child_id", "issuer_key", "parts"])
+
+    cut = F.array(*[F.struct(F.lit(i).alias("field"), found.alias("terms")) for i, found in enumerate(fields.values())])
+    rows = chunks.select("child_id", issuer_key(F.col("issuer")).alias("issuer_key"), cut.alias("cut"))
+    sized = F.transform("cut", lambda f: F.struct(f["field"].alias("field"), F.size(f["terms"]).cast("double").alias("size"), f["terms"].alias("terms")))
+    return rows.select("child_id", "issuer_key", sized.alias("fields")).mapInArrow(match, PARTS)
+
+
+def weighed_terms(packed: DataFrame, terms: list[str], known: dict[str, float]) -> DataFrame:
+    """(child_id, issuer_key, ids, tfs, known, rare) of :func:`index.packed_counts`: the wanted terms by number, the sum of squared
+    weights of the ``known`` terms and the sum of squared counts of all others."""
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, names = pa.array(terms, pa.string()), pa.array(list(known), pa.string())
+        squares = np.append(np.array(list(known.values()), "float64") ** 2, 0.0)
+        for b in batches:
+            tokens = b.column("terms")
+            flat, tf = tokens.flatten(), b.column("tfs").flatten().to_numpy(zero_copy_only=False).astype("float64")
+            owner = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+            at = pc.fill_null(pc.index_in(flat, value_set=names.cast(flat.type)), -1).to_numpy(zero_copy_only=False)
+            sums = [np.bincount(owner, v, b.num_rows) for v in (tf * tf * squares[at], tf * tf * (at < 0))]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("child_id"), b.column("issuer_key"), *_numbered(tokens, tf, wanted), *[pa.array(v) for v in sums]],
+                ["child_id", "issuer_key", "ids", "tfs", "known", "rare"])
+
+    return packed.select("child_id", "issuer_key", F.col("entries.term").alias("terms"), F.col("entries.tf").alias("tfs")).mapInArrow(match, WEIGHED)
+
+
 def matched_terms(rows: DataFrame, terms: list[str]) -> DataFrame:
     """(field, child_id, issuer_key, dl, ids, tfs): of rows(field, child_id, issuer_key, dl, terms[, tfs]) the wanted terms by number."""
     weighed = "tfs" in rows.columns
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = pa.array(terms, pa.string())
         for b in batches:
-            tokens, n = b.column("terms"), max(1, len(terms))
-            owner = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
-            flat = tokens.flatten()
-            ids = pc.fill_null(pc.index_in(flat, value_set=pa.array(terms, flat.type)), -1).to_numpy(zero_copy_only=False)
-            held = ids >= 0
-            cells, inverse = np.unique(owner[held] * n + ids[held], return_inverse=True)
-            tf = b.column("tfs").flatten().to_numpy(zero_copy_only=False)[held] if weighed else None
-            offsets = pa.array(np.searchsorted(cells // n, np.arange(b.num_rows + 1)).astype("int32"))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(v.astype("int32"))) for v in (cells % n, np.bincount(inverse, tf, len(cells)))]
+            tf = b.column("tfs").flatten().to_numpy(zero_copy_only=False) if weighed else None
+            lists = _numbered(b.column("terms"), tf, wanted)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("field", "child_id", "issuer_key", "dl")], *lists],
                                              ["field", "child_id", "issuer_key", "dl", "ids", "tfs"])
 
@@ -116,9 +165,10 @@ class _BestTexts:
         for p in np.unique(piece):
             low, high = np.searchsorted(piece, p), np.searchsorted(piece, p, "right")
             at = slice(np.searchsorted(rows, low), np.searchsorted(rows, high))
-            self._score(rows[at] - low, ids[at], shares[at], width[at], high - low, names.slice(low, high - low), issuers.slice(low, high - low))
+            some = issuers.slice(low, high - low)
+            self._take(low, self._scores(rows[at] - low, ids[at], shares[at], width[at], high - low, some), names.slice(low, high - low), some)
 
-    def _score(self, rows, ids, shares, width, n, names, issuers) -> None:
+    def _scores(self, rows, ids, shares, width, n, issuers) -> np.ndarray:
         a, m = self.asked, len(self.asked.keys)
         ends = np.cumsum(width)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(a.starts[ids] - (ends - width), width)
@@ -132,6 +182,9 @@ class _BestTexts:
             codes = issuers.dictionary_encode()
             table = np.stack([self._allows(k) for k in [*codes.dictionary.to_pylist(), None]])
             scores = np.where(table[pc.fill_null(codes.indices, len(table) - 1).to_numpy(zero_copy_only=False)], scores, 0.0)
+        return scores
+
+    def _take(self, low, scores, names, issuers) -> None:
         # rounding moves a score by half a unit of the last digit
         row, lst = np.nonzero((scores > 0) & (scores >= self.least - 10.0 ** -R.SCORE_DIGITS))
         if not len(row):
@@ -153,6 +206,22 @@ class _BestTexts:
              pa.array(b["score"].to_numpy(), pa.float64())], ["list", "child_id", "issuer_key", "score"])
 
 
+class _Hopeful(_BestTexts):
+    """The chunks of a batch that may reach a list's ``floor``."""
+
+    def __init__(self, asked: Asked, share: Callable, floor: np.ndarray, filtered: bool):
+        super().__init__(asked, share, 0, filtered)
+        self.floor = floor
+
+    def chosen(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        self.keep = np.zeros(batch.num_rows, bool)
+        self.add(batch)
+        return batch.filter(pa.array(self.keep))
+
+    def _take(self, low, scores, names, issuers) -> None:
+        self.keep[low : low + len(scores)] = ((scores > 0) & (scores >= self.floor - SLACK)).any(axis=1)
+
+
 def _best(parts: DataFrame, query_terms: DataFrame, by: list[str], asked: Asked, share: Callable, k: int, filtered: bool) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _BestTexts(asked, share, k, filtered)
@@ -179,13 +248,16 @@ def best_bm25(query_terms: DataFrame, chunks: DataFrame, by: list[str], k: int,
     asked = Asked.of(query_terms, by)
     fields = R.content_fields(F.col("content"), F.col("indicator") if indicator else None)
     copies = has_copies(chunks, "child_id")
-    rows = chunks.select("child_id", issuer_key(F.col("issuer")).alias("issuer_key"), F.explode(
-        F.array(*[F.struct(F.lit(i).alias("field"), terms.alias("terms")) for i, terms in enumerate(fields.values())])).alias("f"))
-    rows = rows.select("f.field", "child_id", "issuer_key", F.size("f.terms").cast("long").alias("dl"), "f.terms")
-    matched = matched_terms(rows, asked.terms).where("dl >= 0")
     if copies:
-        matched = _merged(matched)
-    matched = stored(matched, "bm25-matched")
+        rows = chunks.select("child_id", issuer_key(F.col("issuer")).alias("issuer_key"), F.explode(
+            F.array(*[F.struct(F.lit(i).alias("field"), terms.alias("terms")) for i, terms in enumerate(fields.values())])).alias("f"))
+        rows = rows.select("f.field", "child_id", "issuer_key", F.size("f.terms").cast("long").alias("dl"), "f.terms")
+        matched = stored(_merged(matched_terms(rows, asked.terms).where("dl >= 0")), "bm25-matched")
+        units = _units(matched.where(F.size("ids") > 0), "dl", False)
+    else:
+        units = stored(matched_parts(chunks, fields, asked.terms), "bm25-matched")
+        matched = units.select(F.explode("parts").alias("p")).select("p.field", F.col("p.size").alias("dl"), "p.ids").where("dl >= 0")
+        units = units.where(F.exists("parts", lambda p: F.size(p["ids"]) > 0))
     lengths = matched.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("cf")).collect()
     df = np.zeros((len(fields), max(1, len(asked.terms))))
     for r in matched.select("field", F.explode("ids").alias("id")).groupBy("field", "id").count().collect():  # the questions' terms
@@ -199,7 +271,7 @@ def best_bm25(query_terms: DataFrame, chunks: DataFrame, by: list[str], k: int,
     def share(field, ids, tf, dl):
         return idf[field, ids] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / average[field]))
 
-    return _best(_units(matched.where(F.size("ids") > 0), "dl", len(fields) == 1 and not copies), query_terms, by, asked, share, k, False)
+    return _best(units, query_terms, by, asked, share, k, False)
 
 
 def _merged(matched: DataFrame) -> DataFrame:
@@ -221,12 +293,50 @@ def best_tfidf(query_terms: DataFrame, packed: DataFrame, vocabulary: DataFrame,
     number = {t: i for i, t in enumerate(asked.terms)}
     for r in vocabulary.join(F.broadcast(query_terms.select("term").distinct()), "term").select("term", "idf").collect():
         idf[number[r["term"]]] = r["idf"]
-    rows = packed.select(F.lit(0).alias("field"), "child_id", "issuer_key", "dl", F.col("entries.term").alias("terms"), F.col("entries.tf").alias("tfs"))
-    matched = matched_terms(rows, asked.terms).where(F.size("ids") > 0)
-    norms = X.chunk_norms(X.unpacked(packed), vocabulary).select(F.col("child_id").alias("__child"), "norm")
-    measured = matched.join(norms, F.col("child_id").eqNullSafe(F.col("__child")))
-
     def share(field, ids, tf, norm):
         return idf[ids] * tf / np.where(norm > 0, norm, 1.0)
 
-    return _best(_units(measured, "norm", not has_copies(packed, "child_id")), query_terms, by, asked, share, k, True)
+    if has_copies(packed, "child_id"):
+        rows = packed.select(F.lit(0).alias("field"), "child_id", "issuer_key", "dl", F.col("entries.term").alias("terms"), F.col("entries.tf").alias("tfs"))
+        return _best(_units(_measured(matched_terms(rows, asked.terms).where(F.size("ids") > 0), packed, vocabulary), "norm", False),
+                     query_terms, by, asked, share, k, True)
+    matched = _hopeful(query_terms, packed, vocabulary, by, asked, share, k)
+    ids = broadcast_if_small(matched.select(F.col("child_id").alias("__wanted")))
+    own = packed.join(ids, F.col("child_id").eqNullSafe(F.col("__wanted")), "left_semi")
+    return _best(_units(_measured(matched, own, vocabulary), "norm", True), query_terms, by, asked, share, k, True)
+
+
+def _measured(matched: DataFrame, packed: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``matched`` with the norms of their chunks."""
+    norms = X.chunk_norms(X.unpacked(packed), vocabulary).select(F.col("child_id").alias("__child"), "norm")
+    return matched.join(norms, F.col("child_id").eqNullSafe(F.col("__child")))
+
+
+def _hopeful(query_terms: DataFrame, packed: DataFrame, vocabulary: DataFrame, by: list[str], asked: Asked, share: Callable, k: int) -> DataFrame:
+    """(child_id, issuer_key, field, ids, tfs) of the chunks that can be among a list's best ``k``; nothing but the best is shuffled.
+
+    Frequent terms (``index.HOT_TERMS`` at most) are weighed in the chunk's row; the rare ones bound its norm from both sides. The
+    ``k``-th best score by the larger norm is a floor for the list, and only chunks whose score by the smaller norm reaches it need theirs.
+    """
+    hot, cold = X.hot_and_cold(vocabulary)
+    known = {r["term"]: r["idf"] for r in hot.collect()}
+    square = F.col("idf") * F.col("idf")
+    least, most = cold.agg(F.coalesce(F.min(square), F.lit(0.0)), F.coalesce(F.max(square), F.lit(0.0))).first()
+    matched = stored(weighed_terms(packed, asked.terms, known).where(F.size("ids") > 0).select(
+        "child_id", "issuer_key", F.lit(0).alias("field"), F.sqrt(F.col("known") + F.col("rare") * least).alias("low"),
+        F.sqrt(F.col("known") + F.col("rare") * most).alias("high"), "ids", "tfs"), "tfidf-matched")
+    sure = _best(_units(matched, "high", True), query_terms, by, asked, share, k, True)
+    floor = np.zeros(len(asked.keys))
+    number = {key: i for i, key in enumerate(asked.keys)}
+    lists = [*by, "issuer_filter"]
+    for r in R.top_k(sure, lists, R.best_first("score", "child_id"), k).where(F.col("rank") == k).select(*lists, "score").collect():
+        floor[number[tuple(r[: len(lists)])]] = r["score"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hopeful = _Hopeful(asked, share, floor, True)
+        for batch in batches:
+            yield hopeful.chosen(batch)
+
+    chosen = _units(matched, "low", True).mapInArrow(scan, PARTS)
+    part = F.get("parts", F.lit(0))
+    return stored(chosen.select("child_id", "issuer_key", part["field"].alias("field"), part["ids"].alias("ids"), part["tfs"].alias("tfs")), "tfidf-hopeful")

@@ -53,3 +53,38 @@ def test_only_rare_terms_move_for_their_idf(spark):
     got = X.attach_by_term(counts, vocabulary, hot_terms=10)
     want = counts.join(vocabulary.select("term", "idf"), "term")
     assert sorted(got.select("child_id", "term", "tf", "idf").collect(), key=str) == sorted(want.select("child_id", "term", "tf", "idf").collect(), key=str)
+
+
+def test_only_chunks_that_may_rank_get_their_norm(spark, monkeypatch):
+    """Bounds from frequent terms pick the chunks; the best ones are those of the full ranking."""
+    import numpy as np
+    from groundline.operators import scan as S
+    from groundline.plans.queries import QID, plain_terms, tfidf_lists, tfidf_statistics
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join([f"w{int(x)}" for x in rng.zipf(1.3, 40) if x < 5000] + [f"rare{i}"]) for i in range(600)]
+    chunks = spark.createDataFrame([(str(i), t, "a") for i, t in enumerate(texts)], "child_id string, content string, issuer string")
+    asked = spark.createDataFrame([(1, "w5 w9 w17", None), (2, "w30 rare7", None)], "query_id long, question string, issuer_filter string")
+    seen, whole = [], X.chunk_norms
+    split = X.hot_and_cold
+    monkeypatch.setattr(X, "hot_and_cold", lambda vocabulary, hot_terms=200: split(vocabulary, 200))
+    monkeypatch.setattr(S.X, "chunk_norms", lambda counts, vocabulary: (seen.append(counts.select("child_id").distinct().count()), whole(counts, vocabulary))[1])
+    found = {(r.query_id, r.child_id, round(r.score, 6)) for r in tfidf_lists(asked, chunks, 5).collect()}
+    monkeypatch.undo()
+    packed, vocabulary = tfidf_statistics(chunks)
+    weighed = R.query_term_weights(plain_terms(asked), vocabulary, QID)
+    wanted = R.tfidf_rank(R.score_terms(weighed, X.tfidf_postings(X.unpacked(packed), vocabulary), QID), QID, 5)
+    assert found == {(r.query_id, r.child_id, round(r.score, 6)) for r in wanted.collect()}
+    assert seen and seen[0] < 300
+
+
+def test_two_fields_of_a_chunk_are_not_gathered_by_a_shuffle(spark, monkeypatch):
+    from groundline.operators import scan as S
+    from groundline.plans.queries import QID
+
+    chunks = spark.createDataFrame([("1", "one two", "a", "x"), ("2", "two", "a", None)], "child_id string, content string, issuer string, indicator string")
+    terms = spark.createDataFrame([(1, None, "two", 1.0), (1, None, "x", 1.0)], "query_id long, issuer_filter string, term string, query_weight double")
+    plans, best = [], S._best
+    monkeypatch.setattr(S, "_best", lambda parts, *rest: (plans.append(parts._jdf.queryExecution().executedPlan().toString()), best(parts, *rest))[1])
+    rows = S.best_bm25(terms, chunks, QID, 5, True).collect()
+    assert [r.child_id for r in sorted(rows, key=lambda r: -r.score)] == ["1", "2"] and "Exchange" not in plans[0]
