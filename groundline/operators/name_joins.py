@@ -28,20 +28,55 @@ def _grams(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, n), " "))
 
 
+# An alias whose words and gaps are compared as they are: ASCII, and a word character at both ends.
+PLAIN = r"^[A-Za-z0-9_]([\x00-\x7F]*[A-Za-z0-9_])?\z"
+
+
+def _folded(c: Column) -> Column:
+    """Lower case; the four other characters that match an ASCII letter without case become that letter."""
+    return F.lower(F.translate(c, "İıſ\u212a", "iisk"))
+
+
+def _plain_runs(text: Column, lengths: list[int]) -> Column:
+    """Distinct runs of words of a text with the gaps between them as they are written."""
+    def runs(low: Column) -> Column:
+        words = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+        gaps = F.slice(F.split(low, WORD), F.lit(2), F.greatest(F.size(words), F.lit(1)))
+        return T.let(words, lambda w: T.let(F.flatten(F.zip_with(w, gaps, lambda x, g: F.array(x, g))), lambda both: F.array_distinct(
+            F.flatten(F.array(*[F.transform(F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: i <= F.size(w) - n),
+                                            lambda i: F.array_join(F.slice(both, 2 * i + 1, F.lit(2 * n - 1)), "")) for n in lengths])))))
+
+    return T.let(_folded(text), runs)
+
+
 def alias_matches(texts: DataFrame, aliases: DataFrame, by: str, text: str = "text") -> DataFrame:
     """(by, canon, alias, ord) for every alias that a text names as whole words without case.
 
     ``aliases`` is (canon, alias, ord); ``ord`` is the dictionary's order. Same hits as the pattern ``\\bALIAS\\b``. Null texts and
     null aliases match nothing, nor does an alias without a letter or digit. Each text meets only the dictionary's entries whose words it
     holds. Texts with one id count as one row for each of them; equal aliases of several canons all count. ``by`` tells texts apart.
+    ASCII aliases that begin and end in a word are found by the join alone; others are tested by their pattern.
     """
     words = word_run(F.col("alias"))
-    entries = aliases.where("alias IS NOT NULL").select("canon", "alias", "ord", F.array_join(words, " ").alias("gram"), F.size(words).alias("n"))
+    entries = aliases.where("alias IS NOT NULL").select(
+        "canon", "alias", "ord", F.array_join(words, " ").alias("gram"), F.size(words).alias("n"), F.rlike("alias", F.lit(PLAIN)).alias("plain"))
     entries = cut_lineage(entries.where("n > 0"))
-    lengths = sorted(r["n"] for r in entries.select("n").distinct().collect())  # one for each length in words
     source = texts.select(F.col(by).alias("__by"), F.col(text).alias("__text"))
+    found = _by_pattern(source, entries.where("NOT plain"))
+    # one for each length in words
+    lengths = sorted(r["n"] for r in entries.where("plain").select("n").distinct().collect())
+    if lengths:
+        known = entries.where("plain").groupBy(F.lower("alias").alias("run")).agg(F.collect_set(F.struct("canon", "alias", "ord")).alias("found"))
+        runs = source.where("__by IS NOT NULL").select("__by", F.explode(_plain_runs(F.col("__text"), lengths)).alias("run"))
+        found = runs.join(broadcast_if_small(cut_lineage(known)), "run").select("__by", F.explode("found").alias("e")).select("__by", "e.*").unionByName(found)
+    return found.select(F.col("__by").alias(by), "canon", "alias", "ord")
+
+
+def _by_pattern(source: DataFrame, entries: DataFrame) -> DataFrame:
+    """(__by, canon, alias, ord): texts meet entries by their runs of words, the pattern judges."""
+    lengths = sorted(r["n"] for r in entries.select("n").distinct().collect())
     if not lengths:
-        return source.join(entries, F.lit(False)).select(F.col("__by").alias(by), "canon", "alias", "ord")
+        return source.join(entries, F.lit(False)).select("__by", "canon", "alias", "ord")
     held = T.let(word_run(F.col("__text")), lambda w: F.array_distinct(F.flatten(F.array(*[_grams(w, n) for n in lengths]))))
     # The dictionary's runs come to the n-grams where it is small; else both move by run, and frequent runs are few rows of text ids.
     runs = broadcast_if_small(entries.select("gram").distinct())
@@ -49,7 +84,7 @@ def alias_matches(texts: DataFrame, aliases: DataFrame, by: str, text: str = "te
     found = hits.join(broadcast_if_small(entries), "gram").groupBy("__by").agg(F.collect_set(F.struct("canon", "alias", "ord")).alias("found"))
     named = source.join(found, "__by").withColumn("found", F.explode("found")).select("__by", "__text", "found.*")
     exact = F.rlike("__text", F.concat(F.lit(r"(?Ui)\b"), F.regexp_replace("alias", r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(r"\b")))
-    return named.where(exact).select(F.col("__by").alias(by), "canon", "alias", "ord")
+    return named.where(exact).select("__by", "canon", "alias", "ord")
 
 
 def first_canon(matches: DataFrame, by: str) -> DataFrame:

@@ -663,9 +663,8 @@ def dictionary_matches(spark, sf):
         read(spark, sf, "benchmark").select(first("text").alias("alias"), F.lit("benchmark").alias("canon")))
     entries = names.where("alias <> ''").groupBy("alias").agg(F.min("canon").alias("canon"))
     hits = J.alias_matches(docs.select("doc_id", "text"), entries.withColumn("ord", F.length("alias")), "doc_id")
-    count = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_aliases"))
-    return count.join(J.first_canon(hits, "doc_id"), "doc_id").select(
-        "doc_id", "n_aliases", F.col("canon").alias("first_canon"), F.col("alias").alias("first_alias"))
+    found = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_aliases"), F.min(F.struct("ord", "alias", "canon")).alias("first"))
+    return found.select("doc_id", "n_aliases", F.col("first.canon").alias("first_canon"), F.col("first.alias").alias("first_alias"))
 
 
 def contained_names(spark, sf):

@@ -65,3 +65,22 @@ def test_containment_against_all_pairs(spark, q):
 def test_containment_of_nothing(spark):
     none = spark.createDataFrame([], "name string")
     assert contained_names(none, none).isEmpty()
+
+
+def test_plain_aliases_are_found_without_a_pattern(spark):
+    """Gaps count as they are written; letters match without case, also the four that fold to ASCII."""
+    import re
+
+    from groundline.operators import name_joins as J
+
+    texts = [(1, "The  cat, the cat."), (2, "THE CAT"), (2, "the\ncat"), (3, "othe cat the cats"), (4, "the_cat"), (5, "ſet K ıs"),
+             (6, None), (None, "the cat"), (7, "the cat́"), (8, "a-b c"), (9, ""), (10, "straße strasse")]
+    names = ["the cat", "the\ncat", "the  cat", "set k", "is", "a-b", "b", "The Cat", "strasse", "the_cat"]
+    aliases = spark.createDataFrame([("x", a, i) for i, a in enumerate(names)], "canon string, alias string, ord int")
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    wanted = rows.where("doc_id IS NOT NULL").crossJoin(aliases).where(F.rlike(
+        "text", F.concat(F.lit(r"(?Ui)\b"), F.regexp_replace("alias", r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(r"\b"))))
+    pairs = sorted((r.doc_id, r.alias) for r in wanted.collect())
+    hits = J.alias_matches(rows, aliases, "doc_id")
+    assert sorted((r.doc_id, r.alias) for r in hits.collect()) == pairs and (2, "the cat") in pairs
+    assert not re.search("RLIKE", hits._jdf.queryExecution().optimizedPlan().toString(), re.I)
