@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundline.dictionaries import DEFAULT_DICTIONARY, Dictionary
@@ -17,6 +17,8 @@ from groundline.session import cut_lineage, has_copies, one, stored
 HOT_TERMS = 20_000
 # BM25 constants.
 BM25_K1, BM25_B = 1.2, 0.75
+# Rows of rare terms that one task sorts.
+ROWS_PER_TASK = 2_000_000
 
 
 def counted(tokens: Column) -> Column:
@@ -86,11 +88,22 @@ def hot_and_cold(vocabulary: DataFrame, hot_terms: int = HOT_TERMS) -> tuple[Dat
 def attach_by_term(rows: DataFrame, vocabulary: DataFrame, hot_terms: int = HOT_TERMS) -> DataFrame:
     """Add ``idf`` to posting rows; only the rows of rare terms move. ``rows`` and ``vocabulary`` are read twice.
 
-    Frequent terms come from a broadcast. A rare term has a small share of all rows, so their shuffle is spread evenly.
+    Frequent terms come from a broadcast. A rare term has a small share of all rows, so their shuffle is spread evenly, over
+    tasks that grow in number with the rows.
     """
     hot, cold = hot_and_cold(vocabulary, hot_terms)
     hot = F.broadcast(hot)
-    return rows.join(hot, "term").unionByName(rows.join(hot.select("term"), "term", "left_anti").join(cold, "term"))
+    rare = rows.join(hot.select("term"), "term", "left_anti")
+    tasks = -(-int(cold_rows(vocabulary, hot_terms)) // ROWS_PER_TASK)
+    if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rare = rare.repartition(tasks, "term")
+    return rows.join(hot, "term").unionByName(rare.join(cold, "term"))
+
+
+def cold_rows(vocabulary: DataFrame, hot_terms: int = HOT_TERMS) -> int:
+    """Postings of the terms that are not frequent."""
+    total = one(vocabulary.agg(F.sum("df").alias("total")))
+    return vocabulary.where(F.col("df") * hot_terms < total).agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
 
 
 def chunk_norms(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -102,9 +115,10 @@ def chunk_norms(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def tfidf_postings(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, child_id, issuer_key, weight) with unit-length chunk vectors; an all-zero vector stays as it is."""
-    raw, norm = F.col("tf") * F.col("idf"), F.col("norm")
-    norms = chunk_norms(counts, vocabulary).select(F.col("child_id").alias("__child"), "norm")
-    rows = attach_by_term(counts, vocabulary).join(norms, F.col("child_id").eqNullSafe(F.col("__child")))
+    # terms are weighed once, and a chunk's rows meet once
+    raw, chunk = F.col("tf") * F.col("idf"), Window.partitionBy("child_id")
+    rows = attach_by_term(counts, vocabulary).withColumn("norm", F.sqrt(F.sum(raw * raw).over(chunk)))
+    norm = F.col("norm")
     return rows.select("term", "child_id", "issuer_key", F.when(norm > 0, raw / norm).otherwise(raw).alias("weight"))
 
 
