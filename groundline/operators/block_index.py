@@ -66,13 +66,14 @@ class BlockIndex:
         order = [F.col("term").asc(), F.col("weight").desc(), F.col("child_id").asc()]
         dealt = postings.select("term", "child_id", "weight").repartitionByRange(*order).sortWithinPartitions(*order)
         blocks = dealt.mapInArrow(lambda batches: _packed(batches, size), "term string, size int, top double, chunks array<string>, weights array<double>")
-        forward = postings.groupBy("child_id", "issuer_key").agg(F.collect_list(F.struct("term", "weight")).alias("entries"))
+        # one shuffle gathers a chunk's terms and orders the chunks
+        forward = postings.repartitionByRange("child_id").groupBy("child_id", "issuer_key").agg(F.collect_list(F.struct("term", "weight")).alias("entries"))
         return cls(blocks.select("term", F.monotonically_increasing_id().alias("block"), "size", "top", "chunks", "weights"), forward)
 
     def save(self, path: str) -> None:
         """Write both tables, replacing what is there; files keep the order by term, so other terms' row groups are skipped."""
         self.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
-        self.forward.repartitionByRange("child_id").sortWithinPartitions("child_id").write.mode("overwrite").parquet(f"{path}/forward")
+        self.forward.sortWithinPartitions("child_id").write.mode("overwrite").parquet(f"{path}/forward")
 
     @classmethod
     def load(cls, spark, path: str) -> BlockIndex:

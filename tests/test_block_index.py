@@ -94,3 +94,13 @@ def test_required_terms_in_any_field(spark):
     assert set(scores(spark, [("profit", True), ("roe", True)], indicator=True)) == {"a", "b"}
     assert scores(spark, [("profit", True), ("absent", True)], indicator=True) == {}
     assert set(scores(spark, [("profit", False), ("roe", False)], indicator=True)) == {"a", "b", "c"}
+
+
+def test_forward_rows_are_shuffled_once_and_lie_in_order(spark, tmp_path):
+    postings = spark.range(5000).selectExpr("concat('t', id % 7) AS term", "lpad(id % 900, 4, '0') AS child_id", "'a' AS issuer_key", "1.0D + id % 5 AS weight")
+    index = BlockIndex.build(postings)
+    plan = index.forward.sortWithinPartitions("child_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("+- == Initial Plan ==")[0].count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan
+    index.save(str(tmp_path))
+    for part in spark.read.parquet(f"{tmp_path}/forward").rdd.glom().collect():
+        assert [r.child_id for r in part] == sorted(r.child_id for r in part)
