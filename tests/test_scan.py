@@ -88,3 +88,16 @@ def test_two_fields_of_a_chunk_are_not_gathered_by_a_shuffle(spark, monkeypatch)
     monkeypatch.setattr(S, "_best", lambda parts, *rest: (plans.append(parts._jdf.queryExecution().executedPlan().toString()), best(parts, *rest))[1])
     rows = S.best_bm25(terms, chunks, QID, 5, True).collect()
     assert [r.child_id for r in sorted(rows, key=lambda r: -r.score)] == ["1", "2"] and "Exchange" not in plans[0]
+
+
+def test_rare_terms_spread_over_tasks_that_grow_with_the_rows(spark, monkeypatch):
+    counts = spark.range(3000).selectExpr("cast(id % 50 AS string) AS child_id", "'a' AS issuer_key", "60L AS dl", "concat('t', id) AS term", "1L AS tf")
+    vocabulary = X.document_frequency(counts).selectExpr("term", "df", "cf", "2.0D AS idf")
+    monkeypatch.setattr(X, "ROWS_PER_TASK", 100)
+    rows = X.attach_by_term(counts, vocabulary, 1)
+    assert "hashpartitioning(term" in rows._jdf.queryExecution().optimizedPlan().toString() or "RepartitionByExpression [term" in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count() == 3000
+    plan = X.tfidf_postings(counts, vocabulary)
+    # the counts are read by the frequent and the rare side, and not again for the norms
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Window") == 1
+    assert {round(r.weight, 9) for r in plan.collect()} == {round(60 ** -0.5, 9)}
