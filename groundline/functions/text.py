@@ -13,6 +13,8 @@ from groundline.dictionaries import DEFAULT_DICTIONARY, Dictionary
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _FOLD_FROM = "áÁéÉíÍóÓúÚüÜ" + _UPPER
 _FOLD_TO = "aaeeiioouuuu" + _UPPER.lower()
+# The folds that lower-cased texts still need.
+LOWER_FOLDS = tuple(zip("áéíóúü", "aeiouu"))
 
 # After folding only lower-case letters are left, plus the upper-case forms that have no fold.
 _LONG_CHARS = "áéíóúüñÑſK"
@@ -67,6 +69,12 @@ def analysed_terms(c: Column, max_bytes: int | None = None) -> Column:
     return found if max_bytes is None else F.filter(found, lambda t: F.octet_length(t) < max_bytes)
 
 
+def analysed_text(c: Column) -> Column:
+    """Lower-cased text: its runs of ASCII letters, ASCII digits and all characters beyond ASCII are :func:`analysed_terms`
+    once ``LOWER_FOLDS`` are applied. Tasks cut it by bytes, several times faster than a pattern cuts each term."""
+    return F.regexp_replace(F.lower(c), r"[^\x00-\x7F\p{IsAlphabetic}\p{N}]", " ")
+
+
 def table(rows, schema: str) -> Column:
     """A small lookup table as one literal, for use inside a row expression."""
     return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), schema)

@@ -72,10 +72,14 @@ def content_fields(content: Column, indicator: Column | None = None) -> dict[str
     """Terms of the searched fields: the analysed content and, as one exact term, the name of the indicator."""
     fields = {"content": analysed_terms(content)}
     if indicator is not None:
-        fields["indicator"] = F.when(indicator.isNull(), F.array().cast("array<string>")).otherwise(F.array(indicator))
+        fields["indicator"] = indicator_terms(indicator)
     return fields
 
 
+def indicator_terms(indicator: Column) -> Column:
+    return F.when(indicator.isNull(), F.array().cast("array<string>")).otherwise(F.array(indicator))
+
+
 def field_counts(wanted: DataFrame, chunks: DataFrame, fields: dict[str, Column], hint=lambda df: df) -> DataFrame:
     """(field, child_id, issuer_key, dl, term, tf) of the ``wanted(term)`` terms, and a ``LENGTH_ROW`` of each chunk and field.
 

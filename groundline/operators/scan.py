@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from groundline.functions.text import issuer_key
+from groundline.functions.text import LOWER_FOLDS, analysed_text, issuer_key
 from groundline.operators import index as X
 from groundline.operators import ranking as R
 from groundline.session import broadcast_if_small, has_copies, stored
@@ -28,6 +28,8 @@ MATCHED = "field int, child_id string, issuer_key string, dl long, ids array<int
 PARTS = "child_id string, issuer_key string, parts array<struct<field:int,size:double,ids:array<int>,tfs:array<int>>>"
 WEIGHED = MATCHED.replace("field int, ", "").replace("dl long, ", "") + ", known double, rare double"
 SLACK = 1e-6
+# Every ASCII byte that is no letter or digit as a blank.
+BLANKED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 BEST = "list int, child_id string, issuer_key string, score double"
 
 
@@ -65,6 +67,36 @@ class Asked:
             np.array([len(wanted[k[:-1]]) for k in keys], "int64"))
 
 
+def _folded(ends: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends and UTF-8 bytes of texts after ``LOWER_FOLDS``, each of which makes one byte of two."""
+    table = np.zeros(256, "uint8")
+    for accented, plain in LOWER_FOLDS:
+        table[accented.encode()[1]] = ord(plain)
+    # all of them begin with this byte
+    at = np.flatnonzero(values == LOWER_FOLDS[0][0].encode()[0])
+    to = table[values[at + 1]]
+    at, to = at[to > 0], to[to > 0]
+    kept = np.ones(len(values), bool)
+    kept[at + 1] = False
+    values = values.copy()
+    values[at] = to
+    return ends - np.searchsorted(at, ends), values[kept]
+
+
+def _cut(texts: pa.Array) -> pa.ListArray:
+    """The analysed terms of :func:`text.analysed_text`."""
+    wide = pa.types.is_large_string(texts.type)
+    valid, ends, values = texts.buffers()
+    ends = np.frombuffer(ends, "int64" if wide else "int32")[texts.offset : texts.offset + len(texts) + 1]
+    ends, values = _folded(ends, np.frombuffer(values or b"", "uint8")[: ends[-1]])
+    blanked = pa.py_buffer(values.tobytes().translate(BLANKED))
+    pieces = pc.ascii_split_whitespace(pa.Array.from_buffers(texts.type, len(texts), [None, pa.py_buffer(ends.astype("int64" if wide else "int32")), blanked]))
+    # a blank at either end leaves an empty piece
+    full = pc.not_equal(pc.binary_length(pieces.values), 0)
+    kept = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))[pieces.offsets.to_numpy()]
+    return pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pieces.values.filter(full), mask=texts.is_null())
+
+
 def _numbered(tokens: pa.ListArray, tf: np.ndarray | None, terms: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
     """Of each row's tokens the wanted terms by number, and their counts."""
     rows, n = len(tokens), max(1, len(terms))
@@ -72,30 +104,37 @@ def _numbered(tokens: pa.ListArray, tf: np.ndarray | None, terms: pa.Array) -> t
     flat = tokens.flatten()
     ids = pc.fill_null(pc.index_in(flat, value_set=terms.cast(flat.type)), -1).to_numpy(zero_copy_only=False)
     held = ids >= 0
-    cells, inverse = np.unique(owner[held] * n + ids[held], return_inverse=True)
-    offsets = pa.array(np.searchsorted(cells // n, np.arange(rows + 1)).astype("int32"))
-    counts = np.bincount(inverse, None if tf is None else tf[held], len(cells))
+    cells = owner[held] * n + ids[held]
+    if tf is None:
+        cells, counts = np.unique(cells, return_counts=True)
+    else:
+        cells, inverse = np.unique(cells, return_inverse=True)
+        counts = np.bincount(inverse, tf[held], len(cells))
+    offsets = pa.array(np.searchsorted(cells, np.arange(rows + 1) * n).astype("int32"))
     return tuple(pa.ListArray.from_arrays(offsets, pa.array(v.astype("int32"))) for v in (cells % n, counts))
 
 
-def matched_parts(chunks: DataFrame, fields: dict[str, Column], terms: list[str]) -> DataFrame:
-    """(child_id, issuer_key, parts): of each field of a chunk its length and the wanted terms by number, in the chunk's row."""
-    width = len(fields)
-
+def matched_parts(chunks: DataFrame, terms: list[str], indicator: bool = False) -> DataFrame:
+    """(child_id, issuer_key, parts): of each field of a chunk (``ranking.content_fields``, by number) its length and the wanted
+    terms by number, in the chunk's row. Texts travel whole and are cut where they are counted."""
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = pa.array(terms, pa.string())
         for b in batches:
-            flat = b.column("fields").flatten()
-            ids, tfs = _numbered(flat.field("terms"), None, wanted)
-            made = pa.StructArray.from_arrays([flat.field("field"), flat.field("size"), ids, tfs], ["field", "size", "ids", "tfs"])
+            found = [_cut(b.column("text")), *([b.column("named")] if indicator else [])]
+            width = len(found)
+            lists = [_numbered(tokens, None, wanted) for tokens in found]
+            # the fields of a chunk follow each other
+            order = pa.array(np.arange(b.num_rows * width).reshape(width, -1).T.reshape(-1))
+            field = pa.array(np.tile(np.arange(width, dtype="int32"), b.num_rows))
+            size = pa.concat_arrays([pc.list_value_length(tokens).cast(pa.float64()) for tokens in found]).take(order)
+            ids, tfs = [pa.concat_arrays([pair[i] for pair in lists]).take(order) for i in (0, 1)]
+            made = pa.StructArray.from_arrays([field, size, ids, tfs], ["field", "size", "ids", "tfs"])
             offsets = pa.array(np.arange(b.num_rows + 1, dtype="int32") * width)
             yield pa.RecordBatch.from_arrays([b.column("child_id"), b.column("issuer_key"), pa.ListArray.from_arrays(offsets, made)],
                                              ["child_id", "issuer_key", "parts"])
 
-    cut = F.array(*[F.struct(F.lit(i).alias("field"), found.alias("terms")) for i, found in enumerate(fields.values())])
-    rows = chunks.select("child_id", issuer_key(F.col("issuer")).alias("issuer_key"), cut.alias("cut"))
-    sized = F.transform("cut", lambda f: F.struct(f["field"].alias("field"), F.size(f["terms"]).cast("double").alias("size"), f["terms"].alias("terms")))
-    return rows.select("child_id", "issuer_key", sized.alias("fields")).mapInArrow(match, PARTS)
+    named = [R.indicator_terms(F.col("indicator")).alias("named")] if indicator else []
+    return chunks.select("child_id", issuer_key(F.col("issuer")).alias("issuer_key"), analysed_text(F.col("content")).alias("text"), *named).mapInArrow(match, PARTS)
 
 
 def weighed_terms(packed: DataFrame, terms: list[str], known: dict[str, float]) -> DataFrame:
@@ -139,6 +178,7 @@ class _BestTexts:
         self.asked, self.share, self.k, self.filtered = asked, share, k, filtered
         self.least = np.zeros(len(asked.keys))
         self.best = pd.DataFrame({"list": np.array([], "int64"), "score": [], "child_id": np.array([], object), "issuer_key": np.array([], object)})
+        self.found: list[pd.DataFrame] = []
         self.allowed: dict = {}
 
     def _allows(self, key: str | None) -> np.ndarray:
@@ -189,17 +229,29 @@ class _BestTexts:
         row, lst = np.nonzero((scores > 0) & (scores >= self.least - 10.0 ** -R.SCORE_DIGITS))
         if not len(row):
             return
-        found = pd.DataFrame({
+        self.found.append(pd.DataFrame({
             "list": lst, "score": np.round(scores[row, lst], R.SCORE_DIGITS), "child_id": names.take(pa.array(row)).to_numpy(zero_copy_only=False).astype(object),
-            "issuer_key": issuers.take(pa.array(row)).to_numpy(zero_copy_only=False).astype(object)})
-        both = pd.concat([self.best, found], ignore_index=True)
-        both = both.sort_values(["list", "score", "child_id"], ascending=[True, False, True], na_position="first", kind="stable")
-        self.best = both.groupby("list", sort=False).head(self.k)
-        full = self.best.groupby("list")["score"].agg(["size", "min"])
-        full = full[full["size"] == self.k]
-        self.least[full.index.to_numpy()] = full["min"].to_numpy()
+            "issuer_key": issuers.take(pa.array(row)).to_numpy(zero_copy_only=False).astype(object)}))
+        # a merge costs as much as all that is held, so it waits for as many new rows
+        if sum(map(len, self.found)) >= len(self.best):
+            self._merge()
+
+    def _merge(self) -> None:
+        both, self.found = pd.concat([self.best, *self.found], ignore_index=True), []
+        lst, score = both["list"].to_numpy("int64"), both["score"].to_numpy("float64")
+        order = np.lexsort((-score, lst))
+        starts = np.searchsorted(lst[order], np.arange(len(self.least) + 1))
+        full = np.flatnonzero(np.diff(starts) >= self.k)
+        self.least[full] = score[order[starts[full] + self.k - 1]]
+        both = both[score >= self.least[lst]]
+        # names only decide where the last score of a list is shared
+        crowded = (np.bincount(both["list"].to_numpy("int64"), minlength=len(self.least)) > self.k)[both["list"].to_numpy("int64")]
+        tied = both[crowded].sort_values(["list", "score", "child_id"], ascending=[True, False, True], na_position="first", kind="stable")
+        self.best = pd.concat([both[~crowded], tied.groupby("list", sort=False).head(self.k)], ignore_index=True)
 
     def result(self) -> pa.RecordBatch:
+        if self.found:
+            self._merge()
         b = self.best
         return pa.RecordBatch.from_arrays(
             [pa.array(b["list"].to_numpy(), pa.int32()), pa.array(list(b["child_id"]), pa.string()), pa.array(list(b["issuer_key"]), pa.string()),
@@ -246,23 +298,22 @@ def _units(matched: DataFrame, size: str, alone: bool) -> DataFrame:
 def best_bm25(query_terms: DataFrame, chunks: DataFrame, by: list[str], k: int, indicator: bool = False) -> DataFrame:
     """The rows of :func:`ranking.bm25_scores` that can be among a list's best ``k``: at most ``k`` of each task and list."""
     asked = Asked.of(query_terms, by)
-    fields = R.content_fields(F.col("content"), F.col("indicator") if indicator else None)
-    copies = has_copies(chunks, "child_id")
-    if copies:
-        rows = chunks.select("child_id", issuer_key(F.col("issuer")).alias("issuer_key"), F.explode(
-            F.array(*[F.struct(F.lit(i).alias("field"), terms.alias("terms")) for i, terms in enumerate(fields.values())])).alias("f"))
-        rows = rows.select("f.field", "child_id", "issuer_key", F.size("f.terms").cast("long").alias("dl"), "f.terms")
-        matched = stored(_merged(matched_terms(rows, asked.terms).where("dl >= 0")), "bm25-matched")
+    units = matched_parts(chunks, asked.terms, indicator)
+    if has_copies(chunks, "child_id"):
+        rows = units.select("child_id", "issuer_key", F.explode("parts").alias("p")).select(
+            "p.field", "child_id", "issuer_key", F.col("p.size").cast("long").alias("dl"), "p.ids", "p.tfs")
+        matched = stored(_merged(rows.where("dl >= 0")), "bm25-matched")
         units = _units(matched.where(F.size("ids") > 0), "dl", False)
     else:
-        units = stored(matched_parts(chunks, fields, asked.terms), "bm25-matched")
+        units = stored(units, "bm25-matched")
         matched = units.select(F.explode("parts").alias("p")).select("p.field", F.col("p.size").alias("dl"), "p.ids").where("dl >= 0")
         units = units.where(F.exists("parts", lambda p: F.size(p["ids"]) > 0))
+    width = 2 if indicator else 1
     lengths = matched.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("cf")).collect()
-    df = np.zeros((len(fields), max(1, len(asked.terms))))
+    df = np.zeros((width, max(1, len(asked.terms))))
     for r in matched.select("field", F.explode("ids").alias("id")).groupBy("field", "id").count().collect():  # the questions' terms
         df[r["field"], r["id"]] = r["count"]
-    n, average = np.zeros((len(fields), 1)), np.ones(len(fields))
+    n, average = np.zeros((width, 1)), np.ones(width)
     for r in lengths:
         n[r["field"]], average[r["field"]] = r["n"], (r["cf"] / r["n"]) or 1.0
     idf = np.log(1.0 + (n - df + 0.5) / (df + 0.5))

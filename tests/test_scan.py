@@ -101,3 +101,54 @@ def test_rare_terms_spread_over_tasks_that_grow_with_the_rows(spark, monkeypatch
     # the counts are read by the frequent and the rare side, and not again for the norms
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("Window") == 1
     assert {round(r.weight, 9) for r in plan.collect()} == {round(60 ** -0.5, 9)}
+
+
+ODD = ["Año ÁRBOL pingüino Öl straße", "İstanbul ΟΔΟΣ ΣΑΣ'Α ΣΣ", "…—«uno»• dos", " ", "", None, "\tfin.\n", "aͅb éé ⓐx Ⅳ½²x ٣٤ 漢字かな 𝔘𝟘 \U0001f600z", "K ſ ǅ ñÑ x\u0000y z w", "Ã© é©Ãã", "12,5% a_b"]
+
+
+def test_texts_cut_in_tasks_give_the_analysed_terms(spark):
+    import pyarrow as pa
+    from groundline.functions import text as T
+    from groundline.operators import scan as S
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "i int, content string")
+    got = rows.select("i", T.analysed_terms(F.col("content")).alias("terms"), T.analysed_text(F.col("content")).alias("text")).orderBy("i").collect()
+    for kind in (pa.string(), pa.large_string()):
+        texts = pa.array(["x", *[r.text for r in got]], kind)
+        assert S._cut(texts.slice(1)).to_pylist() == [r.terms for r in got]
+        assert S._cut(texts.slice(0, 0)).to_pylist() == [] and S._cut(pa.array([None], kind)).to_pylist() == [None]
+
+
+def test_terms_stay_in_the_task_that_reads_their_text(spark, monkeypatch):
+    """Only texts are handed to tasks that match; no term is made a row value of its own before."""
+    from groundline.operators import scan as S
+
+    plans, keep = [], S.stored
+    monkeypatch.setattr(S, "stored", lambda df, label: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), keep(df, label))[1])
+    terms = spark.createDataFrame([(1, None, "banco", 1.0)], "query_id long, issuer_filter string, term string, query_weight double")
+    assert best_bm25(terms, table(spark, 1), BY, 4).count() and best_bm25(terms, table(spark, 0).where("child_id IS NOT NULL"), BY, 4).count()
+    assert len(plans) == 2 and not any("regexp_extract_all" in p for p in plans)
+
+
+def test_best_texts_are_sorted_a_few_times_only(monkeypatch):
+    """Merges grow with the logarithm of the rows; the best are those of one sort over all."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+    from groundline.operators import scan as S
+
+    rng = np.random.default_rng(3)
+    keys = [(q, None) for q in range(20)]
+    asked = S.Asked(keys, [None] * 20, [], np.array([0]), np.array([]), np.array([]), np.array([]), np.zeros(20, "int64"))
+    best, sorts = S._BestTexts(asked, None, 5, False), []
+    concat = pd.concat
+    monkeypatch.setattr(S.pd, "concat", lambda *a, **k: (sorts.append(1), concat(*a, **k))[1])
+    scores = np.round(rng.integers(0, 400, (4000, 20)) / 7, 9)
+    names = pa.array([f"c{i}" for i in range(4000)])
+    for low in range(0, 4000, 10):
+        best._take(low, scores[low : low + 10], names.slice(low, 10), names.slice(low, 10))
+    got = best.result().to_pandas()
+    assert len(sorts) < 200
+    for q in range(20):
+        wanted = sorted(((-s, n.as_py()) for s, n in zip(scores[:, q], names) if s > 0))[:5]
+        assert sorted((-r.score, r.child_id) for r in got[got["list"] == q].itertuples()) == wanted
