@@ -85,6 +85,8 @@ def _folded(ends: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _cut(texts: pa.Array) -> pa.ListArray:
     """The analysed terms of :func:`text.analysed_text`."""
+    if not len(texts):
+        return pa.array([], pa.list_(texts.type))
     wide = pa.types.is_large_string(texts.type)
     valid, ends, values = texts.buffers()
     ends = np.frombuffer(ends, "int64" if wide else "int32")[texts.offset : texts.offset + len(texts) + 1]

@@ -116,7 +116,7 @@ def test_texts_cut_in_tasks_give_the_analysed_terms(spark):
     for kind in (pa.string(), pa.large_string()):
         texts = pa.array(["x", *[r.text for r in got]], kind)
         assert S._cut(texts.slice(1)).to_pylist() == [r.terms for r in got]
-        assert S._cut(texts.slice(0, 0)).to_pylist() == [] and S._cut(pa.array([None], kind)).to_pylist() == [None]
+        assert S._cut(texts.slice(0, 0)).to_pylist() == S._cut(pa.array([], kind)).to_pylist() == [] and S._cut(pa.array([None], kind)).to_pylist() == [None]
 
 
 def test_terms_stay_in_the_task_that_reads_their_text(spark, monkeypatch):
