@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from groundline.functions.text import let, table
+from groundline.functions.text import let, strip, table
 
 # ---- Fixed values: number grammar ----
 INDEX_NUMBER = (
     r"(?Ui)\b(?:\d{1,3}(?:[.,'\s’]\d{3})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?)(?:%|[xXmMkK]|MM|mm)?\b"
 )
 RAW_NUMBER = r"(?U)\b\d[\d.,'’]*[xXmMkK%]?\b"
+# A first look at one character spares most places of a text the alternatives; a run of digits is taken whole.
 MONEY = (
-    r"(?Ui)(us\s*\$|usd|pen|s\s*/\.?|\$)\s*\.?\s*(\d[\d.,'’]*)"
+    r"(?=[uUpPsSſ$])(?Ui)(us\s*\$|usd|pen|s\s*/\.?|\$)\s*\.?\s*(\d[\d.,'’]*)"
     r"(?:\s*(mil millones|billones|billón|billon|millones|millón|millon|million|miles|mil|billion))?"
 )
-PERCENT = r"(?Ui)(\d[\d.,'’]*)\s*(?:%|percent|por ciento)"
-YEAR = r"(?U)\b(?:19|20|21)\d{2}\b"
+PERCENT = r"(?Ui)(\d[\d.,'’]*+)\s*(?:%|percent|por ciento)"
+YEAR = r"(?=[12])(?U)\b(?:19|20|21)\d{2}\b"
 # Zeros that a multiplier word appends.
 MULTIPLIER_ZEROS = {
     "mil millones": 9,
@@ -48,9 +49,9 @@ def digits_only(c: Column) -> Column:
 
 def normalize_number(c: Column) -> Column:
     """Digits of a number token, or NULL when something other than number marks is left."""
-    bare = F.regexp_replace(c, r"S/|[,. %$’'xXmMkKbB]", "")
-    bare = F.regexp_replace(bare, r"(?U)^\s+|\s+$", "")
-    return F.when(bare.rlike("^[0-9]+$"), bare)
+    digits = lambda s: s.rlike("^[0-9]+$")
+    bare = let(strip(F.regexp_replace(c, r"S/|[,. %$’'xXmMkKbB]", "")), lambda s: F.when(digits(s), s))
+    return F.when(digits(c), strip(c)).otherwise(bare)
 
 
 def index_tokens(c: Column) -> Column:
@@ -66,20 +67,25 @@ def index_numbers(c: Column) -> Column:
 def located_numbers(c: Column, window: int = SNIPPET_CHARS) -> Column:
     """Index tokens with the text around them: array<struct<token, snippet>> in text order.
 
-    The context comes from capturing lookarounds, so no offsets are needed and neighbouring
-    matches may share context.
+    The text is cut at its tokens. A token has one character at least, so the ``window`` tokens and gaps next to a token hold
+    all of its context, and of a long gap only its two ends matter: the work grows with the text, whatever the number of tokens.
     """
-    before = rf"(?<=(\A[\s\S]{{0,{window - 1}}}|[\s\S]{{{window}}}))"
-    number = INDEX_NUMBER.removeprefix("(?Ui)")
-    pattern = rf"(?Ui)\b(?=\d){before}({number})(?=([\s\S]{{0,{window}}}))"
-    parts = F.arrays_zip(*[_find(c, pattern, g).alias(n) for g, n in ((1, "left"), (2, "token"), (3, "right"))])
-
-    def describe(p: Column) -> Column:
-        text = F.translate(F.concat(p["left"], p["token"], p["right"]), "\n", " ")
-        return F.struct(
-            p["token"].alias("token"), F.regexp_replace(text, r"(?U)^\s+|\s+$", "").alias("snippet"))
-
-    return F.transform(parts, describe)
+    ends = lambda gap: F.when(F.length(gap) > 2 * window, F.concat(F.left(gap, F.lit(window)), F.right(gap, F.lit(window)))).otherwise(gap)
+    text = F.coalesce(c, F.lit(""))
+    gaps = F.transform(F.split(text, INDEX_NUMBER, -1), ends)
+    # gap, token, gap, ..., token, gap, and an empty token after the last gap
+    pieces = F.flatten(F.zip_with(gaps, F.concat(index_tokens(text), F.array(F.lit(""))), lambda gap, token: F.array(gap, token)))
+
+    def describe(cut: Column, i: Column) -> Column:
+        at, near = 2 * i + 2, 2 * window  # the token's place from 1
+        first = F.greatest(at - near, F.lit(1))
+        left = F.substring(F.array_join(F.slice(cut, first, at - first), ""), -window, window)
+        right = F.substring(F.array_join(F.slice(cut, at + 1, near), ""), 1, window)
+        token = F.get(cut, at - 1)
+        return F.struct(token.alias("token"), strip(F.translate(F.concat(left, token, right), "\n", " ")).alias("snippet"))
+
+    # as many turns as tokens
+    return let(pieces, lambda cut: F.transform(F.slice(cut, 1, (F.size(cut) / 2 - 1).cast("int")), lambda _, i: describe(cut, i)))
 
 
 def raw_numbers(c: Column) -> Column:

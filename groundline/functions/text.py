@@ -42,9 +42,13 @@ def normalize(c: Column) -> Column:
     return F.translate(c, _FOLD_FROM, _FOLD_TO)
 
 
+# What a pattern's ``\s`` matches under ``(?U)``.
+WHITE_SPACE = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
     """Trim every Unicode white-space character at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def word_pattern(stopwords) -> str:

@@ -59,7 +59,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def has_copies(df: DataFrame, key: str) -> bool:
+def has_copies(df: DataFrame, key: str | list[str]) -> bool:
     """True when two rows have the same ``key``, or none."""
     return not df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 

@@ -140,3 +140,31 @@ def test_ids_above_31_bits(spark, tmp_path):
         str(tmp_path / "documents.parquet"))
     assert {r["page"] for r in Q.number_locations(spark, str(tmp_path)).collect()} == {big}
     assert [r["p_idx"] for r in Q.parents(spark, str(tmp_path)).collect()] == [big]
+
+
+def test_equal_amounts_are_looked_up_once(spark):
+    index = spark.createDataFrame([("405", "M", n, "S/. 405 millones") for n in range(3)], "number string, document string, page int, snippet string")
+    usd = ("usd", "405000000", "405")
+    money = spark.createDataFrame([((c, b, v, "x"),) for c, v, b in [usd] * 50 + [("usd", None, "405"), ("usd", "9", "9")]],
+                                  "m struct<currency:string,base_digits:string,value:string,raw_text:string>")
+    rows = C.look_up_amounts(money, index, C.first_locations(index)).collect()
+    assert sorted((r["value"] or "", r["alt"] and r["alt"]["alt_page"], r["loc"]["page"]) for r in rows) == [("", None, 0), ("405000000", 0, 0)]
+
+
+def test_figures_are_numbered_by_answer(spark):
+    one = ([("usd", "405", "405000000", "US$ 405 millones"), ("usd", "9", "9", "$9")], ["77", "12"], [("%|5", "5", "5%")])
+    schema = (f"query_id long, context string, hallucinated_money {MONEY_TYPE}, hallucinated_numbers array<string>, "
+              f"hallucinated_percent {PERCENT_TYPE}")
+    index = spark.createDataFrame([("405", "M", 1, "S/. 405 millones"), ("9", "M", 2, "son 9")], "number string, document string, page int, snippet string")
+
+    def run(*ids):
+        df = spark.createDataFrame([(i, "", *one) for i in ids], schema)
+        return [(r["query_id"], r["ord"], r["hallucinated"], r["kind"]) for r in C.find_corrections(df, ["query_id"], index).collect()]
+
+    kinds = [("usd|405000000", "Moneda"), ("usd|9", "Representacion"), ("12", "NoEspecificado"), ("77", "NoEspecificado"), ("%|5", "NoEspecificado")]
+    assert sorted(run(1, 2), key=str) == sorted(((i, n, *k) for i in (1, 2) for n, k in enumerate(kinds)), key=str)
+    # a key without a value is a key
+    assert sorted(run(None)) == [(None, n, *k) for n, k in enumerate(kinds)]
+    # answers that share a key are numbered through
+    twice = sorted(run(1, 1))
+    assert [r[1] for r in twice] == list(range(10)) and [r[2:] for r in twice] == [k for k in kinds for _ in range(2)]
