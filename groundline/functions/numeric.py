@@ -82,7 +82,7 @@ def located_numbers(c: Column, window: int = SNIPPET_CHARS) -> Column:
         left = F.substring(F.array_join(F.slice(cut, first, at - first), ""), -window, window)
         right = F.substring(F.array_join(F.slice(cut, at + 1, near), ""), 1, window)
         token = F.get(cut, at - 1)
-        return F.struct(token.alias("token"), strip(F.translate(F.concat(left, token, right), "\n", " ")).alias("snippet"))
+        return F.struct(token.alias("token"), strip(F.replace(F.concat(left, token, right), F.lit("\n"), F.lit(" "))).alias("snippet"))
 
     # as many turns as tokens
     return let(pieces, lambda cut: F.transform(F.slice(cut, 1, (F.size(cut) / 2 - 1).cast("int")), lambda _, i: describe(cut, i)))
