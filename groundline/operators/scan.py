@@ -327,6 +327,20 @@ def best_bm25(query_terms: DataFrame, chunks: DataFrame, by: list[str], k: int,
     return _best(units, query_terms, by, asked, share, k, False)
 
 
+def best_postings(query_terms: DataFrame, postings: DataFrame, by: list[str], k: int, filtered: bool) -> DataFrame:
+    """The rows of :func:`ranking.score_terms` that can be among a list's best ``k``: at most ``k`` of each task and list.
+
+    A chunk's postings of the wanted terms meet in one row, without an exchange where a store is bucketed by chunk; a pair of a
+    posting and a list that asks for it is never a row. With ``filtered`` chunks have to pass their list's issuer filter.
+    """
+    asked = Asked.of(query_terms, by)
+    numbers = query_terms.sparkSession.createDataFrame(list(zip(asked.terms, range(len(asked.terms)))), "term string, id int")
+    held = postings.join(F.broadcast(numbers), "term").groupBy("child_id", "issuer_key").agg(F.collect_list(F.struct("id", "weight")).alias("e"))
+    part = F.struct(F.lit(0).alias("field"), F.lit(0.0).alias("size"), F.col("e.id").alias("ids"), F.col("e.weight").alias("tfs"))
+    units = held.select("child_id", "issuer_key", F.array(part).alias("parts"))
+    return _best(units, query_terms, by, asked, lambda field, ids, weight, size: weight, k, filtered)
+
+
 def _merged(matched: DataFrame) -> DataFrame:
     """Rows of one field, chunk and length as one."""
     key = ["field", "child_id", "issuer_key", "dl"]

@@ -605,7 +605,8 @@ def page_rehydrate(spark, sf):
 
 def hybrid_retrieve(spark, sf):
     """The whole retrieval plan: benchmark questions over document lines."""
-    chunks = lines(spark, sf)
+    # the lines are read for each table of the index
+    chunks = stored(spread(lines(spark, sf)), "lines")
     name = f"hybrid_{uuid.uuid4().hex}"
     store = BucketedStore.write(
         parents(spark, sf), chunks, X.build_text_index(chunks), f"{ensure_checkpoint_dir(spark)}/{name}", name)

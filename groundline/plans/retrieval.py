@@ -11,6 +11,7 @@ from groundline.operators import decomposition as D
 from groundline.operators import pages as P
 from groundline.operators import ranking as R
 from groundline.operators.index import TextIndex
+from groundline.operators.scan import best_postings
 from groundline.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage, fits_broadcast, prune_scan
 
 DEFAULT_K = 8
@@ -35,13 +36,16 @@ def ranked_lists(questions: DataFrame, subs: DataFrame, index: TextIndex, vector
         index.vocabulary, "term",
         D.search_words(wordings, dictionary).select(F.col("token").alias("term")))
     weighed = cut_lineage(D.weigh_rare_words(D.search_words(wordings, dictionary), vocabulary))
-    tfidf_terms = broadcast_if_small(cut_lineage(
-        R.query_term_weights(D.tfidf_terms(weighed), vocabulary, keys)))
-    bm25_terms = broadcast_if_small(cut_lineage(D.bm25_terms(weighed, wordings)))
-    tfidf = R.tfidf_rank(
-        R.score_terms(tfidf_terms, prune_scan(index.tfidf, "term", tfidf_terms), keys), keys)
-    bm25 = R.bm25_rank(
-        R.score_terms(bm25_terms, prune_scan(index.bm25, "term", bm25_terms), keys), keys)
+
+    def scored(terms: DataFrame, postings: DataFrame, k: int, filtered: bool) -> DataFrame:
+        """Few terms travel to the postings, where every task keeps its best chunks; many meet them by shuffle."""
+        found = prune_scan(postings, "term", terms)
+        return best_postings(terms, found, keys, k, filtered) if fits_broadcast(terms) else R.score_terms(terms, found, keys)
+
+    tfidf_terms = cut_lineage(R.query_term_weights(D.tfidf_terms(weighed), vocabulary, keys))
+    bm25_terms = cut_lineage(D.bm25_terms(weighed, wordings))
+    tfidf = R.tfidf_rank(scored(tfidf_terms, index.tfidf, R.LIST_SIZE, True), keys)
+    bm25 = R.bm25_rank(scored(bm25_terms, index.bm25, R.LIST_SIZE * R.BM25_WIDTH, False), keys)
     columns = [*keys, "ranker", "child_id", "rank"]
     lists = tfidf.withColumn("ranker", F.lit("tfidf")).select(*columns).unionByName(
         bm25.withColumn("ranker", F.lit("bm25")).select(*columns))

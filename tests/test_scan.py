@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from groundline.operators import index as X
 from groundline.operators import ranking as R
-from groundline.operators.scan import best_bm25, best_tfidf
+from groundline.operators.scan import best_bm25, best_postings, best_tfidf
 
 BY = ["query_id"]
 SAME = "child_id string, content string, issuer string, indicator string"
@@ -152,3 +152,36 @@ def test_best_texts_are_sorted_a_few_times_only(monkeypatch):
     for q in range(20):
         wanted = sorted(((-s, n.as_py()) for s, n in zip(scores[:, q], names) if s > 0))[:5]
         assert sorted((-r.score, r.child_id) for r in got[got["list"] == q].itertuples()) == wanted
+
+
+@pytest.mark.parametrize("filtered", [False, True])
+def test_stored_postings_score_in_the_tasks_that_read_them(spark, filtered):
+    rows = [(f"t{t}", f"c{c}", f"e{c % 3}" if c % 5 else None, (c * 7 + t * 3) % 11 / 10 + 0.1) for c in range(40) for t in range(6) if (c + t) % 3]
+    rows += [("t1", "c1", "e1", 0.5), ("t2", None, "e1", 0.4), ("other", "c2", "e2", 9.0)]  # a copy, a chunk without an id
+    postings = spark.createDataFrame(rows, "term string, child_id string, issuer_key string, weight double").repartition(3, "child_id").cache()
+    terms = spark.createDataFrame([(q, f, f"t{t}", q + t / 10) for q, f in ((1, None), (2, "e1"), (3, "")) for t in range(q, 6)],
+                                  "query_id long, issuer_filter string, term string, query_weight double")
+    rank = R.tfidf_rank if filtered else R.bm25_rank
+    k = 4 if filtered else 4 * R.BM25_WIDTH
+    found = best_postings(terms, postings, BY, k, filtered)
+    assert scored(rank(found, BY, 4)) == scored(rank(R.score_terms(terms, postings, BY), BY, 4))
+    # at most k rows of each task and list, and no row for a posting and a list
+    assert found.count() <= 3 * 3 * k
+    assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 2
+    assert scored(rank(best_postings(terms.where("query_id > 9"), postings, BY, k, filtered), BY, 4)) == []
+
+
+def test_retrieval_scores_few_terms_by_scan(spark, monkeypatch):
+    from groundline.operators import decomposition as D
+    from groundline.plans import retrieval
+
+    chunks = table(spark, 0).withColumns({"document": F.lit("d"), "title": F.lit("t")}).where("child_id IS NOT NULL")
+    index = X.build_text_index(chunks.drop("indicator")).checkpointed()
+    asked = spark.createDataFrame([(1, "banco con palabra3 y cifra7", None)], "query_id long, question string, issuer_filter string")
+    lists = lambda: sorted(map(tuple, retrieval.ranked_lists(asked, D.subqueries(asked, index.titles), index, None).collect()))
+    by_scan = lists()
+    monkeypatch.setattr(retrieval, "fits_broadcast", lambda df, *a: False)
+    assert by_scan and by_scan == lists()
+    monkeypatch.undo()
+    monkeypatch.setattr(R, "score_terms", None)
+    assert by_scan == lists()
